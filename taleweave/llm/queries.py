@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, unify
+from taleweave.llm import boundaries, cooccur, sentences, unify
 from taleweave.session import load
 
 
@@ -43,4 +43,12 @@ def p3_unified(spark, d):
     return unify.unified(_values(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified)}
+def p6_found(spark, d):
+    return sentences.sentences(load(spark, d, "fairy_tales"), "record_id", with_text=False).select("record_id", "start_pos")
+
+
+def p6_sentences(spark, d):
+    return sentences.sentences(load(spark, d, "fairy_tales"), "record_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p6_found, p6_sentences)}

@@ -23,7 +23,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,23 +34,22 @@ CYRILLIC_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјорсух
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικτ", "ABEZHIKMNOPTYXavopuikt"))
 LATIN_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyxkmt", "АВЕКМНОРСТУХаеорсухкмт"))
 LATIN_GREEK = dict(zip("ABEZHIKMNOPTYXvo", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"))
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︎️﻿"
-ODD_SPACE = "               "
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
+ODD_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
 VIETNAMESE_ETH = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ"}
 
 #: Java class of characters that may need mapping.
 SUSPECT = (
-    "[­ÐðƉ͏؜ᅟᅠ឴឵᠎​-‏‪- ⁠-⁩︎️﻿   -  　"
-    "̀-ͯ᪰-᫿᷀-᷿⃐-⃿⺀-⿟豈-﫿ﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ゙゚"
-    "℀-⅏①-⓿\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1f}Ͱ-Ͽἀ-῿ํıȷɡɑ]"
+    "[\u00adÐðƉ\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202f\u2060-\u2069\ufe0e\ufe0f\ufeff\u00a0\u1680\u2000-\u200a\u205f\u3000"
+    "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff⺀-\u2fdf豈-\ufaffﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\u3099\u309a"
+    "℀-⅏①-⓿\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1f}Ͱ-Ͽἀ-\u1fff\u0e4dıȷɡɑ]"
 )
-MIXED = r"(?s)(?=.*\p{IsLatin})(?=.*\p{IsCyrillic})"
 
-_COMPAT = re.compile("[℀-⅏①-⓿⺀-⿟豈-﫿ﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f]+")
+_COMPAT = re.compile("[℀-⅏①-⓿⺀-\u2fdf豈-\ufaffﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f]+")
 _TOKEN = re.compile(r"[^\W_]+")
-_CJK = re.compile("[⺀-鿿＀-｠\U00020000-\U0003ffff]")
-_JOINER = re.compile("(?<![ऀ-෿])[‌‍]|[‌‍](?![ऀ-෿])")
-_IDEOGRAPHIC_SPACE = re.compile("　")
+_CJK = re.compile("[⺀-鿿\uff00-｠\U00020000-\U0003ffff]")
+_JOINER = re.compile("(?<![\u0900-\u0dff])[\u200c\u200d]|[\u200c\u200d](?![\u0900-\u0dff])")
+_IDEOGRAPHIC_SPACE = re.compile("\u3000")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _ODD_SPACE = re.compile(f"[{ODD_SPACE}]")
 _VIETNAMESE = re.compile("[ăđơưạ-ỹĂĐƠƯẠ-Ỹ]")
@@ -102,7 +101,7 @@ def mapped(text: str) -> str:
     x = _INVISIBLE.sub("", text)
     x = _JOINER.sub("", x)
     x = _ODD_SPACE.sub(" ", x)
-    if "　" in x:
+    if "\u3000" in x:
         x = _IDEOGRAPHIC_SPACE.sub(lambda m: m.group() if _CJK.match(x[m.start() - 1 : m.start()] or "a") or _CJK.match(x[m.end() : m.end() + 1] or "a") else " ", x)
     x = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), x)
     x = unicodedata.normalize("NFC", x)
@@ -124,13 +123,13 @@ def field_values(stories: DataFrame, tales: DataFrame) -> DataFrame:
     return s.unionByName(t.select("src", "row_id", "field_name", (F.col("p") + 1).alias("position"), "value")).filter("value is not null")
 
 
-def suspect(values: DataFrame):
-    return F.col("value").rlike(SUSPECT) | F.col("value").rlike(MIXED)
+def suspect() -> Column:
+    return F.col("value").rlike(SUSPECT) | (F.col("value").rlike(r"\p{IsCyrillic}") & F.col("value").rlike(r"\p{IsLatin}"))
 
 
 def canonical_suspects(values: DataFrame) -> DataFrame:
     """The suspect values with their canonical form."""
-    seen = values.filter(suspect(values)).withColumn("form", _mapped("value"))
+    seen = values.filter(suspect()).withColumn("form", _mapped("value"))
     # A value whose form is itself needs no class; the rest is grouped and joined by value.
     # It is small beside the table and read twice, so it is written once.
     changed = cut(seen.filter("form <> value"))
@@ -144,8 +143,8 @@ def unified(values: DataFrame) -> DataFrame:
     """Every value in its consistent form: (src, row_id, field_name, position,
     canonical, changed)."""
     changed = canonical_suspects(values)
-    same = values.filter(~suspect(values)).select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
-    kept = values.filter(suspect(values)).withColumn("form", _mapped("value")).filter("form = value")
+    same = values.filter(~suspect()).select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
+    kept = values.filter(suspect()).withColumn("form", _mapped("value")).filter("form = value")
     kept = kept.select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
     return same.unionByName(kept).unionByName(changed.select("src", "row_id", "field_name", "position", "canonical", (F.col("canonical") != F.col("value")).alias("changed")))
 
