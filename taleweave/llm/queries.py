@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, sentences, unify
+from taleweave.llm import boundaries, cooccur, languages, sentences, unify
 from taleweave.session import load
 
 
@@ -43,6 +43,14 @@ def p3_unified(spark, d):
     return unify.unified(_values(spark, d))
 
 
+def p4_found(spark, d):
+    return languages.identify(load(spark, d, "fairy_tales"), load(spark, d, "language_samples"), found_only=True)
+
+
+def p4_segments(spark, d):
+    return languages.identify(load(spark, d, "fairy_tales"), load(spark, d, "language_samples"))
+
+
 def p6_found(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id", with_text=False).select("record_id", "start_pos")
 
@@ -51,4 +59,4 @@ def p6_sentences(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p6_found, p6_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p6_found, p6_sentences)}
