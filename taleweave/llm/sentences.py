@@ -38,37 +38,43 @@ STOP, INNER = "\ue004", "\ue005"
 _Q = f"{OPEN}{SAID}{CLOSE}{MARK}"
 _LOWER = r"(?:\p{Ll}|[—–-]\s*\p{Ll})"
 
-#: (pattern, replacement), applied in this order.
+_TERMS = "[.!?…。！？।]"
+#: (pattern, replacement), applied in this order. Every pattern begins with the
+#: characters it is about and looks behind afterwards, so that other positions cost
+#: one comparison.
 STEPS: list[tuple[str, str]] = [
-    ("[\ue000-\ue005]", "\ue010"),
+    ("[-]", ""),
     # blank lines always end a sentence
     (r"(\r?\n[ \t]*\r?\n\s*)", f"$1{MARK}"),
     # quotation marks by their place: „ “ opens in German what “ closes
     (r"“(?=[\s,.;:!?)—–]|$)", CLOSE),
-    (r"(?<=[:：,，])(\s*)[“„«‘「『\"](?=\s?[^\s])", f"$1{SAID}"),
+    (r"([:：,，]\s*)[“„«‘「『\"](?=\s?[^\s])", f"$1{SAID}"),
     (r"[“„«‘「『]", OPEN),
     (r"[”»」』]|’(?=[\s,.;:!?)]|$)", CLOSE),
-    (r"(?<![^\s(\[—–])\"(?=[^\s])|(?<=[.!?…])\"(?=\p{Lu})", OPEN),
+    (r"\"(?:(?<![^\s(\[—–]\")(?=[^\s])|(?<=[.!?…]\")(?=\p{Lu}))", OPEN),
     (r"\"", CLOSE),
-    # addresses, initials, abbreviations, days before months, spaced letters
-    (r"(?<=(?:https?://|www\.)[^\s]{0,80})[.?!](?=[^\s])", STOP),
-    (r"(?<![\p{L}\p{M}])(\p{L})\.(?=\s?\p{L}\.)", f"$1{STOP}"),
-    (r"(?<![\p{L}\p{M}\p{N}])(\p{Lu}|[ap]" + STOP + r"?\s?m)\.(?=\s?[^\s])", f"$1{STOP}"),
-    (r"(?<![\p{L}\p{M}\p{N}])(" + "|".join(a.replace(".", "[." + STOP + "]") for a in ABBREVIATIONS) + r")\.", f"$1{STOP}"),
-    (r"(?<![\p{N}])(\p{N}{1,2})\.(?=\s+(?:" + "|".join(MONTHS) + r")\b)", f"$1{STOP}"),
+    # addresses, spaced letters, initials, abbreviations, days before months
+    (r"[.?!](?=[^\s])(?<=(?:https?://|www\.)[^\s]{0,80}[.?!])", STOP),
+    (r"\.(?=\s?\p{L}\.)(?<=(?<![\p{L}\p{M}])\p{L}\.)", STOP),
+    (
+        r"\.(?:(?=\s?[^\s])(?<=(?<![\p{L}\p{M}\p{N}])(?:\p{Lu}|[ap][." + STOP + r"]\s?m)\.)"
+        + r"|(?<=(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(a.replace(".", "[." + STOP + "]") for a in ABBREVIATIONS) + r")\.)"
+        + r"|(?=\s+(?:" + "|".join(MONTHS) + r")\b)(?<=(?<!\p{N})\p{N}{1,2}\.))",
+        STOP,
+    ),
     # terminators inside quotations, brackets and dialogue between dashes
-    (rf"[.!?…。！？।](?=[^{_Q}]*{CLOSE})", INNER),
-    (rf"[.!?…。！？।](?=[^()（）{MARK}]*[)）])", INNER),
-    (rf"[.!?…](?=\s[^—{MARK}]*\s—\p{{Ll}})", INNER),
+    (rf"{_TERMS}(?=[^{_Q}]*+{CLOSE}|[^()（）{MARK}]*+[)）]|\s[^—{MARK}]*+(?<=\s)—\p{{Ll}})", INNER),
     # an introduced quotation that ends in a terminator ends its sentence
-    (rf"({SAID}[^{_Q}]*{INNER}\s?{CLOSE})(?=\s+(?!{_LOWER})[^\s]|[^\s\p{{P}}\p{{Ll}}{OPEN}]|{OPEN})", f"$1{MARK}"),
-    (rf"({OPEN}[^{_Q}]*{INNER}\s?{CLOSE})(?=\s+(?:\p{{Lu}}|[{OPEN}{SAID}¿¡]))", f"$1{MARK}"),
+    (rf"({SAID}[^{_Q}]*+(?<={INNER}\s?){CLOSE})(?=\s+(?!{_LOWER})[^\s]|[^\s\p{{P}}\p{{Ll}}{OPEN}]|{OPEN})", f"$1{MARK}"),
+    (rf"({OPEN}[^{_Q}]*+(?<={INNER}\s?){CLOSE})(?=\s+(?:\p{{Lu}}|[{OPEN}{SAID}¿¡]))", f"$1{MARK}"),
     # terminators of the scripts with what closes after them
-    (rf"([.!?…।]+[\])）{CLOSE}]*)(?=\s+(?!{_LOWER}|[,;:])[^\s])", f"$1{MARK}"),
-    (rf"(?<=[\p{{Ll}}\p{{M}}\p{{Lo}}\p{{N}}\]){CLOSE}])([.!?।]+)(?=\p{{Lu}}[\p{{Ll}}\s]|[{OPEN}¿¡])", f"$1{MARK}"),
-    (rf"([。！？]+[{CLOSE}）]*)(?=[^。！？{CLOSE}）{MARK}])", f"$1{MARK}"),
+    (
+        rf"([.!?…।]+[\])）{CLOSE}]*)(?=\s+(?!{_LOWER}|[,;:])[^\s])|([.!?।]+)(?<=[\p{{Ll}}\p{{M}}\p{{Lo}}\p{{N}}\]){CLOSE}][.!?।]{{1,3}})(?=\p{{Lu}}[\p{{Ll}}\s]|[{OPEN}¿¡])"
+        rf"|([。！？]+[{CLOSE}）]*)(?=[^。！？{CLOSE}）{MARK}])",
+        f"$1$2$3{MARK}",
+    ),
     # a space ends a Thai sentence unless a numeral or the repetition mark is beside it
-    (rf"(?<=[\p{{IsThai}}{CLOSE})])(?<![๐-๙ๆ])([ \n])(?=[\p{{IsThai}}{OPEN}(])(?![๐-๙ๆ])", f"$1{MARK}"),
+    (rf"([ \n])(?=[\p{{IsThai}}{OPEN}(])(?![๐-๙ๆ])(?<=[\p{{IsThai}}{CLOSE})][ \n])(?<![๐-๙ๆ][ \n])", f"$1{MARK}"),
 ]
 
 
