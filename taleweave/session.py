@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that
+    they need not find it on their own path."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        here = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "taleweave.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
