@@ -109,6 +109,7 @@ class Model:
                 backoff = math.exp(sum(g) / len(g)) if g else 1e-6
                 # a word of the language, or one spelt like its words
                 out.append(math.log((self.words[c][w] + 2.0 * backoff) / (self.n_words[c] + 2.0)))
+            out[0] = max(out[0], out.pop())  # Vietnamese with or without accents
             best = max(out)
             got = tuple(max(x - best, -7.0) for x in out)
             if len(self.known) > 200_000:
@@ -140,15 +141,15 @@ class Model:
                 own = share.get("kana", 0) + min(share.get("han", 0), 6 * share.get("kana", 0)) + (0.5 * east if not share.get("kana") else 0)
             elif c in LATIN:
                 own = latin
-            out[c] = -0.6 * (total - own)
+            out[c] = -3.0 * (total - own)
         if words:
-            sums = [0.0] * len(LATIN)
+            sums = [0.0] * 5
             for w, n in Counter(words).items():
                 v = self.word(w)
-                for i in range(6):
+                for i in range(5):
                     sums[i] += n * v[i]
             for i, c in enumerate(LATIN[:5]):
-                out[c] += max(sums[0], sums[5]) if c == "vi" else sums[i]
+                out[c] += sums[i]
         return out, total
 
 

@@ -38,7 +38,7 @@ STOP, INNER = "\ue004", "\ue005"
 _Q = f"{OPEN}{SAID}{CLOSE}{MARK}"
 _LOWER = r"(?:\p{Ll}|[—–-]\s*\p{Ll})"
 
-_TERMS = "[.!?…。！？।]"
+_TERMS = ".!?…。！？।"
 #: (pattern, replacement), applied in this order. Every pattern begins with the
 #: characters it is about and looks behind afterwards, so that other positions cost
 #: one comparison.
@@ -51,7 +51,7 @@ STEPS: list[tuple[str, str]] = [
     (r"([:：,，]\s*)[“„«‘「『\"](?=\s?[^\s])", f"$1{SAID}"),
     (r"[“„«‘「『]", OPEN),
     (r"[”»」』]|’(?=[\s,.;:!?)]|$)", CLOSE),
-    (r"\"(?:(?<![^\s(\[—–]\")(?=[^\s])|(?<=[.!?…]\")(?=\p{Lu}))", OPEN),
+    (r"\"(?:(?<![^\s(\[—–" + MARK + r"]\")(?=[^\s])|(?<=[.!?…]\")(?=\p{Lu}))", OPEN),
     (r"\"", CLOSE),
     # addresses, spaced letters, initials, abbreviations, days before months
     (r"[.?!](?=[^\s])(?<=(?:https?://|www\.)[^\s]{0,80}[.?!])", STOP),
@@ -62,8 +62,11 @@ STEPS: list[tuple[str, str]] = [
         + r"|(?=\s+(?:" + "|".join(MONTHS) + r")\b)(?<=(?<!\p{N})\p{N}{1,2}\.))",
         STOP,
     ),
-    # terminators inside quotations, brackets and dialogue between dashes
-    (rf"{_TERMS}(?=[^{_Q}]*+{CLOSE}|[^()（）{MARK}]*+[)）]|\s[^—{MARK}]*+(?<=\s)—\p{{Ll}})", INNER),
+    # terminators inside quotations, brackets and dialogue between dashes: a match
+    # begins at an opening sign that is closed, or where the last match ended
+    (rf"((?:[{OPEN}{SAID}](?=[^{_Q}]*+{CLOSE})|(?!^)\G)[^{_Q}{_TERMS}]*+)[{_TERMS}]", f"$1{INNER}"),
+    (rf"((?:[(（](?=[^()（）{MARK}]*+[)）])|(?!^)\G)[^()（）{MARK}{_TERMS}]*+)[{_TERMS}]", f"$1{INNER}"),
+    (rf"((?:—(?=[^\s][^—{MARK}]*+(?<=\s)—\p{{Ll}})|(?!^)\G)[^—{MARK}{_TERMS}]*+)[{_TERMS}]", f"$1{INNER}"),
     # an introduced quotation that ends in a terminator ends its sentence
     (rf"({SAID}[^{_Q}]*+(?<={INNER}\s?){CLOSE})(?=\s+(?!{_LOWER})[^\s]|[^\s\p{{P}}\p{{Ll}}{OPEN}]|{OPEN})", f"$1{MARK}"),
     (rf"({OPEN}[^{_Q}]*+(?<={INNER}\s?){CLOSE})(?=\s+(?:\p{{Lu}}|[{OPEN}{SAID}¿¡]))", f"$1{MARK}"),
