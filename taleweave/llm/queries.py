@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, languages, sentences, unify
+from taleweave.llm import boundaries, cooccur, languages, pii, sentences, unify
 from taleweave.session import load
 
 
@@ -59,4 +59,12 @@ def p6_sentences(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p6_found, p6_sentences)}
+def p10_found(spark, d):
+    return pii.found_items(load(spark, d, "documents")).select("doc_id", "pii_type", "start_pos")
+
+
+def p10_redacted(spark, d):
+    return pii.redacted(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p6_found, p6_sentences, p10_found, p10_redacted)}
