@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, languages, pii, sentences, unify
+from taleweave.llm import boundaries, cooccur, languages, neardup, pii, sentences, unify
 from taleweave.session import load
 
 
@@ -51,6 +51,18 @@ def p4_segments(spark, d):
     return languages.identify(load(spark, d, "fairy_tales"), load(spark, d, "language_samples"))
 
 
+def p5_found(spark, d):
+    return neardup.all_pairs(load(spark, d, "fairy_tales"))
+
+
+def p5_pairs(spark, d):
+    return neardup.near_duplicates(load(spark, d, "fairy_tales"))[0]
+
+
+def p5_groups(spark, d):
+    return neardup.groups(load(spark, d, "fairy_tales"))
+
+
 def p6_found(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id", with_text=False).select("record_id", "start_pos")
 
@@ -67,4 +79,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p6_found, p6_sentences, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p10_found, p10_redacted)}

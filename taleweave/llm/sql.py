@@ -30,4 +30,13 @@ from p join s a on a.item = item_a join s b on b.item = item_b, t
 where n_ab >= 5 and n_ab * 500 >= t.n
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS}
+P5_FOUND = r"""
+with t as (select record_id id, replace(replace(replace(replace(lower(coalesce(title, '') || text), ' ', ''), chr(9), ''), chr(13), ''), chr(10), '') x from fairy_tales where text is not null),
+g as (select distinct id, substr(x, i, 12) s from (select id, x, unnest(range(1, greatest(length(x) - 10, 2))) i from t)),
+n as (select id, count(*) n from g group by 1),
+-- only substrings of two rows or more matter for common ones
+c as (select a.id a, b.id b, count(*) c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2)
+select a record_id_a, b record_id_b from c join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c)
+"""
+
+SQL = {"p5_found": P5_FOUND, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS}
