@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, languages, neardup, pii, sentences, unify
+from taleweave.llm import boundaries, cooccur, languages, names, neardup, pii, sentences, unify
 from taleweave.session import load
 
 
@@ -71,6 +71,18 @@ def p6_sentences(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id")
 
 
+def _mentions(spark, d):
+    return names.mentions(load(spark, d, "document_graphs"), load(spark, d, "stories"), load(spark, d, "chunk_metadata"))
+
+
+def p7_found(spark, d):
+    return names.variant_links(_mentions(spark, d), load(spark, d, "cast_members"))
+
+
+def p7_forms(spark, d):
+    return names.link_forms(_mentions(spark, d), load(spark, d, "cast_members"))
+
+
 def p10_found(spark, d):
     return pii.found_items(load(spark, d, "documents")).select("doc_id", "pii_type", "start_pos")
 
@@ -79,4 +91,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p10_found, p10_redacted)}
