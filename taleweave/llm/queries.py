@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taleweave.llm import boundaries, cooccur, languages, names, neardup, pii, sentences, unify
+from taleweave.llm import boundaries, cooccur, languages, mixing, names, neardup, packing, pii, sentences, tokens, unify
 from taleweave.session import load
 
 
@@ -83,6 +83,22 @@ def p7_forms(spark, d):
     return names.link_forms(_mentions(spark, d), load(spark, d, "cast_members"))
 
 
+def p8_packing(spark, d):
+    return packing.pack(tokens.token_counts(load(spark, d, "documents")), load(spark, d, "pack_windows"))
+
+
+def p8_fill(spark, d):
+    return packing.fill(p8_packing(spark, d), load(spark, d, "pack_windows"))
+
+
+def p9_mixture(spark, d):
+    return mixing.select(tokens.token_counts(load(spark, d, "documents")), load(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    return mixing.shares(p9_mixture(spark, d), load(spark, d, "mix_targets"))
+
+
 def p10_found(spark, d):
     return pii.found_items(load(spark, d, "documents")).select("doc_id", "pii_type", "start_pos")
 
@@ -91,4 +107,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}
