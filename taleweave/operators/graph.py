@@ -31,3 +31,74 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not changed:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def undirected(relations: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
+    """(u, v, weight): edges by sorted pair, self-loops dropped, counted before the
+    shuffle; the weight is the number of relations."""
+    x = relations.filter(f"{a} is not null and {b} is not null and {a} <> {b}")
+    return x.groupBy(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).agg(F.count("*").alias("weight"))
+
+
+def weighted_degree(edges: DataFrame) -> DataFrame:
+    """(node, degree): the sum of the weights of incident edges."""
+    return edges.select(F.col("u").alias("node"), "weight").unionAll(edges.select("v", "weight")).groupBy("node").agg(F.sum("weight").alias("degree"))
+
+
+def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, hops): nodes within depth edges of each start, without itself.
+    Breadth-first; each round meets only the nodes found in the last one."""
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
+    frontier = seen
+    for d in range(1, depth + 1):
+        step = frontier.select("start", F.col("node").alias("u")).join(both, "u").select("start", F.col("v").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(d)))
+        seen = seen.unionByName(frontier)
+    return seen.filter("hops > 0")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 3) -> DataFrame:
+    """(a, b, length, path): one shortest path of at most max_edges edges for each pair
+    (a, b), the least in node order; equal ends give the node itself; no row if none."""
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    now = pairs.select("a", "b").distinct().withColumn("node", F.col("a")).withColumn("path", F.array("a"))
+    found = now.filter("a = b")
+    now = now.filter("a <> b")
+    for _ in range(max_edges):
+        step = now.join(both, now.node == both.u).filter("not array_contains(path, v)").select("a", "b", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
+        # one path to a node is enough: the least of this length
+        now = cut(step.groupBy("a", "b", "node").agg(F.min("path").alias("path")))
+        found = found.unionByName(now.filter("node = b"))
+    best = found.groupBy("a", "b").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m"))
+    return best.select("a", "b", (F.col("m.n") - 1).alias("length"), F.col("m.path").alias("path"))
+
+
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(node, community): weighted label propagation in fixed rounds; a node takes the
+    label of the greatest weight among its neighbours and itself, the least label on
+    a tie, so the result does not depend on the partitioning. It stands in for
+    modularity methods that need a whole component in one task."""
+    both = cut(edges.select("u", "v", "weight").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
+    labels = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
+    for _ in range(rounds):
+        votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
+        own = labels.select(F.col("node").alias("u"), "community", F.lit(1).cast("long").alias("w"))
+        votes = votes.unionByName(own).groupBy("u", "community").agg(F.sum("w").alias("w"))
+        new = cut(votes.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("m")).select(F.col("u").alias("node"), F.col("m.community").alias("community")))
+        changed = new.join(labels, ["node", "community"], "left_anti").limit(1).count()
+        labels = new
+        if not changed:
+            break
+    return labels
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Of a partition (node, community) of weighted edges."""
+    m = edges.agg(F.sum("weight").alias("m")).first().m or 0
+    if not m:
+        return 0.0
+    a, b = (labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
+    inside = edges.join(a, "u").join(b, "v").filter("cu = cv").agg(F.sum("weight").alias("w")).first().w or 0
+    deg = weighted_degree(edges).join(labels, "node").groupBy("community").agg(F.sum("degree").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("s")).first().s
+    return inside / m - deg / (4.0 * m * m)
