@@ -8,6 +8,9 @@ neither side is broadcast or collected.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +27,7 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
     return rows.groupBy(f"{name}_block").agg(F.collect_list("r").alias(f"{name}_rows"))
 
 
-def _best(k: int, metric: str):
+def _best(k: int | None, metric: str, least: float | None = None):
     def matrix(rows):
         ids = np.array([r["id"] for r in rows], dtype=np.int64)
         v = np.array([r["v"] for r in rows], dtype=np.float64)
@@ -45,7 +48,7 @@ def _best(k: int, metric: str):
                     s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * q @ c.T))
                 s = np.round(s, 6)
                 for i in range(len(qi)):
-                    top = np.lexsort((ci, -s[i]))[:k]
+                    top = np.flatnonzero(s[i] >= least) if least is not None else np.lexsort((ci, -s[i]))[:k]
                     out.append(pa.table({"query_id": np.full(len(top), qi[i]), "id": ci[top], "score": s[i][top]}))
             if out:
                 yield from pa.concat_tables(out).to_batches()
@@ -53,6 +56,12 @@ def _best(k: int, metric: str):
     return run
 
 
+def within(queries: DataFrame, corpus: DataFrame, least: float, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score): every row with a score of at least the threshold."""
+    pairs = _blocks(queries, query_key, vector, QUERY_BLOCK, "q").crossJoin(_blocks(corpus, key, vector, CORPUS_BLOCK, "c")).select("q_rows", "c_rows")
+    return pairs.mapInArrow(_best(None, metric, least), "query_id long, id long, score double")
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows; score is the cosine, or the
     negative distance for l2, to 6 digits, ties by id. Null vectors match nothing."""
@@ -96,12 +105,20 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(F.col(group).alias("grp"), F.posexplode(vector).alias("dim", "x")).groupBy("grp", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("n"))
 
 
-def hash_embedding(text_words, dims: int = 256):
-    """Offline stand-in for an embedding model, as a Column: counts of words by crc32
-    modulo dims, to length 1."""
-    buckets = F.transform(text_words, lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
-
+def hash_embeddings(df: DataFrame, key: str, text: str = "text", dims: int = 256) -> DataFrame:
+    """(id, embedding): offline stand-in for an embedding model, counts of lower-case
+    words by crc32 modulo dims, to length 1; texts without words are zero vectors."""
 
+    def run(batches):
+        word = re.compile(r"\w+")
+        for b in batches:
+            m = np.zeros((b.num_rows, dims))
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for w in word.findall((t or "").lower()):
+                    m[i, zlib.crc32(w.encode()) % dims] += 1
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            m = np.divide(m, n, out=m, where=n > 0).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dims, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "embedding"])
+
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, embedding array<float>")

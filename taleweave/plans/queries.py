@@ -1,5 +1,8 @@
-"""Registered queries of the core."""
+"""Registered queries of the core and their SQL."""
 
-QUERIES = {}
-SQL = {}
-FLAGSHIP = ""
+from taleweave.plans import retrieval, text
+
+MODULES = (text, retrieval)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
+FLAGSHIP = "hybrid_search"
