@@ -8,7 +8,7 @@ the union of the tokens of each group, and a query opens a group only if it
 overlaps the union in at least one token: by the tokens, a pair at the threshold is
 missed with probability (1 - 0.6^4)^60 = 0.0002, a pair at 0.7 with 5e-8. In an
 opened group, length and SCREEN matching minimum hashes bound the similarity (at
-the threshold 72 of 120 match on average, fewer than 45 in 1 of 10 million pairs),
+the threshold 38 of 64 match on average, fewer than 18 in 1 of 10 million pairs),
 and the pairs left are decided exactly on their whole substring sets.
 
 Every step is a shuffled join on a key that AQE splits when it is hot; no group is
@@ -21,6 +21,7 @@ similarity 1; repeated ids pair with others, not with themselves.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.operators.graph import components
-from taleweave.session import cut
+from taleweave.session import cut, small_side
 
 WIDTH, THRESHOLD = 12, 0.6
-BANDS, ROWS, KEPT, SCREEN = 60, 4, 120, 45
+BANDS, ROWS, KEPT, SCREEN = 60, 4, 64, 18
 
 _SPACE = re.compile(r"[ \t\r\n]")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -63,8 +64,11 @@ def sketch(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(band signatures, the low bytes of KEPT minimum hashes)."""
     low = (grams >> np.uint64(16)).astype(np.uint32)
     least = np.full(len(_MULTIPLIERS), 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(low), 4096):  # bounded memory for very long texts
-        np.minimum(least, (low[None, i : i + 4096] * _MULTIPLIERS[:, None]).min(1), out=least)
+    # in pieces that stay in the processor's cache, also for very long texts
+    for i in range(0, len(low), 1024):
+        part = low[None, i : i + 1024]
+        for k in range(0, len(_MULTIPLIERS), 24):
+            np.minimum(least[k : k + 24], (part * _MULTIPLIERS[k : k + 24, None]).min(1), out=least[k : k + 24])
     mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_SALT).sum(1, dtype=np.uint64)
     mixed ^= mixed >> np.uint64(31)
     mixed *= _MIX[1]
@@ -79,16 +83,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(batches):
     for b in batches:
         ids, titles, texts = (b.column(i).to_pylist() for i in range(3))
-        sizes, tokens, sketches = [], [], []
+        keys, sizes, tokens, sketches = [], [], [], []
         for title, text in zip(titles, texts):
-            g = substrings(normal(title, text))
+            x = normal(title, text)
+            g = substrings(x)
             t, s = sketch(g)
+            keys.append(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             sizes.append(len(g))
             tokens.append(t)
             sketches.append(s)
         flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary())], ["id", "n", "tokens", "sketch"])
+        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "tokens", "sketch"])
 
 
 def _screened(batches):
@@ -115,28 +122,25 @@ def _decided(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["rep_a", "rep_b", "similarity"])
 
 
-def texts_of(tales: DataFrame) -> DataFrame:
-    """(id, title, text, key): the rows with text and the key of their normal form."""
-    x = F.translate(F.lower(F.concat(F.coalesce("title", F.lit("")), F.col("text"))), " \t\r\n", "")
-    return tales.filter("text is not null").select(F.col("record_id").alias("id"), "title", "text", F.unhex(F.md5(x)).alias("key"))
-
-
 def near_duplicates(tales: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives: rep_a < rep_b, similarity; members: id, rep)."""
-    rows = texts_of(tales)
-    members = rows.join(rows.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep").distinct()
-    # Only representatives are sketched; a key is met by one row of the least id.
-    first = rows.join(rows.groupBy("key").agg(F.min("id").alias("rep")).select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    docs = cut(first.select("id", "title", "text").mapInArrow(_sketches, "id long, n int, tokens array<int>, sketch binary"))
-    matrix = docs.select(F.col("tokens")[0].alias("g"), "id", F.explode("tokens").alias("token"))
+    rows = tales.filter("text is not null").select(F.col("record_id").alias("id"), "title", "text")
+    sketched = cut(rows.mapInArrow(_sketches, "id long, key binary, n int, tokens array<int>, sketch binary"))
+    # equal texts have equal sketches: the row of the least id stands for them
+    reps = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = cut(sketched.select("id", "key").join(reps, "key").select("id", "rep", "copies").distinct())
+    # every other row stands for itself, so that mostly nothing is left out
+    docs = sketched.join(small_side(members.filter("id <> rep").select("id").distinct()), "id", "left_anti")
+    docs = docs.select(F.col("tokens")[0].alias("g"), "id", "n", "tokens", "sketch")
+    matrix = docs.select("g", "id", F.explode("tokens").alias("token"))
     q, p = matrix.alias("q"), matrix.alias("p")
-    met = q.join(p, F.expr("q.token = p.token and q.id < p.id")).groupBy(F.col("q.id").alias("a"), F.col("q.g").alias("own"), F.col("p.g").alias("g")).agg(F.count("*").alias("overlap"))
-    side = docs.select("id", "n", "sketch", F.col("tokens")[0].alias("g"))
-    opened = met.filter("overlap >= 1").join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), "g"), "g").filter("b > a")
+    met = q.join(p, F.expr("q.token = p.token and q.id < p.id")).groupBy(F.col("q.id").alias("a"), F.col("p.g").alias("g")).agg(F.count("*").alias("overlap"), F.max(F.col("q.g")).alias("own"))
+    side = docs.select("id", "n", "sketch", "g")
+    opened = met.filter("overlap >= 1").select("a", "g").join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), "g"), "g").filter("b > a")
     pairs = opened.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").filter(f"least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
     left = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_screened, "a long, b long"))
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    texts = rows.select("id", "title", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = rows.join(small_side(ids), "id", "left_semi").dropDuplicates(["id"])
     ta, tb = (texts.select(F.col("id").alias(c), F.col("title").alias(f"t{c}"), F.col("text").alias(f"x{c}")) for c in "ab")
     both = left.join(ta, "a").join(tb, "b").select("a", "b", "ta", "xa", "tb", "xb")
     return both.mapInArrow(_decided, "rep_a long, rep_b long, similarity double"), members
@@ -147,8 +151,9 @@ def all_pairs(tales: DataFrame) -> DataFrame:
     pairs, members = near_duplicates(tales)
     a, b = (members.select(F.col("rep").alias(f"rep_{c}"), F.col("id").alias(f"id_{c}")) for c in "ab")
     links = pairs.join(a, "rep_a").join(b, "rep_b").select("id_a", "id_b")
-    copies = members.filter("id <> rep").select("rep").distinct()
-    equal = a.join(copies, F.col("rep_a") == F.col("rep"), "left_semi").join(b, F.col("rep_a") == F.col("rep_b")).filter("id_a < id_b").select("id_a", "id_b")
+    more = members.filter("copies > 1")
+    c, e = (more.select(F.col("rep"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    equal = c.join(e, "rep").filter("id_a < id_b").select("id_a", "id_b")
     return links.unionByName(equal).select(F.least("id_a", "id_b").alias("record_id_a"), F.greatest("id_a", "id_b").alias("record_id_b"))
 
 
