@@ -7,7 +7,7 @@ flows run with replayed or scripted models, as their tests do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ def generated(factory: Callable[[], Model], max_failures: int = 3):
     max_failures in a row the rest of the task is not asked."""
 
     @F.pandas_udf(StringType())
-    def reply(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, failed = factory(), 0
         for s in batches:
             if failed >= max_failures:

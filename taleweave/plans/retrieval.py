@@ -233,8 +233,8 @@ def mmr(spark, d):
 
 
 @query("""
-with q as (select vec_id query_id, label scope, vec_id * 60 at, cast(embedding as double[]) v from embeddings where vec_id % 100 = 0), e as (select vec_id entry_id, label scope, vec_id * 60 at, cast(embedding as double[]) v from embeddings where vec_id % 3 = 1),
-p as (select query_id, entry_id, round(list_cosine_similarity(q.v, e.v), 6) similarity from q join e using (scope) where e.at <= q.at and q.at - e.at <= 6000)
+with q as (select vec_id query_id, label scope, vec_id * 60 t0, cast(embedding as double[]) v from embeddings where vec_id % 100 = 0), e as (select vec_id entry_id, label scope, vec_id * 60 t0, cast(embedding as double[]) v from embeddings where vec_id % 3 = 1),
+p as (select query_id, entry_id, round(list_cosine_similarity(q.v, e.v), 6) similarity from q join e using (scope) where e.t0 <= q.t0 and q.t0 - e.t0 <= 6000)
 select query_id, entry_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, entry_id) r from p where similarity >= 0.1) where r = 1
 """)
 def semantic_cache_lookup(spark, d):
