@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
+from taleweave.session import small_side
 
 K1, B = 1.5, 0.75
 
@@ -18,18 +19,30 @@ def postings(docs: DataFrame, key: str, text: str = "text", analyzer=T.words) ->
     return sorted_terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, idf_floor: float | None = None) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score): Okapi BM25 of queries (query_id, term) over an index of
     postings. The idf is ln(1 + (N - df + .5) / (df + .5)), always positive."""
-    docs = index.groupBy("id").agg(F.max("dl").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats.n, stats.avgdl or 1.0
+    stats = index.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     asked = queries.select("query_id", "term").distinct()
-    # only postings of asked terms meet the queries; AQE splits a hot term
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    hit = index.join(small_side(asked.select("term").distinct()), "term", "left_semi")
+    return _scored(hit, asked, stats, k1, b)
+
+
+def bm25_of_texts(docs: DataFrame, key: str, text: str, queries: DataFrame, analyzer=T.words, k1: float = K1, b: float = B) -> DataFrame:
+    """The same over texts without a stored index: words that no query asks for are
+    dropped before they are counted, so only asked words are shuffled."""
+    w = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    stats = w.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    asked = queries.select("query_id", "term").distinct()
+    words = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    hit = words.join(small_side(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    return _scored(hit, asked, stats, k1, b)
+
+
+def _scored(hit: DataFrame, asked: DataFrame, stats, k1: float, b: float) -> DataFrame:
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     scored = hit.join(df, "term").select("term", "id", weight.alias("w"))
     return scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 

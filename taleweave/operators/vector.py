@@ -20,35 +20,45 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8_192
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """(<name>_block, <name>_rows): arrays of about size rows each."""
-    n = max(1, -(-df.count() // size))
-    rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_block"), F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).alias("r"))
-    return rows.groupBy(f"{name}_block").agg(F.collect_list("r").alias(f"{name}_rows"))
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str, n: int | None) -> DataFrame:
+    """(<name>_rows): arrays of about size rows each. n: the number of rows, if known."""
+    n = max(1, -(-(df.count() if n is None else n) // size))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).alias("b"), F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).alias("r"))
+    return rows.groupBy("b").agg(F.collect_list("r").alias(f"{name}_rows")).select(f"{name}_rows")
+
+
+def _matrix(column, i: int, metric: str):
+    """(ids, vectors) of one block of a batch, without Python objects."""
+    rows = column[i].values
+    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    lists = rows.field("v")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = flat.reshape(len(ids), -1)
+    if metric == "cosine":
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    return ids, v
 
 
 def _best(k: int | None, metric: str, least: float | None = None):
-    def matrix(rows):
-        ids = np.array([r["id"] for r in rows], dtype=np.int64)
-        v = np.array([r["v"] for r in rows], dtype=np.float64)
-        if metric == "cosine":
-            n = np.sqrt((v * v).sum(1, keepdims=True))
-            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-        return ids, v
-
     def run(batches):
         for b in batches:
             out = []
-            for qs, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                qi, q = matrix(qs)
-                ci, c = matrix(cs)
+            for r in range(b.num_rows):
+                qi, q = _matrix(b.column(0), r, metric)
+                ci, c = _matrix(b.column(1), r, metric)
                 if metric == "cosine":
                     s = q @ c.T
                 else:
                     s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * q @ c.T))
                 s = np.round(s, 6)
                 for i in range(len(qi)):
-                    top = np.flatnonzero(s[i] >= least) if least is not None else np.lexsort((ci, -s[i]))[:k]
+                    if least is not None:
+                        top = np.flatnonzero(s[i] >= least)
+                    else:
+                        # all rows of the k-th best score stay in, so that ties go by id
+                        few = np.arange(len(ci)) if len(ci) <= k else np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
+                        top = few[np.lexsort((ci[few], -s[i][few]))[:k]]
                     out.append(pa.table({"query_id": np.full(len(top), qi[i]), "id": ci[top], "score": s[i][top]}))
             if out:
                 yield from pa.concat_tables(out).to_batches()
@@ -56,19 +66,22 @@ def _best(k: int | None, metric: str, least: float | None = None):
     return run
 
 
-def within(queries: DataFrame, corpus: DataFrame, least: float, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+def _pairs(queries, corpus, query_key, key, vector, n_queries, n_corpus) -> DataFrame:
+    """All pairs of a block of queries and a block of the corpus: blocks, not rows."""
+    q = _blocks(queries, query_key, vector, QUERY_BLOCK, "q", n_queries)
+    return q.crossJoin(_blocks(corpus, key, vector, CORPUS_BLOCK, "c", n_corpus))
+
+
+def within(queries: DataFrame, corpus: DataFrame, least: float, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine", n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """(query_id, id, score): every row with a score of at least the threshold."""
-    pairs = _blocks(queries, query_key, vector, QUERY_BLOCK, "q").crossJoin(_blocks(corpus, key, vector, CORPUS_BLOCK, "c")).select("q_rows", "c_rows")
+    pairs = _pairs(queries, corpus, query_key, key, vector, n_queries, n_corpus)
     return pairs.mapInArrow(_best(None, metric, least), "query_id long, id long, score double")
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine", n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows; score is the cosine, or the
     negative distance for l2, to 6 digits, ties by id. Null vectors match nothing."""
-    q = _blocks(queries, query_key, vector, QUERY_BLOCK, "q")
-    c = _blocks(corpus, key, vector, CORPUS_BLOCK, "c")
-    pairs = q.crossJoin(c).select("q_rows", "c_rows")  # blocks, not rows
-    best = pairs.mapInArrow(_best(k, metric), "query_id long, id long, score double")
+    best = _pairs(queries, corpus, query_key, key, vector, n_queries, n_corpus).mapInArrow(_best(k, metric), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -60,8 +60,7 @@ _TITLE_BM25 = _bm25(_TITLES, _WORDS, _ASKED, "y")
 
 
 def _scores(spark, d, column: str, analyzer=T.words):
-    index = lexical.postings(_docs(spark, d).filter(F.col(column).isNotNull()), "doc_id", column, analyzer)
-    return lexical.bm25(index, lexical.query_terms(_asked(spark, d), "doc_id", "title", analyzer))
+    return lexical.bm25_of_texts(_docs(spark, d), "doc_id", column, lexical.query_terms(_asked(spark, d), "doc_id", "title", analyzer), analyzer)
 
 
 @query(f"with {_TEXT_BM25}, {_top('xs', 5, 't')} select query_id, id, score, rank from t")
@@ -133,7 +132,7 @@ select query_id, id, best, rank from (select *, row_number() over (partition by
 """)
 def parent_expand(spark, d):
     c = chunking.fixed_windows(_docs(spark, d), "doc_id", "text", 400, 0).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), F.col("key").alias("parent_id"), "chunk")
-    s = lexical.bm25(lexical.postings(c, "child_id", "chunk"), lexical.query_terms(_asked(spark, d), "doc_id", "title"))
+    s = lexical.bm25_of_texts(c, "child_id", "chunk", lexical.query_terms(_asked(spark, d), "doc_id", "title"))
     return fusion.first_parents(lexical.top_k(s, 15), c.select("child_id", "parent_id"), 5)
 
 
@@ -144,8 +143,8 @@ def hybrid_search(spark, d):
     docs = _docs(spark, d)
     asked = _asked(spark, d)
     c = chunking.fixed_windows(docs, "doc_id", "text", 500, 50).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), F.col("key").alias("parent_id"), "chunk")
-    words = lexical.top_k(lexical.bm25(lexical.postings(c, "child_id", "chunk"), lexical.query_terms(asked, "doc_id", "title")), 20)
-    near = vector.top_k(vector.hash_embeddings(asked.filter("title is not null"), "doc_id", "title"), vector.hash_embeddings(c, "child_id", "chunk"), 20, "id", "id")
+    words = lexical.top_k(lexical.bm25_of_texts(c, "child_id", "chunk", lexical.query_terms(asked, "doc_id", "title")), 20)
+    near = vector.top_k(vector.hash_embeddings(asked.filter("title is not null"), "doc_id", "title"), vector.hash_embeddings(c, "child_id", "chunk"), 20, "id", "id", n_queries=asked.count(), n_corpus=c.count())
     return fusion.first_parents(fusion.hybrid(words, near, 15), c.select("child_id", "parent_id"), 5)
 
 
