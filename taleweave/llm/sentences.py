@@ -17,16 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Abbreviations before which or within which no sentence ends.
+# Abbreviations after which no sentence ends.
 ABBREVIATIONS = (
-    "TP Q TS ThS Th PGS GS BS KS P q t tr "  # Vietnamese
-    "Mr Mrs Ms Dr St Capt Prof Rev Gen Col Lt No Nos vol vols p pp fig ch ed cf Mt "  # English
-    "M Mme Mlle MM Mgr art chap éd "  # French
-    "Nr Bd Hr Fr vgl bzw ca Abb Kap S Str "  # German
-    "Sr Sra Srta D Dña Ud Uds pág págs núm núms cap "  # Spanish
-    "см стр кн гл рис проф акад ул тел г-н г-жа "  # Russian
+    "TP TS ThS Th PGS GS BS KS P "  # Vietnamese
+    "Mr Mrs Ms Dr St Capt Prof Rev Gen Col Lt cf "  # English
+    "M Mme Mlle MM Mgr "  # French
+    "Hr Fr vgl bzw Str "  # German
+    "Sr Sra Srta D Dña Ud Uds "  # Spanish
+    "см проф акад ул тел г-н г-жа "  # Russian
     "रु प्रो डॉ श्री पृ सं "  # Hindi
-    "พ.ศ ค.ศ น.ส ด.ช ด.ญ ดร อ จ ต"  # Thai
+    "พ.ศ ค.ศ น.ส ด.ช ด.ญ ดร"  # Thai
+).split()
+# Those after which none ends if a number follows.
+NUMBERED = (
+    "Q q t tr No Nos vol vols p pp fig ch ed art chap cap Nr Bd Abb Kap S ca pág págs núm núms стр кн гл рис"
 ).split()
 #: Month names after which a day with a full stop stands in German.
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
@@ -59,6 +63,7 @@ STEPS: list[tuple[str, str]] = [
     (
         r"\.(?:(?=\s?[^\s])(?<=(?<![\p{L}\p{M}\p{N}])(?:\p{Lu}|[ap][." + STOP + r"]\s?m)\.)"
         + r"|(?<=(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(a.replace(".", "[." + STOP + "]") for a in ABBREVIATIONS) + r")\.)"
+        + r"|(?=\s*\p{N})(?<=(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(NUMBERED) + r")\.)"
         + r"|(?=\s+(?:" + "|".join(MONTHS) + r")\b)(?<=(?<!\p{N})\p{N}{1,2}\.))",
         STOP,
     ),
