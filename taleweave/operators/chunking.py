@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.operators.sequence import neighbours, running_sum
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -176,13 +178,12 @@ def parent_child(df: DataFrame, key: str, text: str = "text", parent: int = 500,
     return parents, c.select(F.col("key").alias("parent_id"), F.col("chunk_index").alias("child_index"), F.col("chunk").alias("text"))
 
 
-def breakpoints(vectors: DataFrame, group: str | None, order: str, vector: str, similarity: Callable, threshold: float) -> DataFrame:
+def breakpoints(vectors: DataFrame, group: str, order: str, bucket: Column, vector: str, similarity: Callable, threshold: float) -> DataFrame:
     """Adds similarity to the row before and the running chunk number: a chunk begins
-    where the similarity is under the threshold. Without a group the order column is
-    one sequence, which one task walks; name a group wherever there is one."""
-    w = Window.partitionBy(*([group] if group else [])).orderBy(order)
-    x = vectors.withColumn("similarity", similarity(F.lag(vector).over(w), F.col(vector)))
-    return x.withColumn("chunk_no", F.sum(F.when(F.col("similarity") < threshold, 1).otherwise(0)).over(w))
+    where the similarity is under the threshold. bucket, growing with the order, splits
+    a long group over tasks."""
+    x = neighbours(vectors, group, [order], bucket, [vector]).withColumn("similarity", similarity(F.col(f"prev.{vector}"), F.col(vector)))
+    return running_sum(x.drop("prev", "next", "nth"), group, [order], bucket, F.when(F.col("similarity") < threshold, 1).otherwise(0), "chunk_no")
 
 
 def sequential_groups(chunks: DataFrame, group: str, index: str, size: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.operators.sequence import neighbours
+
 
 def manifest(df: DataFrame, path: str, content: str) -> DataFrame:
     """(path, sha256, size): fingerprints of contents; null contents count as empty."""
@@ -50,11 +52,12 @@ def matches(conditions: dict) -> Column:
     return reduce(lambda a, b: a & b, (one(c, v) for c, v in conditions.items()), F.lit(True))
 
 
-def versions(df: DataFrame, key: str, at: str, *tie: str) -> DataFrame:
-    """Slowly changing dimension: version, valid_from, valid_to, is_current per key."""
-    w = Window.partitionBy(key).orderBy(at, *tie)
-    following = F.lead(at).over(w)
-    return df.withColumn("version", F.row_number().over(w)).withColumn("valid_from", F.col(at)).withColumn("valid_to", following).withColumn("is_current", following.isNull())
+def versions(df: DataFrame, key: str, at: str, tie: str, bucket: Column | None = None) -> DataFrame:
+    """Slowly changing dimension: version, valid_from, valid_to, is_current per key in the
+    order of at and tie. Buckets of time (months of at by default) split hot keys."""
+    b = F.date_trunc("month", at) if bucket is None else bucket
+    x = neighbours(df, key, [at, tie], b, [at])
+    return x.select(*df.columns, F.col("nth").alias("version"), F.col(at).alias("valid_from"), F.col(f"next.{at}").alias("valid_to"), F.col("next").isNull().alias("is_current"))
 
 
 def pending(prompts: DataFrame, answers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import vectors as V
+from taleweave.operators.sequence import neighbours
 
 
 def seconds(c: str | Column) -> Column:
@@ -16,10 +17,14 @@ def seconds(c: str | Column) -> Column:
 
 def window_counts(events: DataFrame, key: str, ts: str, window_s: int, tie: str) -> DataFrame:
     """Adds in_window: events of the key in the window_s seconds up to the event, the
-    lower bound excluded; simultaneous events all count."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-(window_s * 1_000_000 - 1), 0)
-    return events.withColumn("_us", micros).withColumn("in_window", F.count("*").over(w)).drop("_us")
+    lower bound excluded; simultaneous events all count. A key is split into buckets of
+    16 windows; every event also stands in the next bucket, where it is only counted."""
+    us, size = F.unix_micros(F.col(ts).cast("timestamp")), window_s * 1_000_000
+    own = F.floor(F.col("_us") / (16 * size))
+    near = F.floor((F.col("_us") + size - 1) / (16 * size))
+    x = events.withColumn("_us", us).withColumn("_b", F.explode(F.array_distinct(F.array(own, near)))).withColumn("_own", F.col("_b") == own)
+    w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(size - 1), 0)
+    return x.withColumn("in_window", F.count("*").over(w)).filter("_own").drop("_us", "_b", "_own")
 
 
 def admitted(events: DataFrame, key: str, ts: str, tie: str, window_s: float, limit: int) -> DataFrame:
@@ -45,9 +50,9 @@ def admitted(events: DataFrame, key: str, ts: str, tie: str, window_s: float, li
 
 def ttl_hits(accesses: DataFrame, key: str, ts: str, tie: str, ttl_s: int) -> DataFrame:
     """Adds hit: the key was accessed at most ttl_s seconds before."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    gap = seconds(ts) - seconds(F.lag(ts).over(w))
-    return accesses.withColumn("hit", F.coalesce(gap <= ttl_s, F.lit(False)))
+    x = neighbours(accesses, key, [ts, tie], F.date_trunc("day", ts), [ts])
+    gap = seconds(ts) - seconds(f"prev.{ts}")
+    return x.withColumn("hit", F.coalesce(gap <= ttl_s, F.lit(False))).drop("prev", "next", "nth")
 
 
 def lru_resident(accesses: DataFrame, key: str, ts: str, tie: str, capacity: int) -> DataFrame:

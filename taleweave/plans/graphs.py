@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
@@ -152,12 +151,12 @@ def story_search(spark, d):
 
 @query("""
 with m as (select distinct story_id, trim(lower(x)) motif from (select story_id, unnest(motifs) x from stories) where trim(x) <> '')
-select motif, count(*) as n_stories, row_number() over (order by count(*) desc, motif) as rank from m where story_id is not null group by 1
+select motif, count(*) as n_stories from m where story_id is not null group by 1 order by count(*) desc, motif limit 50
 """)
 def motif_rank(spark, d):
+    """The fifty most frequent motifs, a report."""
     m = load(spark, d, "stories").filter("story_id is not null").select("story_id", F.explode("motifs").alias("x")).select("story_id", F.lower(F.trim("x")).alias("motif")).filter("motif <> ''").distinct()
-    g = m.groupBy("motif").agg(F.count("*").alias("n_stories"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n_stories"), "motif")))
+    return m.groupBy("motif").agg(F.count("*").alias("n_stories")).orderBy(F.desc("n_stories"), "motif").limit(50)
 
 
 @query("""

@@ -148,10 +148,9 @@ def recent_queries(spark, d):
 
 @query("select event_type, count(*) as n, round(count(*) * 1.0 / sum(count(*)) over (), 6) as share from events group by 1")
 def route_stats(spark, d):
-    g = load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    e = load(spark, d, "events")
+    total = e.count()
+    return e.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(total), 6))
 
 
 @query("select event_id, count(*) over (partition by user_id order by ts range between interval 3599999999 microsecond preceding and current row) as in_window from events")

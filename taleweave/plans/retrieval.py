@@ -5,12 +5,12 @@ The queries of a search are the rows whose id is divisible by 100, against all r
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
 from taleweave.functions import vectors as V
 from taleweave.operators import chunking, evaluation, fusion, lexical, serving, vector
+from taleweave.operators.sequence import neighbours
 from taleweave.session import load
 
 QUERIES, SQL = {}, {}
@@ -211,7 +211,7 @@ select label, id as vec_id, similarity, cast(sum(case when similarity < 0.2 then
 def semantic_breakpoints(spark, d):
     x = _vectors(spark, d).filter("embedding is not null")
     cos = lambda a, b: F.round(V.cosine(a, b), 6)
-    return chunking.breakpoints(x, "label", "vec_id", "embedding", cos, 0.2).select("label", "vec_id", "similarity", "chunk_no")
+    return chunking.breakpoints(x, "label", "vec_id", F.floor(F.col("vec_id") / 1000), "embedding", cos, 0.2).select("label", "vec_id", "similarity", "chunk_no")
 
 
 @query(f"""
@@ -220,7 +220,8 @@ select id as vec_id, round((0.3 * list_dot_product(e, f) + 0.7 * list_dot_produc
 """.replace(", m as (select id, f, [0.3 * a + 0.7 * b for a, b in []] z from s where false)", ""))
 def late_blend(spark, d):
     """The document vector (here the row's) blended .3 to .7 into that of the next row."""
-    x = _vectors(spark, d).filter("embedding is not null").withColumn("f", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("f is not null")
+    x = neighbours(_vectors(spark, d).filter("embedding is not null"), "label", ["vec_id"], F.floor(F.col("vec_id") / 1000), ["embedding"])
+    x = x.withColumn("f", F.col("next.embedding")).filter("f is not null")
     return x.select("vec_id", F.round(V.cosine(V.blend(F.col("embedding"), F.col("f"), 0.3), F.col("f")), 5).alias("closeness"))
 
 

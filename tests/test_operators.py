@@ -262,3 +262,16 @@ def test_folder_refresh(spark, tmp_path):
     (root / "b.md").write_text("two")
     run()
     assert seen == ["one", "two"]
+
+
+def test_two_level_windows_of_a_hot_key(spark):
+    from pyspark.sql import Window
+
+    from taleweave.operators import sequence
+
+    df = spark.range(900).select((F.col("id") % 3 == 0).cast("int").alias("k"), ((F.col("id") * 7919) % 1000).alias("o"), F.col("id").alias("v")).withColumn("k", F.when(F.col("v") % 50 == 0, None).otherwise(F.col("k")))
+    w = Window.partitionBy("k").orderBy("o", "v")
+    want = {r.v: (r.p, r.n, r.c, r.s) for r in df.select("v", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"), F.row_number().over(w).alias("c"), F.sum("o").over(w).alias("s")).collect()}
+    b = F.floor(F.col("o") / 37)
+    got = sequence.running_sum(sequence.neighbours(df, "k", ["o", "v"], b, ["v"]), "k", ["o", "v"], b, F.col("o"), "s")
+    assert {r.v: (r.prev.v if r.prev else None, r.next.v if r.next else None, r.nth, r.s) for r in got.collect()} == want
