@@ -3,13 +3,16 @@ position, title, text) rows, read in parallel by Spark's own readers."""
 
 from __future__ import annotations
 
+import csv
 import html
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -105,6 +108,34 @@ def html_title(page: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
+def csv_rows(content: bytes) -> list[tuple[int, str]]:
+    """(row number from 1, 'column: value' lines without empty values) of each record."""
+    rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace")))
+    return [(i, "\n".join(f"{k}: {v}" for k, v in r.items() if k and isinstance(v, str) and v.strip())) for i, r in enumerate(rows, 1)]
+
+
+def extracted(loaded: DataFrame, kind: str, extract: Callable[[bytes], list[tuple[int, str]]]) -> DataFrame:
+    """(source_root, relative_source, file_type, position, title, text) of the files of a
+    type by a function from the content to (position, text) parts, such as the pages of
+    a PDF or the lines an image reader finds. A file it fails on gives a null text."""
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for root, rel, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+                try:
+                    parts = extract(content)
+                except Exception:
+                    parts = [(0, None)]
+                title = re.sub(r"\.[^./]*$", "", rel.rsplit("/", 1)[-1]).translate(str.maketrans("_-", "  "))
+                out += [(root, rel, kind, int(p), title, t) for p, t in parts]
+            cols = list(zip(*out)) or [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.string()) for i, c in enumerate(cols)], ["source_root", "relative_source", "file_type", "position", "title", "text"])
+
+    rows = loaded.filter(F.col("file_type") == kind).select("source_root", "relative_source", "content")
+    return rows.mapInArrow(run, "source_root string, relative_source string, file_type string, position int, title string, text string")
+
+
 def documents(loaded: DataFrame) -> DataFrame:
     """(source_root, relative_source, file_type, position, title, text) of files().
     Whole-file types give one row, JSON lists one per item (position from 0), JSON
@@ -119,7 +150,7 @@ def documents(loaded: DataFrame) -> DataFrame:
     json_ = loaded.filter("file_type = 'json'").withColumn("_v", F.try_parse_json(raw))
     items = json_.select(*ids, stem.alias("title"), F.posexplode(F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))).alias("position", "_i")).select(*ids, "position", "title", F.to_json("_i").alias("text"))
     rows = loaded.filter("file_type = 'jsonl'").select(*ids, stem.alias("title"), F.posexplode(F.split(raw, r"\r?\n")).alias("position", "text")).filter("trim(text) <> ''").select(*ids, "position", "title", "text")
-    return plain.unionByName(pages).unionByName(word).unionByName(items).unionByName(rows)
+    return plain.unionByName(pages).unionByName(word).unionByName(items).unionByName(rows).unionByName(extracted(loaded, "csv", csv_rows))
 
 
 def row_documents(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:

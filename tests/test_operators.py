@@ -275,3 +275,41 @@ def test_two_level_windows_of_a_hot_key(spark):
     b = F.floor(F.col("o") / 37)
     got = sequence.running_sum(sequence.neighbours(df, "k", ["o", "v"], b, ["v"]), "k", ["o", "v"], b, F.col("o"), "s")
     assert {r.v: (r.prev.v if r.prev else None, r.next.v if r.next else None, r.nth, r.s) for r in got.collect()} == want
+
+
+def test_replies_and_ids(spark):
+    from taleweave.functions import replies as R
+
+    df = spark.createDataFrame([("GROUNDED: yes\nSCORE: 1.4\nSUPPORTED: a; b\nUNSUPPORTED:",), ("nothing",), (None,)], "r string")
+    g = [r.g for r in df.select(R.grounding(F.col("r")).alias("g")).collect()]
+    assert (g[0].grounded, g[0].score, g[0].supported, g[0].unsupported) == (True, 1.0, ["a", "b"], [])
+    assert g[1].grounded is None and g[1].score is None and g[2].supported == []
+    x = spark.createDataFrame([("Complex\nsimple",), ("?",), (None,)], "r string")
+    assert [r[0] for r in x.select(R.routed_by(F.col("r"))).collect()] == ["complex", "medium", "medium"]
+    ids = spark.createDataFrame([("12",), ("6ba7b811-9dad-11d1-80b4-00c04fd430c8",), ("a/b",), ("a/b",), (None,)], "i string")
+    p = [r[0] for r in ids.select(R.point_id(F.col("i"))).collect()]
+    assert p[0] == "12" and p[1] == "6ba7b811-9dad-11d1-80b4-00c04fd430c8" and p[2] == p[3] and len(p[2]) == 36 and p[4] is None
+    one = spark.createDataFrame([(5, {"b": "1", "a": "2"}, True), (5, {"a": "2", "b": "1"}, True)], "k int, f map<string,string>, r boolean")
+    assert one.select(R.scope(F.col("k"), F.col("f"), F.col("r"))).distinct().count() == 1
+
+
+def test_pattern_entities(spark):
+    from taleweave.functions import replies as R
+
+    text = "Ngày xưa ông Trần Văn An ở làng Phù Đổng gặp Lý Thường Kiệt."
+    got = {(a, b) for a, b, s, e in R.pattern_entities(text)}
+    assert {("Trần Văn An", "PERSON"), ("Phù Đổng", "LOCATION"), ("Lý Thường Kiệt", "NAME")} <= got
+    assert all(text[s:e] == a for a, _, s, e in R.pattern_entities(text))
+    r = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(R.entities("t").alias("e")).collect()
+    assert len(r[0].e) == len(got) and r[1].e is None and r[2].e == []
+
+
+def test_csv_and_own_readers(spark, tmp_path):
+    (tmp_path / "p_eople.csv").write_text('name,age,city\nAn,30,"Hà Nội, VN"\nBo,,\n')
+    (tmp_path / "x.pdf").write_bytes(b"one\ftwo")
+    loaded = loaders.files(spark, str(tmp_path))
+    got = [(r.position, r.title, r.text) for r in loaders.documents(loaded).orderBy("position").collect()]
+    assert got == [(1, "p eople", "name: An\nage: 30\ncity: Hà Nội, VN"), (2, "p eople", "name: Bo")]
+    pages = loaders.extracted(loaded, "pdf", lambda c: [(i, t) for i, t in enumerate(c.decode().split("\f"), 1)])
+    assert [(r.position, r.text) for r in pages.orderBy("position").collect()] == [(1, "one"), (2, "two")]
+    assert loaders.extracted(loaded, "pdf", lambda c: 1 / 0).first().text is None
