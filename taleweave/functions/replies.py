@@ -8,7 +8,7 @@ import pandas as pd
 import regex as re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Namespace of name-based point ids.
 NAMESPACE = uuid.NAMESPACE_URL
@@ -72,7 +72,7 @@ _TITLES = r"(?:ông|bà|anh|chị|cô|chú|bác|vua|hoàng tử|công chúa|Mr\.
 _PLACES = r"(?:làng|núi|sông|hồ|chùa|thành|xã|rừng|bến|village|river|mount|lake|forest)"
 _NAME = r"\p{Lu}[\w'’]*(?:\s\p{Lu}[\w'’]*){0,3}"
 _PATTERNS = (("LOCATION", re.compile(rf"\b{_PLACES}\s+({_NAME})")), ("PERSON", re.compile(rf"\b{_TITLES}\s+({_NAME})")), ("NAME", re.compile(rf"(?<![.!?]\s)(?<!^)\b(\p{{Lu}}[\w'’]+(?:\s\p{{Lu}}[\w'’]+){{1,3}})")))
-_ENTITIES = StructType.fromDDL("found array<struct<text:string,type:string,start:int,end:int>>")["found"].dataType
+_ENTITIES = ArrayType(StructType([StructField("text", StringType()), StructField("type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
 def pattern_entities(text: str) -> list[tuple[str, str, int, int]]:
