@@ -28,7 +28,7 @@ from taleweave.session import small_side
 
 _WORD = re.compile(r"\S+\s*|^\s+")
 _PARAGRAPH = re.compile(r"\n[ \t]*\r?\n\s*")
-_SENTENCE = re.compile(r"(?:[.!?…]+[\"”»’)\]]*\s+(?=[^\sa-zа-яà-ÿ])|[。！？।]+[」』”’）]*\s*)")
+_SENTENCE = re.compile(r"(?:(?<![.!?…])[.!?…]+[\"”»’)\]]*\s+(?=[^\sa-zа-яà-ÿ])|[。！？।]+[」』”’）]*\s*)")
 _SHORT = re.compile(r"(?:^|[\s(])\w{1,3}\.\s+$")
 _CLAUSE = re.compile(r"(?:[,;:–—]\s+|[，、；：]|\n)")
 

@@ -77,8 +77,8 @@ STEPS: list[tuple[str, str]] = [
     (rf"({OPEN}[^{_Q}]*+(?<={INNER}\s?){CLOSE})(?=\s+(?:\p{{Lu}}|[{OPEN}{SAID}¿¡]))", f"$1{MARK}"),
     # terminators of the scripts with what closes after them
     (
-        rf"([.!?…।]+[\])）{CLOSE}]*)(?=\s+(?!{_LOWER}|[,;:])[^\s])|([.!?।]+)(?<=[\p{{Ll}}\p{{M}}\p{{Lo}}\p{{N}}\]){CLOSE}][.!?।]{{1,3}})(?=\p{{Lu}}[\p{{Ll}}\s]|[{OPEN}¿¡])"
-        rf"|([。！？]+[{CLOSE}）]*)(?=[^。！？{CLOSE}）{MARK}])",
+        rf"([.!?…।](?<![.!?…।]{{2}})[.!?…।]*+[\])）{CLOSE}]*+)(?=\s+(?!{_LOWER}|[,;:])[^\s])|([.!?।](?<![.!?।]{{2}})[.!?।]{{0,2}}+)(?<=[\p{{Ll}}\p{{M}}\p{{Lo}}\p{{N}}\]){CLOSE}][.!?।]{{1,3}})(?=\p{{Lu}}[\p{{Ll}}\s]|[{OPEN}¿¡])"
+        rf"|([。！？]++[{CLOSE}）]*+)(?=[^。！？{CLOSE}）{MARK}])",
         f"$1$2$3{MARK}",
     ),
     # a space ends a Thai sentence unless a numeral or the repetition mark is beside it

@@ -382,3 +382,20 @@ def test_sketch_agrees_with_similarity():
     j = neardup.similarity(a, b)
     x, y = (np.frombuffer(neardup.sketch(g)[1], np.uint8) for g in (a, b))
     assert abs((x == y).mean() - j) < 0.2 and 0.5 < j < 0.7
+
+
+ODD_TEXTS = ["." * 60_000, "1 " * 30_000, "“" * 20_000, "a@" * 20_000, "không một " * 8_000, "( " * 20_000, "—a " * 15_000, " \n" * 30_000, "0" * 60_000, "“a!” " * 8_000, "told by " * 8_000, "水。" * 20_000, "ก " * 20_000]
+
+
+def test_very_long_odd_texts(spark, data):
+    rows = [(i, t, "t", "vi", None, None, None) for i, t in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(rows, "record_id long, text string, title string, language string, metadata map<string,string>, characters array<string>, config_id int").withColumn("doc_id", F.col("record_id")).withColumn("story_row_id", F.col("record_id"))
+    assert sentences.sentences(df, "record_id").count() > 0
+    assert pii.found_items(df).count() >= 0
+    samples = spark.read.parquet(f"{data}/language_samples.parquet")
+    assert languages.identify(df, samples).count() > 0
+    assert unify.unified(unify.field_values(df, df)).count() == 2 * len(ODD_TEXTS)
+    configs = spark.createDataFrame([(1, 1000, 100, True)], "config_id int, max_chunk_size int, chunk_overlap int, is_default boolean")
+    assert boundaries.split_oversized(boundaries.with_limits(df, "t", "record_id", configs)).count() > 500
+    assert neardup.all_pairs(df).count() == 0
+    assert tokens.token_counts(df.withColumn("source", F.lit("s"))).count() == len(ODD_TEXTS)
