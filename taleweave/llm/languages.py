@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taleweave.session import small_side
+
 LANGUAGES = ("vi", "en", "fr", "de", "es", "ru", "zh", "ja", "th", "hi")
 LATIN = ("vi", "en", "fr", "de", "es", "vi_plain")
 #: Bound of the labelled rows the classifier is fitted on.
@@ -224,7 +226,6 @@ def priors(rows: DataFrame, strength: float = 20.0) -> DataFrame:
     total = sum(overall.values())
     share = {c: (overall.get(c, 0) + strength / len(LANGUAGES)) / (total + strength) for c in LANGUAGES}
     codes = F.array(*[F.lit(c) for c in LANGUAGES])
-    # a labelled record says little about the next one, so the prior is flattened
     flat = F.map_from_arrays(codes, F.array(*[F.lit(share[c]) for c in LANGUAGES]))
 
     def smoothed(own, above):
@@ -232,6 +233,7 @@ def priors(rows: DataFrame, strength: float = 20.0) -> DataFrame:
         return F.map_from_arrays(codes, F.transform(codes, lambda c: (F.coalesce(F.element_at(own, c), F.lit(0)) + strength * F.element_at(above, c)) / (n + strength)))
 
     got = places.join(by_suffix, "suffix", "left").withColumn("suffix_share", smoothed(F.col("of_suffix"), flat)).withColumn("share", smoothed(F.col("own"), F.col("suffix_share")))
+    # a labelled record says little about the next one, so the prior counts by half
     return got.select("source", "suffix", F.transform(codes, lambda c: F.log(F.element_at("share", c)) * 0.5).alias("prior"))
 
 
@@ -263,7 +265,7 @@ def identify(tales: DataFrame, samples: DataFrame, found_only: bool = False) ->
     language_code) of the rows whose label is missing or wrong or that mix languages."""
     fitted = [(r.language, r.text) for r in samples.filter("text is not null and language is not null").orderBy("sample_id").limit(MAX_SAMPLES).collect()]
     rows = evidence(tales)
-    # the side of priors has a row per source and suffix; AQE broadcasts it if it is small
-    known = rows.join(priors(rows), ["source", "suffix"], "left").select("record_id", "text", "label", "prior")
+    # the side of priors has a row per source and suffix; beyond the bound texts are shuffled
+    known = rows.join(small_side(priors(rows)), ["source", "suffix"], "left").select("record_id", "text", "label", "prior")
     schema = "record_id long, language_code string" if found_only else "record_id long, segment_no int, start_pos int, n_chars int, language_code string, confidence double, label_code string"
     return known.mapInArrow(_labelled(fitted, found_only), schema)
