@@ -12,11 +12,10 @@ K1, B = 1.5, 0.75
 
 
 def postings(docs: DataFrame, key: str, text: str = "text", analyzer=T.words) -> DataFrame:
-    """(id, term, tf, dl). Term frequencies are counted inside the row, so that a
-    posting is one row before any shuffle; texts without words have none."""
-    terms = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    sorted_terms = terms.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return sorted_terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    """(id, term, tf, dl): counted before the shuffle; texts without words have none."""
+    terms = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w"))
+    words = terms.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).filter("term is not null")
+    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -31,10 +30,12 @@ def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
 def bm25_of_texts(docs: DataFrame, key: str, text: str, queries: DataFrame, analyzer=T.words, k1: float = K1, b: float = B) -> DataFrame:
     """The same over texts without a stored index: words that no query asks for are
     dropped before they are counted, so only asked words are shuffled."""
-    w = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    stats = w.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    w = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w"))
+    n = F.size("w")
+    stats = w.select(F.when(n > 0, n).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avgdl")).first()
     asked = queries.select("query_id", "term").distinct()
-    words = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    # outer: else the optimizer splits the text a second time in a filter
+    words = w.select("id", F.struct(n.alias("dl"), F.col("w")).alias("s")).select("id", F.col("s.dl").alias("dl"), F.explode_outer("s.w").alias("term"))
     hit = words.join(small_side(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     return _scored(hit, asked, stats, k1, b)
 
