@@ -136,6 +136,27 @@ def parent_expand(spark, d):
     return fusion.first_parents(lexical.top_k(s, 15), c.select("child_id", "parent_id"), 5)
 
 
+@query(f"""
+with {_LISTS}, u as (select query_id, id, score, 'passage' kind from a union all select query_id, id, score, 'card' from b),
+r as (select *, row_number() over (partition by query_id order by score desc, kind desc, id) r from u),
+c as (select query_id, id, kind, score, row_number() over (partition by query_id order by r) n from r where r <= 5 and kind = 'card')
+select query_id, id, 'passage' as kind, score from a where rank <= 5 union all select query_id, id, kind, score from c where n <= 2
+""")
+def cards_compete(spark, d):
+    """Titles as cards beside the passages: a card stands where it outranks one of the
+    best five passages, at most two."""
+    a, b = _two_lists(spark, d, 10)
+    return fusion.competing(a.drop("rank"), b.withColumn("kind", F.lit("card")), 5, {"card": 2})
+
+
+@query("""
+with q as (select doc_id query_id, title q from documents where doc_id % 100 = 0 and title is not null), v as (select query_id, [q, q || '?', q || ' là gì?', 'Giải thích ' || q] f from q)
+select query_id, cast(i as int) as variation_no, f[i + 1] as query from (select query_id, f, unnest(range(0, len(f))) i from v)
+""")
+def query_variations(spark, d):
+    return fusion.variations(_asked(spark, d).filter("title is not null"), "doc_id", "title")
+
+
 @query()
 def hybrid_search(spark, d):
     """The flagship: BM25 and vector lists over the chunks of all documents, fused,

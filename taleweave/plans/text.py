@@ -252,3 +252,23 @@ def citations(spark, d):
 def clock_format(spark, d):
     s = F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), F.lit(3600))
     return load(spark, d, "events").select("event_id", T.clock(s).alias("clock"))
+
+
+@query()
+def pattern_entities(spark, d):
+    """Entities by patterns in the texts of all documents, with their positions."""
+    from taleweave.functions import replies
+
+    e = _docs(spark, d).filter("text is not null").select("doc_id", F.explode(replies.entities("text")).alias("e"))
+    return e.select("doc_id", "e.text", "e.type", "e.start", "e.end")
+
+
+@query("select doc_id, concat_ws(chr(10), case when title is not null then 'title: ' || title end, case when source is not null then 'source: ' || source end, case when lang is not null then 'lang: ' || lang end) as profile from documents")
+def profiles(spark, d):
+    """Label: value lines of the known fields."""
+    return loaders.row_documents(_docs(spark, d), "doc_id", ["title", "source", "lang"]).select(F.col("key").alias("doc_id"), F.col("text").alias("profile"))
+
+
+@query("select doc_id, regexp_replace(regexp_extract(source || '/' || coalesce(title, ''), '([^/\\\\]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g') as file_name from documents")
+def safe_names(spark, d):
+    return _docs(spark, d).select("doc_id", T.safe_name(F.concat("source", F.lit("/"), F.coalesce("title", F.lit("")))).alias("file_name"))
