@@ -14,7 +14,7 @@ K1, B = 1.5, 0.75
 def postings(docs: DataFrame, key: str, text: str = "text", analyzer=T.words) -> DataFrame:
     """(id, term, tf, dl): counted before the shuffle; texts without words have none."""
     terms = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w"))
-    words = terms.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).filter("term is not null")
+    words = terms.select("id", F.size("w").alias("dl"), "w").select("id", "dl", F.explode_outer("w").alias("term")).filter("term is not null")
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -35,7 +35,7 @@ def bm25_of_texts(docs: DataFrame, key: str, text: str, queries: DataFrame, anal
     stats = w.select(F.when(n > 0, n).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avgdl")).first()
     asked = queries.select("query_id", "term").distinct()
     # outer: else the optimizer splits the text a second time in a filter
-    words = w.select("id", F.struct(n.alias("dl"), F.col("w")).alias("s")).select("id", F.col("s.dl").alias("dl"), F.explode_outer("s.w").alias("term"))
+    words = w.select("id", n.alias("dl"), "w").select("id", "dl", F.explode_outer("w").alias("term"))
     hit = words.join(small_side(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     return _scored(hit, asked, stats, k1, b)
 
