@@ -14,6 +14,8 @@ each for itself; private-use characters already in a text count as letters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +88,35 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
+#: Characters or strings without which a step changes nothing, by its place in STEPS;
+#: steps that are not named here always run.
+_QUOTES = ("“", "„", "«", "‘", "「", "『")
+GUARDS: dict[int, tuple[str, ...]] = {
+    0: tuple("\ue000\ue001\ue002\ue003\ue004\ue005"), 1: ("\n",), 2: ("“",), 3: (*_QUOTES, '"'), 4: _QUOTES, 5: ("”", "»", "」", "』", "’"), 6: ('"',), 7: ('"',), 8: ("http", "www."),
+    11: (OPEN, SAID), 12: ("(", "（"), 13: ("—",), 14: (SAID,), 15: (OPEN,),
+}
+
+
 def marked(text: Column) -> Column:
     """The text with masks and with a mark after every boundary."""
-    for pattern, replacement in STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    for i, (pattern, replacement) in enumerate(STEPS):
+        if i in GUARDS:
+            # the lambda binds the text once, however often it is named
+            def step(v: Column, i=i, pattern=pattern, replacement=replacement) -> Column:
+                held = reduce(lambda a, b: a | b, (v.contains(g) for g in GUARDS[i]))
+                return F.when(held, F.regexp_replace(v, F.lit(pattern), F.lit(replacement))).otherwise(v)
+
+            text = F.get(F.transform(F.array(text), _one(step)), F.lit(0))
+        else:
+            text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
     return text
 
 
+def _one(f):
+    """f as a function of one argument, as those of two get the position too."""
+    return lambda v: f(v)
+
+
 #: Segments whose lengths are summed at once; sums of blocks keep long texts linear.
 BLOCK = 128
 
