@@ -22,7 +22,6 @@ similarity 1; repeated ids pair with others, not with themselves.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,14 @@ from taleweave.session import cut, small_side
 WIDTH, THRESHOLD = 12, 0.6
 BANDS, ROWS, KEPT, SCREEN = 60, 4, 64, 18
 
-_SPACE = re.compile(r"[ \t\r\n]")
-_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], dtype=np.uint64)
+_POWERS = tuple(np.array([pow(0x9E3779B97F4A7C15, k, 2**64)], dtype=np.uint64) for k in (1, 2, 4))
 _MULTIPLIERS = np.random.default_rng(12).integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _BAND_SALT = np.random.default_rng(13).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def normal(title: str | None, text: str) -> str:
-    return _SPACE.sub("", ((title or "") + text).lower())
+    return ((title or "") + text).lower().replace(" ", "").replace("\n", "").replace("\t", "").replace("\r", "")
 
 
 def substrings(x: str) -> np.ndarray:
@@ -51,9 +50,12 @@ def substrings(x: str) -> np.ndarray:
     if len(a) < WIDTH:
         a = np.concatenate([a, np.zeros(WIDTH - len(a), dtype=np.uint64)])
     n = len(a) - WIDTH + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(WIDTH):
-        h = h * _MIX[0] + a[i : i + n]
+    # polynomials of 2, 4, 8 and then 12 characters from those of half the length
+    m1, m2, m4 = _POWERS
+    h2 = a[:-1] * m1 + a[1:]
+    h4 = h2[:-2] * m2 + h2[2:]
+    h8 = h4[:-4] * m4 + h4[4:]
+    h = h8[:n] * m4 + h4[8 : 8 + n]
     h ^= h >> np.uint64(29)
     h *= _MIX[1]
     h ^= h >> np.uint64(32)
