@@ -1,13 +1,14 @@
 """Problem 2: items that appear together.
 
-Basket collapsing: items that cannot reach the support are dropped first (exact,
-as a pair is never more frequent than its items), equal baskets collapse to one
-weighted array, pairs are enumerated once per distinct basket and their weights
-summed before the shuffle.
+Basket collapsing: items that cannot reach the asked support are dropped first
+(exact for the pairs of that support, as a pair is never more frequent than its
+items), equal baskets collapse to one weighted array, pairs are enumerated once per
+distinct basket and their weights summed before the shuffle.
 
-A basket holds frequent items only, of which there are at most basket size /
-min_share, so no group grows with the data however hot one id is. An element
-array is spread over tasks before its pairs are enumerated.
+With a share, a basket holds frequent items only, of which there are at most basket
+size / min_share, so no group grows with the data however hot one id is. Without
+support (`min_support=1, min_share=0`) every item stays and every pair that occurs
+is counted; a basket then is one array of all its distinct items.
 
 Defined results: null ids form no basket; null elements and labels that are empty
 after normalising are ignored; repeated rows and elements count once; ids without
@@ -44,10 +45,10 @@ def basket_items(stories: DataFrame) -> DataFrame:
 
 def pairs(stories: DataFrame, min_support: int = 5, min_share: float = 1 / 500, min_lift: float = 0.0) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n_baskets, lift, conviction) of the pairs
-    with n_ab >= min_support and n_ab >= min_share * N and lift >= min_lift."""
-    per = round(1 / min_share)
+    with n_ab >= min_support and n_ab >= min_share * N and lift >= min_lift; with a
+    support of 1 and no share, of all pairs that occur."""
     n = stories.filter("story_id is not null").select("story_id").distinct().agg(F.count("*").alias("n")).first().n
-    need = max(min_support, -(-n // per))
+    need = max(min_support, -(-n // round(1 / min_share)) if min_share else 0)
     held = basket_items(stories).distinct()
     frequent = held.groupBy("item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= need)
     # AQE broadcasts this side only if its measured size is under the threshold

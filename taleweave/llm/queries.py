@@ -28,9 +28,15 @@ def p2_found(spark, d):
 
 
 def p2_pairs(spark, d):
+    """Pairs of the support of p2_found, of any lift."""
     return cooccur.pairs(load(spark, d, "stories"))
 
 
+def p2_all_pairs(spark, d):
+    """Every pair that occurs in a story."""
+    return cooccur.pairs(load(spark, d, "stories"), min_support=1, min_share=0)
+
+
 def _values(spark, d):
     return unify.field_values(load(spark, d, "stories"), load(spark, d, "fairy_tales"))
 
@@ -107,4 +113,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}

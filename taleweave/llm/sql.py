@@ -29,6 +29,11 @@ select item_a, item_b, a.n n_a, b.n n_b, n_ab, t.n n_baskets, (n_ab * t.n) / (a.
 from p join s a on a.item = item_a join s b on b.item = item_b, t
 where n_ab >= 5 and n_ab * 500 >= t.n
 """
+P2_ALL_PAIRS = _P2 + """
+select item_a, item_b, a.n n_a, b.n n_b, n_ab, t.n n_baskets, (n_ab * t.n) / (a.n * b.n) lift,
+       case when n_ab < a.n then (1 - b.n / t.n) / (1 - n_ab / a.n) end conviction
+from p join s a on a.item = item_a join s b on b.item = item_b, t
+"""
 
 P5_FOUND = r"""
 with t as (select record_id id, replace(replace(replace(replace(lower(coalesce(title, '') || text), ' ', ''), chr(9), ''), chr(13), ''), chr(10), '') x from fairy_tales where text is not null),
@@ -39,4 +44,4 @@ c as (select a.id a, b.id b, count(*) c from g a join g b on a.s = b.s and a.id
 select a record_id_a, b record_id_b from c join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c)
 """
 
-SQL = {"p5_found": P5_FOUND, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS}
+SQL = {"p5_found": P5_FOUND, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}

@@ -91,6 +91,16 @@ def test_pairs_of_a_hot_basket(spark):
     assert len(got) == 7 and all(a == "moral:l" for a, _ in got)
 
 
+def test_all_pairs_that_occur(spark):
+    rows = [("s1", ["rare", "fox"], ["calm"], ["Lan"]), ("s2", ["fox"], None, ["Lan"])] + [(f"t{i}", ["fox"], ["calm"], None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "story_id string, motifs array<string>, morals array<string>, characters array<string>")
+    got = {(r.item_a, r.item_b): r.n_ab for r in cooccur.pairs(df, min_support=1, min_share=0).collect()}
+    assert got == {
+        ("character:lan", "moral:calm"): 1, ("character:lan", "motif:fox"): 2, ("character:lan", "motif:rare"): 1,
+        ("moral:calm", "motif:fox"): 3001, ("moral:calm", "motif:rare"): 1, ("motif:fox", "motif:rare"): 1,
+    }
+
+
 # ------------------------------------------------------------------ problem 3
 
 
