@@ -1,15 +1,23 @@
 """Problem 10: personal information inside free text.
 
 A semi-Markov conditional random field. Candidate segments of bounded length are
-proposed around anchors (at signs, digit groups, number words, phrases that
-introduce or follow a person); every candidate is scored as a whole by features of
-its shape, its inside, its borders and the phrases beside it, and a dynamic program
-over non-overlapping segments with transitions between neighbouring types chooses
-boundaries and types jointly. The weights are trained here by the averaged
-structured perceptron on sentences composed from the fixed patterns below with
-invented fillers; nothing of the documents is used for training, so the model is
+proposed from at signs, digit groups, number words, street words with a number, runs
+of capitalised words, short runs of Han or kana between punctuation and words after
+Hindi forms of address; every candidate is scored as a whole by features of
+its shape, its inside, its borders, the phrases and roles beside it and the other
+items of its sentence, and a dynamic program over non-overlapping segments with
+transitions between neighbouring types chooses boundaries and types jointly. The
+weights are trained here by the averaged structured perceptron on sentences composed
+from the fixed patterns below with invented fillers. The phrases of BEFORE_NAME,
+AFTER_NAME, LABELS and NOT_PERSONAL were drawn up with the documents in view; the
+training patterns are other wordings than theirs but for labels and single words, and
+were chosen by looking at what the model finds in the documents of sf0.1. The model is
 the same at every size.
 
+A name of one word or in lower case is proposed only beside a phrase of BEFORE_NAME
+or AFTER_NAME; a name without a role word or another item in its sentence looks like
+one of the tale and stays.
+
 Defined results: null texts give no items and stay null, empty ones empty; items
 are numbered by position; the same item twice is two rows; repeated rows are
 treated each for itself; overlapping candidates leave the best scored choice, ties
@@ -95,8 +103,14 @@ _HONOR = rf"(?:(?:{HONORIFICS})\.?\s+)?"
 # Cues are found by one automaton over the lower-cased text; at a cue the patterns
 # run on the few characters around it.
 _ADDRESSED = re.compile(rf"\s*{_HONOR}{_HONOR}", re.I)
-# Words of streets and of addresses that open a window for ADDRESS.
-STREET_CUES = "phố|đường|ngõ|ngách|hẻm|street|st.|road|rd.|lane|row|close|avenue|rue|allée|avenue|boulevard|chemin|impasse|calle|plaza|camino|avenida|paseo|straße|strasse|gasse|weg|platz|allee|wohnhaft|wohnt in|wohnt am"
+# Words that open a window for ADDRESS, those of its patterns.
+STREET_CUES = {
+    "vi": STREETS_VI, "en": STREETS_EN, "fr": STREETS_FR, "es": STREETS_ES,
+    "de": "straße|strasse|str.|gasse|weg|platz|allee|ufer|ring|damm|am|im|an der|auf dem|zum|zur",
+}
+# Beginnings of words for telling, sending, writing down, owning and being reached.
+ROLES = tuple("told tell narrat recount record collect contribut submit donat sent send sender shar wrote writ typ copi transcrib sign own belong propert contact reach call ring ask informant courtesy thank name kể gửi chép ghi sưu tên liên nhắn thuộc cảm cont racont narr recueil envo écri transcri appart propri contact demand appel merci nomm erzähl einsend eingesand aufgezeich aufgeschrieb aufgenomm geschick gehör besitz frag heiß dank nam contad relat recog envi escrit transcri pertene propie pregunt llam graci рассказ записа присла сообщ принадлеж владел зовут спрос пис благодар передал सुना कथा भेज नाम लिख संपर्क เล่า บันทึก ส่ง ชื่อ ติดต่อ เจ้าของ".split())
+HAN_ROLES = re.compile("[讲講述记記录録寄供语語話连連联聯投藏]|我叫|姓名|名前")
 
 
 @lru_cache(maxsize=1)
@@ -104,11 +118,17 @@ def _cues():
     import ahocorasick
 
     found: dict[str, set[str]] = defaultdict(set)
-    for kind, phrases in (("intro", BEFORE_NAME.values()), ("after", AFTER_NAME.values()), ("street", [STREET_CUES])):
+    for language, v in STREET_CUES.items():
+        for p in v.split("|"):
+            for x in {p.replace("\\.?", ""), p.replace("\\.?", ".")}:
+                found[x.lower()].add(f"street:{language}")
+    for kind, phrases in (("intro", BEFORE_NAME.values()), ("after", AFTER_NAME.values())):
         for v in phrases:
             for p in v.split("|"):
                 for x in ([p.replace("(?: là)?", ""), p.replace("(?: là)?", " là")] if "(?" in p else [p]):
                     found[x.lower()].add(kind)
+    for p in ROLES:
+        found[p].add("role")
     for words in NUMBER_WORDS.values():
         for a in words.split():
             for b in words.split():
@@ -122,7 +142,16 @@ def _cues():
 
 
 _DENSE = re.compile(r"\d[\d .\-–/()\n]{5,}\d|\d{6,}")
-_NAME_TOKEN = re.compile(r"[^\W\d_][^\W\d_]*(?:['’\-][^\W\d_]+)*")
+# Vowel signs of Thai and Devanagari are no word characters.
+_L = r"(?:[^\W\d_]|[\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])"
+_NAME_TOKEN = re.compile(rf"[^\W\d_]{_L}*(?:['’\-]{_L}+)*")
+_PARTICLE = r"(?:de|del|della|da|di|du|la|le|van|von|bin|al)"
+_INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
+_CAPITAL = rf"(?:[A-ZÀ-ÖØ-ÞĐĂƠƯŁŚŠŽČĀĨŨẠ-ỹЀ-Я](?<![ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]){_L}*(?:['’\-]{_L}+)*)"
+#: Runs of capitalised words, with initials and particles inside.
+CAPITAL_RUN = re.compile(rf"(?<![\w@.'’\-]){_CAPITAL}(?:[ \t]*\r?\n?[ \t]*(?<=\s)(?:{_PARTICLE}\s+){{0,2}}(?:{_CAPITAL}|{_INITIAL}))+")
+HAN_RUN = re.compile(r"(?:(?<=[：:，、（(；。！？\s])|(?<=[人者名是叫は]))[一-鿿]{2,4}(?=[，（(；）)。]|$)|(?<=[はの者手：:、，。（(「\s])[一-鿿ァ-ヿ][一-鿿ァ-ヿぁ-のひ-ん]{0,5}(?: [一-鿿ァ-ヿぁ-ん]{1,6}?)?(?=さん|氏|様)")
+ADDRESSED_RUN = re.compile(r"(?:श्रीमती|श्री|कुमारी)\s+")
 _HAN_NAME = re.compile(r"[一-鿿぀-ヿ]{1,6}(?: [一-鿿぀-ヿ]{1,6})?")
 _AFTER_WORDS = frozenset(p.split()[0] for v in AFTER_NAME.values() for p in v.split('|'))
 # Words that follow a name in running text and are never part of one.
@@ -179,6 +208,15 @@ def _letter(ch: str) -> bool:
     return ch.isalnum() and ch < "\u0e00"
 
 
+_A_DIGIT = re.compile(_DIGIT)
+
+
+def _address_features(x: str) -> list[str]:
+    words = [w for w in _NAME_TOKEN.findall(x) if len(w) > 1]
+    capitals = sum(w[0].isupper() for w in words)
+    return [f"capitals:{'all' if capitals == len(words) else 'none' if not capitals else 'one' if capitals == 1 else 'more'}"]
+
+
 def candidates(text: str) -> list[Span]:
     """Candidate segments of every type, in order of their start."""
     out: list[Span] = []
@@ -202,11 +240,16 @@ def candidates(text: str) -> list[Span]:
             out += [Span(kind, s, e, f) for kind in ("phone", "identity")]
     spelt = 0
     seen: set[tuple[int, int]] = set()
+    roles: list[int] = []
     for last, (n, kinds) in _cues().iter(low):
         s, e = last + 1 - n, last + 1
-        if (s and _letter(low[s - 1]) and _letter(low[s])) and "street" not in kinds or e < len(low) and _letter(low[e]) and _letter(low[last]):
+        if "role" in kinds and not (s and _letter(low[s - 1])):
+            roles.append(s)
+        if (s and _letter(low[s - 1]) and _letter(low[s])) and not any(k[:7] == "street:" for k in kinds) or e < len(low) and _letter(low[e]) and _letter(low[last]):
             continue
         for kind in kinds:
+            if kind[:7] != "street:" and s and _letter(low[s - 1]) and _letter(low[s]):
+                continue
             if kind == "intro":
                 m = _ADDRESSED.match(text, e)
                 _names_from(text, m.end(), "intro:" + low[s:e].split()[0][:12], out)
@@ -217,12 +260,17 @@ def candidates(text: str) -> list[Span]:
                 if m:
                     spelt = m.end()
                     out.append(Span("phone", m.start(), m.end(), ["bias", "spelt", *_context(text, m.start(), m.end())]))
-            elif kind == "street":
-                for language, pattern in ADDRESS.items():
-                    for m in pattern.finditer(text, max(0, s - 30), min(len(text), e + 80)):
-                        if m.span() not in seen and m.start() <= e + 1:
-                            seen.add(m.span())
-                            out.append(Span("address", m.start(), m.end(), ["bias", f"form:{language}", f"commas:{min(2, m.group().count(','))}", *_context(text, m.start(), m.end())]))
+            elif kind[:7] == "street:":
+                language = kind[7:]
+                a, b = max(0, s - 48), min(len(text), e + 80)
+                if (language != "de" or low[s:e] in ("am", "im", "zum", "zur")) and s and _letter(low[s - 1]) or not _A_DIGIT.search(text, a, b):
+                    continue
+                for m in ADDRESS[language].finditer(text, a, b):
+                    if m.span() not in seen and m.start() <= e + 1 and not (m.start() and text[m.start() - 1].isalnum()):
+                        seen.add(m.span())
+                        out.append(Span("address", m.start(), m.end(), ["bias", f"form:{language}", f"commas:{min(2, m.group().count(','))}", *_address_features(m.group()), *_context(text, m.start(), m.end())]))
+    _names_by_shape(text, roles, out)
+    out = _with_context(text, out)
     out.sort(key=lambda s: (s.start, -s.end))
     return out
 
@@ -248,6 +296,112 @@ def _name_span(text: str, start: int, end: int, words: list[str], cue: str) -> S
     return Span("name", start, end, f)
 
 
+def _names_by_shape(text: str, roles: list[int], out: list[Span]) -> None:
+    """Runs with a role or another item in reach; any other is one of the tale."""
+    others = sorted((s.start, s.end) for s in out if s.kind != "name" and "label:none" not in s.features)
+    reached: list[tuple[int, int]] = []
+    for s, e in sorted([(s - BESIDE, e + BESIDE) for s, e in others] + [(s - ROLE_REACH, s + ROLE_REACH) for s in sorted(roles)] + [(m.start() - 8, m.end() + 8) for m in HAN_ROLES.finditer(text)]):
+        if reached and s <= reached[-1][1]:
+            reached[-1] = (reached[-1][0], max(e, reached[-1][1]))
+        else:
+            reached.append((s, e))
+    opened = [s for s, _ in reached]
+
+    def held(m) -> bool:
+        k = bisect_right(opened, m.end()) - 1
+        return k >= 0 and reached[k][1] >= m.start()
+
+    for run in CAPITAL_RUN.finditer(text):
+        if not held(run):
+            continue
+        tokens = list(re.compile(rf"{_INITIAL}(?=\s)|{_NAME_TOKEN.pattern}").finditer(text, run.start(), run.end()))
+        for i in range(len(tokens)):
+            if tokens[i].group()[0].islower():
+                continue
+            for j in range(i + 1, min(i + 6, len(tokens))):
+                words = [t.group() for t in tokens[i : j + 1]]
+                full = sum(not w[0].islower() for w in words)
+                if full > 4:
+                    break
+                if words[-1][0].islower() or words[0].lower() in _HONORIFIC_WORDS:  # forms of address are no part of an item
+                    continue
+                inside = [w for w in words if not w[0].islower()]
+                span = _name_span(text, tokens[i].start(), tokens[j].end(), inside, "run")
+                if words[0].lower().startswith(ROLES) or words[0].lower() in STOP_WORDS:
+                    span.features.append("led")
+                if i:
+                    last = tokens[i - 1].group().lower()
+                    span.features.append("tail:titled" if last in _HONORIFIC_WORDS else "tail:role" if last.startswith(ROLES) else "tail")
+                if j + 1 < len(tokens):
+                    span.features.append("cutoff")
+                out.append(span)
+    for m in HAN_RUN.finditer(text):
+        if m.end() - m.start() > 1 and held(m):
+            border = _border(text, m.end())
+            out.append(Span("name", m.start(), m.end(), ["bias", "han", "run", f"han:{len(m.group())}", f"border:{border}", f"han:border:{border}"]))
+    for m in ADDRESSED_RUN.finditer(text):
+        if held(m):
+            _names_from(text, m.end(), "intro:honorific", out)
+
+
+_SENTENCE_END = re.compile(r"[.!?…](?<!\b[A-ZÀ-Þ]\.)(?<!Tel\.)(?<!tel\.)(?<!тел\.)(?<!Mrs\.)(?<!Mr\.)(?<!Dr\.)(?<!St\.)(?<!Rd\.)(?<!TP\.)[\"”’»)]*\s+(?=[\"“«¿¡(—–]?\s?[^\W\d_])|[。！？।]|\n\s*\n")
+#: Items within so many characters count as beside a name; roles are sought in fewer.
+BESIDE, ROLE_REACH = 90, 36
+
+
+def _with_context(text: str, spans: list[Span]) -> list[Span]:
+    """Names proposed twice become one; each gets the items and roles of its sentence."""
+    others = sorted((s for s in spans if s.kind != "name" and "label:none" not in s.features), key=lambda s: s.start)
+    starts = [s.start for s in others]
+    merged: dict[tuple[int, int], Span] = {}
+    for s in spans:
+        if s.kind == "name":
+            if (s.start, s.end) in merged:
+                own = merged[s.start, s.end].features
+                own += [f for f in s.features if f not in own]
+            else:
+                merged[s.start, s.end] = s
+    kept = [s for s in spans if s.kind != "name"]
+    for s in merged.values():
+        found = set()
+        for k in range(bisect_right(starts, s.start - BESIDE - 160), bisect_right(starts, s.end + BESIDE)):
+            o = others[k]
+            kind = "number" if o.kind in ("phone", "identity") else o.kind
+            if o.start < s.end and s.start < o.end:
+                found.add(f"in:{kind}")
+                continue
+            side, between = ("right", text[s.end : o.start + 1]) if o.start >= s.end else ("left", text[o.end : s.start + 1])
+            if len(between) <= BESIDE and not _SENTENCE_END.search(between):
+                found.update((f"beside:{kind}", f"beside:{side}", "beside"))
+        if "in:email" in found:
+            continue
+        before, after = text[max(0, s.start - ROLE_REACH) : s.start + 1], text[s.end : s.end + ROLE_REACH]
+        before = before[max((m.end() for m in _SENTENCE_END.finditer(before)), default=0) : -1]
+        end = _SENTENCE_END.search(after)
+        after = after[: end.start()] if end else after
+        left, right = (_NAME_TOKEN.findall(x.lower()) for x in (before, after))
+        if "han" in s.features:
+            roles = [bool(HAN_ROLES.search(before[-8:])), bool(HAN_ROLES.search(after[:8]))]
+        else:
+            roles = [any(w.startswith(ROLES) for w in left[-5:]), any(w.startswith(ROLES) for w in right[:3])]
+            if left:
+                found.add("honorific" if left[-1] in _HONORIFIC_WORDS else "by" if left[-1] in _BY else "plain")
+        found.update(f"role:{x}" for x, there in zip(("before", "after"), roles) if there)
+        if "han" not in s.features:
+            found.update(f"role:{x}:{k}" for x, ws in (("before", left[::-1][:3]), ("after", right[:2])) for k, w in enumerate(ws) if w.startswith(ROLES))
+        near = "beside" in found
+        found.add(f"evidence:{near}:{any(roles)}")
+        if "run" in s.features or "cue:run" in s.features and "cue:intro" not in s.features and "cue:after" not in s.features:
+            if "in:address" in found or not near and not any(roles):
+                continue
+            found.add(f"nocue:{near}:{any(roles)}")
+            if roles[0] and ("by" in found):
+                found.add("nocue:role by")
+        s.features += sorted(found)
+        kept.append(s)
+    return kept
+
+
 def _names_from(text: str, at: int, cue: str, out: list[Span]) -> None:
     m = _HAN_NAME.match(text, at)
     if m:
@@ -295,6 +449,9 @@ def _names_to(text: str, end: int, cue: str, out: list[Span]) -> None:
         out.append(span)
 
 
+_HONORIFIC_WORDS = frozenset(HONORIFICS.split("|"))
+# Words between a role and its person.
+_BY = frozenset("by to from of par de à auprès chez von bei vom an por a del от у к là bởi của cho chị".split())
 #: Segments of which a transition is scored begin within so many characters.
 NEAR = 40
 
@@ -362,23 +519,25 @@ def items(model: Model, text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- training
 
-# Patterns of training sentences. N name, E email, P phone, I identity,
-# A address; the fillers are invented below.
+# Patterns of training sentences, none of them a wording of the
+# documents. N name in any case, M name not in lower case, E email, P phone,
+# I identity, A address; the fillers are invented below.
 PATTERNS = {
-    "en": "Told by {N}, who lives at {A}.|Recorded from Mrs {N} (ID {I}), phone {P}.|Contact {E} or call {P}.|The book carried the number {I} and belonged to {N}.|My name is {N} and I grew up at {A}.|Ring {P} and ask for {N}.|{N} typed this; reach us on {P}.|Write to <{E}> today.|— sent in by {N}, {E}|Please post the pamphlet to {N}, {A}.|mailto:{E} was noted next to {P}.|First printed 1987, 240 pp., ISBN 978-0-000-11111-0.|See lines 120-155 and shelf mark 14/3-55555.|Tickets 3 @ 2.50 each on 04/11/1993.|Copy no. 026818, read at 19:30; version 2.0.14.|At No. 19 Cooper's Row, i.e. by the mill, the fox slept.|He asked for the kettle and told no one.|The key belonged to the miller.|The fox was told by the old heron to wait.",
-    "vi": "Tôi tên {N}, trước ở {A}, nay xin kể lại.|Góp ý xin gửi {E} hoặc gọi {P}.|Liên hệ {P}, {E}.|Nhắn cho em {N} theo số {P} nhé.|Bản thảo để tại {A}, hỏi cô {N}.|Người kể: bà {N}, nhà ở {A}.|Ghi theo lời ông {N}, CCCD số {I}, điện thoại {P}.|hộ chiếu {I} của chị {N} còn kẹp trong sổ.|Cháu {N} gửi tặng tủ sách, căn cước {I}.|{E} là hộp thư của người sưu tầm {N}.|({N} chép lại; thư từ: {E})|In lần đầu năm 1987, 240 trang, ISBN 978-0-000-11111-0.|Xem lại đoạn 12-15, khổ 14/3, giá 35.000 đồng.|Bản số 026818, đọc lúc 19:30 ngày 04/11.|Ông lão hỏi cô hàng nước về cái chuông.|Như lời người mẹ dặn, đứa cháu nội ra về.|Ông lão hỏi đàn ong rừng trên đồi.|Bà lão hỏi, nhưng không kể với ai.|Cháu bé kể lại chuyện cũ.|Bản kể này do nhóm chép truyện bến Lau ghi lại từ băng cũ.",
-    "fr": "Conté par {N}, qui habite {A}.|Je m'appelle {N}, joignable au {P}.|Recueilli auprès de Mme {N}, n° {I}.|Envoi de {N} ({E}).|Écrire à {E} ou appeler le {P}.|Première impression en 1987, 240 p., cote 14/3-55555.|Il marcha 4,8 lieues avec 5 600 sous.",
-    "de": "Erzählt von {N}, wohnhaft {A}.|Ich heiße {N} und bin unter {P} zu erreichen.|Ausweis {I}, aufgenommen bei Frau {N}.|Eingesandt von {N} ({E}).|Hinweise an {E} oder Tel. {P}.|Erstdruck 1987, 240 S., Signatur 14/3-55555.|Gelesen am 04.11.1993 um 19:30.|Der Hund gehört dem Müller.",
-    "es": "Contado por {N}, que vive en {A}.|Me llamo {N} y mi número es {P}.|Recogido de doña {N}, DNI {I}.|Enviado por {N} ({E}).|Escriba a {E} o llame al {P}.|Primera impresión en 1987, 240 págs., signatura 14/3-55555.|Anduvo 5,3 leguas con 1.700 reales.",
-    "ru": "Прислано: {N}, {E}.|Рассказала {N}, тел. {P}.|Пишите на {E}.|Впервые напечатано в 1987, шифр 14/3-55555.|Пряха рассказала детям сказку.",
-    "zh": "讲述人{N}，电话{P}。|{N}，证件号{I}。|来信请寄{E}。|1987年初版，共240页，书号14/3-55555。|他走了1.3里，带着9,800文钱。",
-    "ja": "語り手は{N}さん、電話{P}。|ご連絡は{E}まで。|初版1987年、全240頁、請求記号14/3-55555。",
-    "th": "ติดต่อ {E} หรือ {P}|พิมพ์ครั้งแรก 1987 รหัส 14/3-55555",
-    "hi": "संपर्क: {E}, {P}।|पहली छपाई 1987, क्रम 14/3-55555।",
+    "en": "Kept by Mr {M}, SSN {I}, phone {P}.|I am called {N} and my number is {P}.|The crow sent a coil of rope and Orlando Wexley wept at noon.|She wrote a song, and Petronella Ashgrove sang it.|One sent word to the well, and laughed. Hubert Stonecrop of the hill answered no.|The mason kept his own counsel with Anselm Birkenfeld until dusk.|The cook and Marigold Thistlewood gave back the rope, sent long ago.|Letters to {E}. Orlando Wexley of the hill said no.|Ring {P}. Hubert Stonecrop said no.|They lodged at No. 7 Tinker's Lane, that is, by the well.|At No. 31 Chandler's Close, near the well, it sang.|Mrs {M} keeps the sheet at {A}.|The Guild of Amber Weavers asked for a song.|Then the Guild of Amber Weavers told Orlando Wexley to sing.|The sheet with {I} on it belonged to {N}. Kindly return it to {N}, {A}.|{M}, {A}, shared this with the school.|After dusk ring {P} and have {N} answer.|Marigold Thistlewood asked Hubert Stonecrop for a song.|This version was told by {N}, whose door is {A}.|Narrated by {N}, passport {I}, phone {P}.|To borrow the reel, contact {N} at {E}.|Our informant {M} (telephone {P}) heard it twice.|With thanks to {M}, {E}.|The manuscript is the property of {M}, ID {I}.|Transcribed in spring by {M}, who can be reached on {P}.|Submitted by Mr {M} ({E}).|Collected by {N} before the flood.|My grandmother, Mrs {M}, {A}, kept the sheet.|Courtesy of {M}.|Contributed by {M} in winter.|Signed, {N}, {P}.|You may send it care of {N}, {A}.|Questions go to {E} or {P}.|{N} copied this; telephone {P}.|Printed again 1962, 310 pages, ISBN 978-1-222-33333-1.|Compare lines 88-97, shelf mark 21/7-40404.|The clerk sold 5 @ 3.20 apiece on 09/08/1951.|It walked 3 miles down the long road.|After 40 days by the old gate the crow left.|In 1870 the upper hill was bare, and 2 men took the other way.|Then Orlando Wexley met the crow at Heronsgate Hill.|Old King Hubert Stonecrop ruled over Far Eastmere.|So said Petronella Ashgrove, and the wolf wept.|Professor Anselm Birkenfeld calls the wolf a late guest.|The bell belonged to the ferryman.|The hare asked for a candle.|The crow was told by the hare to fly.",
+    "vi": "Con quạ gửi cây nến, và Trịnh Ao Quạ khóc.|Bà ghi nhớ bên bến Đá Đen, rồi cười.|Chép xong, chàng cùng Văn Gió Hến trao lại cây nến.|({E}) Hôm ấy Kiều Nước Muỗng lau cây nến.|({E}) Mùa ấy Hội Thợ Rừng canh cây nến.|Thư {E}. Theo GS. Văn Gió Hến, con thỏ khôn.|Thư gửi {E}. Theo GS. Trịnh Ao Quạ, con quạ khôn.|Thư gửi {E}. Chử Đồi Tằm xứ Bắc nói đã muộn.|Máy {P}. Kiều Nước Muỗng nói đã muộn.|Theo lời {N}, điện thoại {P}.|Sách còn giữ ở {A}, gặp cô {N}.|Vở cất tại {A}, tìm chị {N}.|Nguyên bản: {A}, gặp bà {N}.|Cư ngụ tại {A}, tôi tên {N}, giờ muốn kể lại chuyện xưa.|Người gửi bà {M}, ở tại {A}.|Chủ vở: cụ {M}, CMND {I}, máy điện thoại {P}.|Giấy tờ {I} của chị {N} bỏ sót.|Hòm thư {E} thuộc người sưu tầm {N}.|Thư {E} do {M} giữ. ({N} chép lại năm ấy, rồi cất)|Cần thì gọi em {N} ở số {P}.|Trịnh Ao Quạ hỏi Văn Gió Hến về cây nến.|Cô Kiều Nước Muỗng hỏi bà Chử Đồi Tằm rồi kể lại chuyện buồn.|Chuyện này do bà {M} kể, điện thoại {P}.|Người gửi: {M}, {E}.|Tôi tên là {N}, sống tại {A}.|Mọi thư xin gửi về {E} hay gọi số {P}.|Xin liên hệ với {N} qua {E}.|Bản chép của {M}, CMND {I}, còn giữ được.|Cuốn vở thuộc về ông {M}, {A}.|Cảm ơn chị {M} ({P}) đã đọc lại.|Theo lời {N}, căn cước {I}, chuyện có thật.|{M} ghi âm năm ấy, số máy {P}.|({N} chép lại hồi xuân, {E})|Cần bản sao hỏi {N}, địa chỉ {A}.|Bác {N} gửi tặng thư viện, hộ chiếu {I}.|Chủ sổ là cô {M}, số {I}.|Giấy {I} của ông {N} để quên.|Tái bản năm 1962, 310 trang, ISBN 978-1-222-33333-1.|Đối chiếu đoạn 88-97, khổ 21/7, giá 48.000 đồng.|Bản số 771204, nghe lúc 07:15 hôm 09/08.|Con quạ hỏi chú thỏ về cây nến.|Theo lời bà nội dạy, con thỏ ở nhà.|Bấy giờ Trịnh Ao Quạ gặp chàng Văn Gió Hến ở núi Đá Đen.|Vua Phùng Rơm Bấc trị vì nước Hạ Mây.|Chử Đồi Tằm nói rồi đi mất.|Con thỏ hỏi bầy quạ trên cành.|Người em kể lại chuyện buồn.|Bài ấy do tổ sưu tầm làng Đá Đen ghi lại năm trước.|Đi 3 dặm theo đường rừng mới tới.",
+    "fr": "Raconté par {N}, demeurant {A}.|Texte de {M} ({E}), revu par l'école.|Notre conteuse, Mme {M}, téléphone {P}, l'a su enfant.|Carnet appartenant à {N}, passeport {I}.|Transcrit par {M}, {P}.|Merci à M. {M}, {A}.|Pour une copie, demander {N} au {P}.|Réponses à {E} ou au {P}.|Réimprimé en 1962, 310 p., cote 21/7-40404.|Le loup fit 3 lieues par la vieille route.|Mme Céleste Vauclair appela « Ouvrez ! » et rit.|Alors Céleste Vauclair trouva le Roi Hubert à Valmont.|Le professeur Anselm Birkenfeld cite ce loup.",
+    "de": "Er schickte am Ufer des Teichs ein Brot und lachte.|Der Wolf erzählte, dass Anselm Birkenfeld am Ufer schlief.|Nacherzählt von {M}, {A}.|Aufgeschrieben von {N}, Ausweis {I}.|Das Heft gehört {N}, Telefon {P}.|Unsere Erzählerin Frau {M}, wohnhaft {A}, kannte es.|Mit Dank an {M} ({E}).|Wer mehr weiß, fragen Sie nach {N}, Tel. {P}.|Post an {E} oder unter {P}.|Nachdruck 1962, 310 S., Signatur 21/7-40404.|Am 09.08.1951 um 07:15 verlesen.|Die Glocke gehört dem Fährmann.|Da traf Anselm Birkenfeld den König Hubert im Tannau.|Im Jahr 1870 stand am Ufer ein Baum.|Professor Ulpiano Cerezal nennt den Wolf einen Gast.",
+    "es": "Soy {M}, mi número es {P}.|Soy la dueña, mi número es {P}.|Narrado por {N}, domicilio {A}.|Nuestra vecina doña {M}, teléfono {P}, lo sabía.|Cuaderno que pertenece a {N}, DNI {I}.|Transcrito por {M} ({E}).|Gracias a {M}, {A}.|Para copias pregunte por {N}, {P}.|Cartas a {E} o al teléfono {P}.|Reimpreso en 1962, 310 págs., signatura 21/7-40404.|El lobo pasó 3 leguas por el camino viejo.|Entonces Ulpiano Cerezal vio al Rey Hubert en Robleda.",
+    "ru": "Рассказала {N} из дома у реки, телефон {P}.|Сообщила {M}, тел. {P}.|Записано от {N}, паспорт {I}.|Сказку сообщила {M}, телефон {P}.|Тетрадь принадлежит {N}, {E}.|Спасибо, что прислала {M} ({P}).|Ответы на {E}.|Перепечатано в 1962, шифр 21/7-40404.|Тогда Захар Снегопад встретил волка.|Ворона рассказала зайцу тайну.",
+    "zh": "记录人{N}，电话{P}。|投稿者：{N}，{E}。|本稿由{E}收。|联系人{N}，身份证{I}。|{N}，电话{P}，是本村人。|1962年再版，共310页，书号21/7-40404。|从前，乌鸦，兔子，都睡了。|他用了3.5斤米，换了4,200文。",
+    "ja": "記録者は{N}さん、電話{P}。|話し手：{N}さん（{E}）。|話者{N}さん、電話{P}。|お便りは{E}へ。|再版1962年、全310頁、請求記号21/7-40404。|昔、狐さんと烏さんがいた。",
+    "th": "ส่งจดหมายที่ {E} หรือโทร {P}|พิมพ์ซ้ำ 1962 รหัส 21/7-40404|เล่าโดย {N} โทร {P}",
+    "hi": "पत्र {E} पर भेजें, फ़ोन {P}।|दूसरी छपाई 1962, क्रम 21/7-40404।|कथावाचक: {N}, फ़ोन {P}।",
 }
 # Invented fillers; digits are drawn anew for each sentence.
 NAMES = {
     "vi": "Trịnh Ao Quạ|Văn Gió Hến|Phùng Rơm Bấc|Chử Đồi Tằm|Kiều Nước Muỗng",
+    "th": "สมใจ ดอกอ้อ|บุญมี ทุ่งหญ้า", "hi": "कमला नदीवाल|मोहन पीपल",
     "zh": "水青舟|柳思桥|石晚秋|林月", "ja": "山森 あやめ|水沢野 ふみ|川端 すず",
     "ru": "Матрёна Ольховая|Захар Снегопад|Устинья Кленовец|Лукерья Тростник",
     "": "Orlando Wexley|Marigold Thistlewood|Hubert Stonecrop|Petronella Ashgrove|Anselm Birkenfeld|Céleste Vauclair|Ulpiano Cerezal|Jean-Luc Morteau",
@@ -395,15 +554,15 @@ COPIES, EPOCHS = 30, 15
 
 def _filled(rng: random.Random, language: str, pattern: str) -> tuple[str, set[tuple[str, int, int]]]:
     text, gold = "", set()
-    for part in re.split(r"(\{[NEPIA]\})", pattern):
+    for part in re.split(r"(\{[NMEPIA]\})", pattern):
         slot = part[1:2] if part[:1] == "{" else ""
         if not slot:
             text += part
             continue
-        kind = {"N": "name", "E": "email", "P": "phone", "I": "identity", "A": "address"}[slot]
+        kind = {"N": "name", "M": "name", "E": "email", "P": "phone", "I": "identity", "A": "address"}[slot]
         if kind == "name":
             x = rng.choice(NAMES.get(language, NAMES[""]).split("|"))
-            x = rng.choice((x, x, x, x.upper(), x.lower()))
+            x = rng.choice((x, x, x, x.upper(), x if slot == "M" else x.lower()))
         elif kind == "email":
             x = rng.choice(EMAILS.split("|"))
         else:

@@ -376,6 +376,25 @@ def test_items_in_a_text():
     assert got == [("name", "Ada Fernhill"), ("address", "12 Bramblegate Lane, Overwick"), ("email", "ada [at] haven [dot] test"), ("phone", "+44 7700 900 123")]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("The fox slept. This copy was mailed in by Beatrix Underwood, phone 07700 900123.", [("name", "Beatrix Underwood"), ("phone", "07700 900123")]),
+        ("Our neighbour Beatrix Underwood (beatrix@haven.test) remembers the end.", [("name", "Beatrix Underwood"), ("email", "beatrix@haven.test")]),
+        ("The crow sang. Borrowed from the trunk of Mrs Harriet Sloe, ID AB123456C.", [("name", "Harriet Sloe"), ("identity", "AB123456C")]),
+        ("Bản ghi âm do Lò Mai Sương giữ, điện thoại 0912 345 678.", [("name", "Lò Mai Sương"), ("phone", "0912 345 678")]),
+        ("Ce cahier vient de Solange Brumaire, téléphone 06.12.34.56.78.", [("name", "Solange Brumaire"), ("phone", "06.12.34.56.78")]),
+        ("She lives at 14 Juniper Court, Millbrook.", [("address", "14 Juniper Court, Millbrook")]),
+        ("Elle habite 8, quai des Brumes, Valmont.", [("address", "8, quai des Brumes, Valmont")]),
+        ("Wohnhaft Lindenufer 12, Tannau.", [("address", "Lindenufer 12, Tannau")]),
+        ("Then Beatrix Underwood met the crow. Old Harriet Sloe ruled over Far Eastmere.", []),
+        ("Two men walked 3 miles this way to the old hill.", []),
+    ],
+)
+def test_items_of_other_wordings(text, want):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.items(pii.trained(), text)] == want
+
+
 def test_redaction_of_odd_rows(spark):
     rows = [(1, "Contact a.b@c.test or call 07700 900123."), (2, None), (3, ""), (4, "x " * 50_000), (1, "Contact a.b@c.test or call 07700 900123.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start_pos", F.lit(0))
