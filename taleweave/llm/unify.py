@@ -34,16 +34,19 @@ CYRILLIC_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјорсух
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικτ", "ABEZHIKMNOPTYXavopuikt"))
 LATIN_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyxkmt", "АВЕКМНОРСТУХаеорсухкмт"))
 LATIN_GREEK = dict(zip("ABEZHIKMNOPTYXvo", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"))
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2065-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 ODD_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
 VIETNAMESE_ETH = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ"}
 
 #: Java class of characters that may need mapping.
 SUSPECT = (
-    "[\u00adÐðƉ\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202f\u2060-\u2069\ufe0e\ufe0f\ufeff\u00a0\u1680\u2000-\u200a\u205f\u3000"
+    "[\u00adÐðƉ\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202f\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\\x{1bca0}-\\x{1bca3}\\x{e0000}-\\x{e0fff}\u00a0\u1680\u2000-\u200a\u205f\u3000"
     "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff⺀-\u2fdf豈-\ufaffﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\u3099\u309a"
-    "℀-⅏①-⓿\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1f}Ͱ-Ͽἀ-\u1fff\u0e4dıȷɡɑ]"
+    "℀-⅏①-⓿\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1f}Ͱ-Ͽἀ-\u1fff\u0e4dıȷɡɑ\u0958-\u095f]"
 )
+#: Full-width punctuation, and a line that holds it without Chinese, Japanese or Korean letters.
+WIDE = "[！-／：-＠［-｀｛-～]"
+WIDE_LINE = r"(?dm)^[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\n]*" + WIDE + r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\n]*$"
 
 _COMPAT = re.compile("[℀-⅏①-⓿⺀-\u2fdf豈-\ufaffﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f]+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -52,6 +55,14 @@ _JOINER = re.compile("(?<![\u0900-\u0dff])[\u200c\u200d]|[\u200c\u200d](?![\u090
 _IDEOGRAPHIC_SPACE = re.compile("\u3000")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _ODD_SPACE = re.compile(f"[{ODD_SPACE}]")
+_FULL_WIDTH = re.compile(f"{WIDE}+")
+_CJK_LETTER = re.compile("[\u1100-\u11ff⺀-⿟々〆〇ぁ-ヿㄅ-ㆎㆠ-ㇿ㐀-鿿가-\ud7ff豈-\ufaffｦ-\uffdc\U00020000-\U0003ffff]")
+_SARA_AM = re.compile("\u0e4d([\u0e48-\u0e4b]?)\u0e32")
+# Letters that look like plain Latin ones: kept in phonetic words and in Turkish values.
+LATIN_ODD = {"ı": "i", "ȷ": "j", "ɡ": "g", "ɑ": "a"}
+_ODD_WORD = re.compile(r"\S*[ıȷɡɑ]\S*")
+_PHONETIC = re.compile(r"[ɐɒ-ɟɢ-ʯˈˌː]|^\W*(?:/[^/]+/|\[[^\]]+\])\W*$")
+_TURKISH = re.compile("[ğĞşŞİ]")
 _VIETNAMESE = re.compile("[ăđơưạ-ỹĂĐƠƯẠ-Ỹ]")
 
 
@@ -65,7 +76,7 @@ def _alphabets(word: str) -> dict[str, int]:
     return out
 
 
-_TO_LATIN = CYRILLIC_LATIN | GREEK_LATIN | {"ı": "i", "ɡ": "g", "ɑ": "a"}
+_TO_LATIN = CYRILLIC_LATIN | GREEK_LATIN | LATIN_ODD
 _TABLES = {"L": _TO_LATIN, "C": LATIN_CYRILLIC | {g: LATIN_CYRILLIC[x] for g, x in GREEK_LATIN.items() if x in LATIN_CYRILLIC}, "G": LATIN_GREEK}
 
 
@@ -96,6 +107,24 @@ def look_alikes(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def _plain_latin(text: str) -> str:
+    """Dotless and script forms of Latin letters mapped, but in Turkish and phonetic words."""
+    turkish = _TURKISH.search(text)
+
+    def word(m) -> str:
+        x = m.group()
+        if _PHONETIC.search(x) or {"C", "G"} & _alphabets(x).keys():
+            return x
+        return "".join(ch if ch == "ı" and turkish else LATIN_ODD.get(ch, ch) for ch in x)
+
+    return _ODD_WORD.sub(word, text)
+
+
+def _plain_punctuation(text: str) -> str:
+    """Full-width punctuation mapped in lines without Chinese, Japanese or Korean letters."""
+    return "\n".join(x if _CJK_LETTER.search(x) else _FULL_WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m.group()), x) for x in text.split("\n"))
+
+
 def mapped(text: str) -> str:
     """The consistent form of one value."""
     x = _INVISIBLE.sub("", text)
@@ -105,6 +134,10 @@ def mapped(text: str) -> str:
         x = _IDEOGRAPHIC_SPACE.sub(lambda m: m.group() if _CJK.match(x[m.start() - 1 : m.start()] or "a") or _CJK.match(x[m.end() : m.end() + 1] or "a") else " ", x)
     x = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), x)
     x = unicodedata.normalize("NFC", x)
+    x = _SARA_AM.sub("\\1\u0e33", x)
+    if _FULL_WIDTH.search(x):
+        x = _plain_punctuation(x)
+    x = _plain_latin(x)
     if ("Ð" in x or "ð" in x or "Ɖ" in x) and "þ" not in x:
         x = re.sub("[ÐðƉ]", lambda m: VIETNAMESE_ETH[m.group()], x)
     return look_alikes(x)
@@ -124,7 +157,9 @@ def field_values(stories: DataFrame, tales: DataFrame) -> DataFrame:
 
 
 def suspect() -> Column:
-    return F.col("value").rlike(SUSPECT) | (F.col("value").rlike(r"\p{IsCyrillic}") & F.col("value").rlike(r"\p{IsLatin}"))
+    v = F.col("value")
+    rare = v.rlike(WIDE[:-1] + "\u093c]") & (v.rlike(WIDE_LINE) | v.rlike("[\u0928\u0930\u0933]\u093c"))
+    return v.rlike(SUSPECT) | (v.rlike(r"\p{IsCyrillic}") & v.rlike(r"\p{IsLatin}")) | rare
 
 
 def canonical_suspects(values: DataFrame) -> DataFrame:
@@ -143,10 +178,10 @@ def unified(values: DataFrame) -> DataFrame:
     """Every value in its consistent form: (src, row_id, field_name, position,
     canonical, changed)."""
     changed = canonical_suspects(values)
-    same = values.filter(~suspect()).select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
-    kept = values.filter(suspect()).withColumn("form", _mapped("value")).filter("form = value")
+    # one pass for clean values, which have no form, and suspect ones that are their own form
+    kept = values.withColumn("form", _mapped(F.when(suspect(), F.col("value")))).filter("form is null or form = value")
     kept = kept.select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
-    return same.unionByName(kept).unionByName(changed.select("src", "row_id", "field_name", "position", "canonical", (F.col("canonical") != F.col("value")).alias("changed")))
+    return kept.unionByName(changed.select("src", "row_id", "field_name", "position", "canonical", (F.col("canonical") != F.col("value")).alias("changed")))
 
 
 def affected(values: DataFrame) -> DataFrame:

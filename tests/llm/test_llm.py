@@ -117,6 +117,25 @@ def test_usual_characters_stay(text):
     assert unify.mapped(text) == text
 
 
+RARE = [
+    ("the kıng", "the king"), ("ɡold ɑnd ȷam", "gold and jam"), ("ɑ fox", "a fox"), ("น\u0e4d\u0e49\u0e32", "น\u0e49\u0e33"), ("ท\u0e4d\u0e32", "ท\u0e33"),
+    ("fo\u206ax", "fox"), ("fo\u206fx", "fox"), ("fox\ufe00", "fox"), ("fo\u3164x", "fox"), ("fo\U000e0041x", "fox"), ("Go， fox！", "Go, fox!"), ("Đi（mau）", "Đi(mau)"),
+    ("ल\u095cकी", "ल\u0921\u093cकी"), ("\u0928\u093c", "\u0929"),
+]
+
+
+def test_rare_look_alikes(spark):
+    assert [unify.mapped(a) for a, _ in RARE] == [b for _, b in RARE]
+    df = spark.createDataFrame([("s", i, "title", 1, a) for i, (a, _) in enumerate(RARE)], "src string, row_id long, field_name string, position int, value string")
+    assert {r.row_id: r.canonical for r in unify.unified(df).collect()} == {i: b for i, (_, b) in enumerate(RARE)}
+    assert unify.affected(df).count() == len(RARE)
+
+
+@pytest.mark.parametrize("text", ["ışık yağmur", "she said /ɡɑt/ twice", "[ɡəʊld]", "他说ABC！", "走！\n（好）", "ल\u0921\u093cकी"])
+def test_rare_characters_stay(text):
+    assert unify.mapped(text) == text
+
+
 def test_unified_values(spark):
     s = spark.createDataFrame([(1, "Thе fox", "x"), (2, "The fox", None), (3, None, ""), (1, "Thе fox", "x")], "story_row_id long, title string, text string").withColumn("value", F.lit(0))
     f = spark.createDataFrame([(9, ["ａb", None, "ab"]), (8, None)], "record_id long, characters array<string>")
