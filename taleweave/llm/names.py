@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from taleweave.session import small_side
 
 MAX_MEMBERS = 20_000
-#: Candidates of the cosine join, its threshold, members that may share a variant.
-TOP_N, MIN_COSINE, MAX_SHARED = 16, 0.2, 2
+#: Candidates of the cosine join, its threshold; a form links to all members that share it.
+TOP_N, MIN_COSINE = 16, 0.2
 
 # Given names and their nicknames.
 NICKNAMES = {
@@ -207,8 +207,8 @@ class Catalogue:
                 w = words_of(x)
                 for place, word in enumerate([w[0], " ".join(w[1:])] if alias and w else w):
                     self.places[-1 if alias else len(w) if kind == "person" else 0, place].add(word)
-        self.squeezed = {k: v for k, v in by.items() if len(v) <= MAX_SHARED}
-        rows = sorted(x for x in slips if len(x[0]) > 5 and x[0] in self.squeezed)
+        self.squeezed = dict(by)
+        rows = sorted(x for x in slips if len(x[0]) > 5)
         self.texts, self.owner, self.words = [x[0] for x in rows], np.array([x[1] for x in rows], dtype=np.int64), [x[2].split() for x in rows]
         df: dict[str, int] = defaultdict(int)
         grams = [_grams(k) for k in self.texts]
@@ -269,7 +269,7 @@ class Catalogue:
             mean = {i: float(cos[self.owner == i].mean()) for i in near}
             most = max(mean.values())
             near = [i for i in near if mean[i] >= most - 1e-12]
-        return set(near) if len(near) <= MAX_SHARED else set()
+        return set(near)
 
     def link(self, form: str) -> set[int]:
         words = words_of(form)
@@ -281,7 +281,7 @@ class Catalogue:
         for w in tries:
             got = self.exact.get(" ".join(w))
             if got:
-                return got if len(got) <= MAX_SHARED else set()
+                return got
         for w in tries:
             got = self.squeezed.get(_squeezed(w))
             # parts written together, or one part cut off by a slip

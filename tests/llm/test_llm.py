@@ -275,6 +275,12 @@ def test_others_do_not_link(form):
     assert names.Catalogue(CAST).link(form) == set()
 
 
+def test_shared_variants_link_to_all():
+    cast = [(1, "Saltmarsh Reed Cutters Union", "organisation", None), (2, "Silver River Carvers Union", "organisation", None), (3, "Stone Road Carters Union", "organisation", None), (4, "Lan", "person", ["Old Moth"]), (5, "Mai", "person", ["Old Moth"]), (6, "Sen", "person", ["Old Moth"])]
+    assert names.Catalogue(cast).link("SRCU") == {1, 2, 3}
+    assert names.Catalogue(cast).link("Old Moth") == {4, 5, 6}
+
+
 def test_edit_distance():
     for a, b, d in [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "abcd", 1), ("abcd", "bcd", 1), ("kitten", "sitting", 3), ("abc", "xyz", 3)]:
         assert names.edit_distance(a, b, 4) == d
