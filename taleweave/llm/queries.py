@@ -62,7 +62,7 @@ def p5_found(spark, d):
 
 
 def p5_pairs(spark, d):
-    return neardup.near_duplicates(load(spark, d, "fairy_tales"))[0]
+    return neardup.near_duplicates(load(spark, d, "fairy_tales"))[0].withColumn("similarity", F.round("similarity", 6))
 
 
 def p5_groups(spark, d):

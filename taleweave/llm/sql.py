@@ -44,4 +44,22 @@ c as (select a.id a, b.id b, count(*) c from g a join g b on a.s = b.s and a.id
 select a record_id_a, b record_id_b from c join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c)
 """
 
-SQL = {"p5_found": P5_FOUND, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}
+_P5 = r"""
+with recursive t as (select record_id id, replace(replace(replace(replace(lower(coalesce(title, '') || text), ' ', ''), chr(9), ''), chr(13), ''), chr(10), '') x from fairy_tales where text is not null),
+m as (select id, min(id) over (partition by x) rep from t),
+g as (select distinct id, substr(x, i, 12) s from (select id, x, unnest(range(1, greatest(length(x) - 10, 2))) i from t where id in (select rep from m))),
+n as (select id, count(*) n from g group by 1),
+c as (select a.id a, b.id b, count(*) c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2),
+p as (select a rep_a, b rep_b, c / (x.n + y.n - c) similarity from c join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c))
+"""
+P5_PAIRS = _P5 + """
+select rep_a, rep_b, round(similarity, 6) similarity from p
+"""
+P5_GROUPS = _P5 + """,
+e as (select rep_a u, rep_b v from p union all select rep_b, rep_a from p),
+r as (select distinct u id, u top from e union select e.v, r.top from r join e on e.u = r.id),
+k as (select id, min(top) top from r group by 1), d as (select u, count(*) n from e group by 1)
+select m.id record_id, coalesce(k.top, m.rep) group_id, coalesce(d.n, 0) n_links from m left join k on k.id = m.rep left join d on d.u = m.rep
+"""
+
+SQL = {"p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p5_groups": P5_GROUPS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}

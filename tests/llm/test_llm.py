@@ -206,9 +206,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_pairs(rows)
     g = {r.record_id: r.group_id for r in neardup.groups(df).collect()}
     assert all(g[a] == g[b] for a, b in got) and len(g) == len(rows) - 1
+    links = {tuple(r) for r in neardup.near_duplicates(df)[0].select("rep_a", "rep_b").collect()}
+    assert {tuple(r) for r in neardup.near_duplicates(df, exact=True)[0].select("rep_a", "rep_b").collect()} == links
     assert neardup.all_pairs(df.limit(0)).count() == 0
 
 
+def test_the_bound_rejects_groups_and_groups_stay_small(spark):
+    rng = random.Random(3)
+    common = " ".join(str(rng.random()) for _ in range(3))
+    texts = [common + "".join(rng.choice("abcdefghij") for _ in range(250)) for _ in range(300)]
+    texts += [texts[0] + str(i) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.lit(None).cast("string").alias("title"), "text")
+    docs = df.mapInArrow(neardup._sketches(False), neardup._SKETCH.format("int")).drop("key")
+    m = neardup.group_matrix(docs)
+    sizes = [r[0] for r in m.select(F.size("ids")).collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 2 * neardup.GROUP and len(sizes) < 400
+    assert neardup.qualifying(m).count() < neardup.qualifying(m, 1).count()
+    got = {(r.a, r.b) for r in neardup.near_duplicates(df.withColumnRenamed("id", "record_id"))[0].select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).collect()}
+    assert got == brute_pairs([(i, None, t) for i, t in enumerate(texts)])
+
+
 def test_a_hot_group_of_copies(spark):
     text = " ".join(f"word{i}" for i in range(40))
     df = spark.range(90).select(F.col("id").alias("record_id"), F.lit("t").alias("title"), F.when(F.col("id") % 3 == 0, text).otherwise(F.concat(F.lit("x" * 30), F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 512))).alias("text"))
@@ -434,7 +451,7 @@ def test_sketch_agrees_with_similarity():
     a = np.unique(rng.integers(0, 2**63, 800).astype(np.uint64))
     b = np.unique(np.concatenate([a[:600], rng.integers(0, 2**63, 200).astype(np.uint64)]))
     j = neardup.similarity(a, b)
-    x, y = (np.frombuffer(neardup.sketch(g)[1], np.uint8) for g in (a, b))
+    x, y = (np.frombuffer(neardup.sketch(g)[2], np.uint8) for g in (a, b))
     assert abs((x == y).mean() - j) < 0.2 and 0.5 < j < 0.7
 
 
