@@ -89,6 +89,10 @@ def p7_forms(spark, d):
     return names.link_forms(_mentions(spark, d), load(spark, d, "cast_members"))
 
 
+def p7_clusters(spark, d):
+    return names.clusters(_mentions(spark, d), load(spark, d, "cast_members"))
+
+
 def p8_packing(spark, d):
     return packing.pack(tokens.token_counts(load(spark, d, "documents")), load(spark, d, "pack_windows"))
 
@@ -113,4 +117,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}

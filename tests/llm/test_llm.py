@@ -279,23 +279,27 @@ def test_sentences_of_a_long_text(spark):
 CAST = [(1, "Bành Quỳnh Đằng", "person", None), (2, "Tống Cát Thuyền", "person", ["Sún Ngõ Trầu"]), (3, "Matilda Larkspurrow", "person", None), (4, "Saltmarsh Reed Cutters Union", "organisation", None), (5, "The Lantern Toad", "creature", None), (6, "Cù Vân Đằng làng Hạ", "person", None), (7, "Bành Cát Nhài", "person", None)]
 
 
+def catalogue(cast):
+    return names.Vectors([v for m in cast for v in names.member_variants(*m)], {x for _, *m in cast for x in names.usual_parts(*m)})
+
+
 @pytest.mark.parametrize(
     "form, who",
     [("BÀNH QUỲNH ĐẰNG", 1), ("Banh Quynh Dang", 1), ("Banhf Quynhf Ddawngf", 1), ("Bà Bành Quỳnh Đằng", 1), ("Đằng, Bành Quỳnh", 1), ("B. Q. Đằng", 1), ("Bành Đằng", 1), ("Bành-Quỳnh-Đằng", 1), ("Bnàh Quỳnh Đnằg", 1), ("Sún Ngõ Trầu", 2), ("sun ngo trau", 2), ("Thuyền (Sún Ngõ Trầu)", 2), ("Tilly Larkspurrow", 3), ("Larkspurrow, Matilda", 3), ("MatildaLarkspurrow", 3), ("SRCU", 4), ("Saltmarsh Reed Cutters Un.", 4), ("Lantern Toad", 5), ("Cù Vân Đằng (làng Hạ)", 6), ("Tống C. Thuyền", 2)],
 )
 def test_variants_link(form, who):
-    assert names.Catalogue(CAST).link(form) == {who}
+    assert catalogue(CAST).link(form) == {who}
 
 
 @pytest.mark.parametrize("form", ["Bành Cát Đằng", "Tống Quỳnh Nhài", "the old toad", "a jar of thunder", "Bến Hạ", "", "  ", "bà mụ", "the latin road", "cái vân đằng làng hạ"])
 def test_others_do_not_link(form):
-    assert names.Catalogue(CAST).link(form) == set()
+    assert catalogue(CAST).link(form) == set()
 
 
 def test_shared_variants_link_to_all():
     cast = [(1, "Saltmarsh Reed Cutters Union", "organisation", None), (2, "Silver River Carvers Union", "organisation", None), (3, "Stone Road Carters Union", "organisation", None), (4, "Lan", "person", ["Old Moth"]), (5, "Mai", "person", ["Old Moth"]), (6, "Sen", "person", ["Old Moth"])]
-    assert names.Catalogue(cast).link("SRCU") == {1, 2, 3}
-    assert names.Catalogue(cast).link("Old Moth") == {4, 5, 6}
+    assert catalogue(cast).link("SRCU") == {1, 2, 3}
+    assert catalogue(cast).link("Old Moth") == {4, 5, 6}
 
 
 def test_edit_distance():
@@ -314,6 +318,55 @@ def test_links_of_odd_rows(spark):
     assert names.variant_links(names.mentions(g, s, c), cast.limit(0)).count() == 0
 
 
+def test_both_ways_of_the_join_agree(spark, data):
+    named = queries._mentions(spark, data).select("form").distinct()
+    cast = spark.read.parquet(f"{data}/cast_members.parquet")
+    a, b = ({tuple(r) for r in names.link_forms(named, cast, small).collect()} for small in (names.SMALL, 10))
+    assert a == b and len(a) > 100
+
+
+def brute_linkage(sims, least):
+    """One merge at a time, by all pairs of clusters."""
+    nodes = sorted({x for p in sims for x in p})
+    s = {frozenset(p): v for p, v in sims.items()}
+    groups = [[x] for x in nodes]
+    while True:
+        best = min(((-round(sum(s.get(frozenset((x, y)), 0) for x in g for y in h) / (len(g) * len(h)), 9), g[0], h[0], i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if g[0] < h[0]), default=None)
+        if best is None or -best[0] < least:
+            return {x: g[0] for g in groups for x in g}
+        _, _, _, i, j = best
+        merged = sorted(groups[i] + groups[j])
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [merged]
+
+
+def test_average_linkage_against_brute_force(spark):
+    rng = random.Random(2)
+    sims = {(f"n{i:02}", f"n{j:02}"): round(rng.uniform(0.5, 1), 3) for i in range(24) for j in range(i + 1, 24) if rng.random() < 0.25}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "a string, b string, s double")
+    assert dict(map(tuple, names.average_linkage(df, 0.4).collect())) == brute_linkage(sims, 0.4)
+    assert names.average_linkage(df.limit(0)).count() == 0
+
+
+def test_similar_forms_against_brute_force(spark, data):
+    texts = sorted({"".join(names.words_of(r.form)) for r in queries._mentions(spark, data).select("form").distinct().collect()} - {""})[:150]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    grams = {t: set(names._grams(t)) for t in texts}
+    df_ = Counter(g for v in grams.values() for g in v)
+    w = {g: np.log(1 + len(texts) / k) for g, k in df_.items()}
+    norm = {t: np.sqrt(sum(w[g] ** 2 for g in v)) for t, v in grams.items()}
+    want = {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if round(sum(w[g] ** 2 for g in grams[a] & grams[b]) / (norm[a] * norm[b]), 9) >= 0.6}
+    assert {(r.a, r.b) for r in names.similar_forms(df, 0.6).collect()} == want and want
+
+
+def test_clusters_hold_every_form(spark):
+    cast = spark.createDataFrame(CAST, "character_id long, full_name string, member_type string, aliases array<string>")
+    forms = spark.createDataFrame([(x,) for x in ("Banh Quynh Dang", "Bành Quỳnh Đằng", "Zacharias Pomfritt", "Zacharias Pomfrit", "Mr Zacharias Pomfritt", "Isolde Quartermain", "?!", None)], "form string").filter("form is not null")
+    got = {r.form: (r.cluster, r.character_id) for r in names.clusters(forms, cast).collect()}
+    assert len(got) == 7 and got["Banh Quynh Dang"] == got["Bành Quỳnh Đằng"] == ("member:1", 1)
+    assert len({got[x][0] for x in ("Zacharias Pomfritt", "Zacharias Pomfrit", "Mr Zacharias Pomfritt")}) == 1
+    assert got["Isolde Quartermain"][0] != got["Zacharias Pomfrit"][0] and got["?!"] == ("?!", None)
+
+
 # ------------------------------------------------------------------ problems 8 and 9
 
 
