@@ -1,12 +1,14 @@
 """Problem 9: mixing sources to target weights.
 
-Temperature mixing. The weight of a source is its share q of the tokens tilted to
-its target t by an exponent: w ~ q * (t / q) ** x. x = 1 is the target, x = 0 the
-natural mixture. By default the size is the largest at which x = 1 keeps every
-source within its repetition limit; for a larger wanted size the exponent is
-bisected to the largest that the limits allow. (temperature_weights is the plain
-form, shares to a power, bisected to a target entropy.) Sources without documents
-reach nothing, the others share their part in proportion.
+Temperature mixing. c is the share of a source in all tokens, each source counted as
+often as it may be repeated; its weight is c tilted to its target t by an exponent:
+w ~ c * (t / c) ** x. x = 1 is the target; at x = 0 every source is repeated to its
+limit at once, and between them the greatest repetition grows with x. So the exponent
+is bisected to the largest in [0, 1] that keeps the limits. The size of a mix is
+`stretch` times the largest at which all targets can be met: at 1 the bisection ends
+at the targets themselves, beyond it at the nearest mixture that the limits allow. With a target
+entropy the exponent of the plain shares, w ~ q ** x, is bisected to meet it instead.
+Sources without documents reach nothing, the others share their part in proportion.
 
 The weights become token budgets, realised as block permutations: every document
 gets as many copies as whole passes fit the budget, and the rest is taken from the
@@ -24,89 +26,96 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.session import cut, small_side
 
-MAX_TARGETS = 100_000
 #: Documents in a block, on average.
 BLOCK_DOCS = 5_000
+#: Halvings of an interval of exponents.
+HALVINGS = 80
 
 
 def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def temperature_weights(shares: dict[str, float], target_entropy: float) -> dict[str, float]:
-    """Shares to the power of an exponent in [0, 4], bisected so that the entropy of
-    the normalised weights meets the target (the nearest possible one beyond)."""
-    q = {s: v for s, v in shares.items() if v > 0}
+def bisected(holds, low: float, high: float) -> float:
+    """The largest exponent between low and high at which a condition holds that holds
+    from low up to some exponent; low if it holds nowhere."""
+    for _ in range(HALVINGS):
+        mid = (low + high) / 2
+        low, high = (mid, high) if holds(mid) else (low, mid)
+    return low
 
-    def at(x: float) -> dict[str, float]:
-        w = {s: v**x for s, v in q.items()}
-        n = sum(w.values())
-        return {s: v / n for s, v in w.items()}
 
-    low, high = 0.0, 4.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if entropy(list(at(mid).values())) > target_entropy else (low, mid)
-    return at((low + high) / 2)
+def _normalised(w: dict[str, float]) -> dict[str, float]:
+    n = sum(w.values())
+    return {s: v / n for s, v in w.items()}
+
+
+def temperature_weights(shares: dict[str, float], target_entropy: float) -> tuple[float, dict[str, float]]:
+    """(exponent in [0, 4], weights): shares to the power of the exponent, bisected so
+    that their entropy meets the target (the nearest possible one beyond)."""
+    q = {s: v for s, v in shares.items() if v > 0}
+    at = lambda x: _normalised({s: v**x for s, v in q.items()})
+    x = bisected(lambda e: entropy(list(at(e).values())) > target_entropy, 0.0, 4.0)
+    return x, at(x)
 
 
-def budgets(targets: list[tuple[str, float, int]], tokens: dict[str, int], wanted: float | None = None) -> dict[str, tuple[float, float]]:
-    """source: (weight, tokens to select) for one mix of (source, share, max_repeats)."""
+def budgets(targets: list[tuple[str, float, int]], tokens: dict[str, int], stretch: float = 1.0, target_entropy: float | None = None) -> tuple[float, dict[str, tuple[float, float]]]:
+    """(exponent, {source: (weight, tokens to select)}) of one mix of (source, share,
+    max_repeats); (1, {}) if it has nothing to select."""
     have = {s: (t, r) for s, t, r in targets if t > 0 and tokens.get(s, 0) > 0 and r > 0}
     if not have:
-        return {}
-    n, q_all = sum(t for t, _ in have.values()), sum(tokens[s] for s in have)
-    t = {s: v / n for s, (v, _) in have.items()}
-    q = {s: tokens[s] / q_all for s in have}
-    limit = {s: r * tokens[s] for s, (_, r) in have.items()}
-
-    def at(x: float) -> dict[str, float]:
-        w = {s: q[s] * (t[s] / q[s]) ** x for s in have}
-        m = sum(w.values())
-        return {s: v / m for s, v in w.items()}
-
-    fits = lambda w, size: all(w[s] * size <= limit[s] * (1 + 1e-12) for s in have)
-    size = min(limit[s] / t[s] for s in have)
-    w = t
-    if wanted is not None and wanted <= size:
-        size = wanted
-    elif wanted is not None:
-        size = min(wanted, sum(limit.values()))
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(at(mid), size) else (low, mid)
-        w = at(low)
-        if not fits(w, size):  # even the natural mixture repeats too often: the limits rule
-            w = {s: limit[s] / sum(limit.values()) for s in have}
-            size = min(size, sum(limit.values()))
-    return {s: (w[s], w[s] * size) for s in have}
-
-
-def select(counts: DataFrame, targets: DataFrame, wanted: float | None = None) -> DataFrame:
-    """(mix_id, source, doc_id, copies, n_tokens) of the chosen documents."""
-    spark = counts.sparkSession
-    t = targets.filter("source is not null").groupBy("mix_id", "source").agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
-    rows = t.orderBy("mix_id", "source").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    named = small_side(t.select("source").distinct())
-    docs = counts.filter("n_tokens > 0").join(named, "source", "left_semi")
-    totals = {r.source: (r.t, r.n) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # at most MAX_TARGETS rows
-    want = []
-    for mix in sorted({r.mix_id for r in rows}):
-        own = [(r.source, float(r.share or 0), int(r.repeats)) for r in rows if r.mix_id == mix]
-        for s, (w, b) in budgets(own, {k: v[0] for k, v in totals.items()}, wanted).items():
-            passes = min(math.floor(b / totals[s][0] + 1e-9), next(r for x, _, r in own if x == s))
-            want.append((mix, s, int(passes), max(0.0, b - passes * totals[s][0]), max(1, -(-totals[s][1] // BLOCK_DOCS))))
-    plan = spark.createDataFrame(want, "mix_id int, source string, passes int, rest double, n_blocks long")
-    small = F.broadcast(plan)  # at most MAX_TARGETS rows
-    placed = docs.join(small, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_blocks")))
+        return 1.0, {}
+    t, limit = _normalised({s: v for s, (v, _) in have.items()}), {s: r * tokens[s] for s, (_, r) in have.items()}
+    if target_entropy is not None:
+        x, w = temperature_weights(_normalised({s: float(tokens[s]) for s in have}), target_entropy)
+        return x, {s: (w[s], w[s] * min(limit[z] / w[z] for z in have)) for s in have}
+    c = _normalised({s: float(v) for s, v in limit.items()})
+    size = min(stretch * min(limit[s] / t[s] for s in have), sum(limit.values()))
+    at = lambda x: _normalised({s: c[s] * (t[s] / c[s]) ** x for s in have})
+    x = bisected(lambda e: all(v * size <= limit[s] * (1 + 1e-12) for s, v in at(e).items()), 0.0, 1.0)
+    w = at(x)
+    return x, {s: (w[s], w[s] * size) for s in have}
+
+
+def _planned(stretch: float, target_entropy: float | None):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("source", ignore_index=True)
+        tokens = {s: int(n) for s, n in zip(g["source"], g["tokens"])}
+        docs = dict(zip(g["source"], g["docs"]))
+        own = [(s, 0.0 if pd.isna(v) else float(v), int(r)) for s, v, r in zip(g["source"], g["share"], g["repeats"])]
+        x, want = budgets(own, tokens, stretch, target_entropy)
+        repeats = {s: r for s, _, r in own}
+        h, goal = entropy([w for w, _ in want.values()]), entropy(list(_normalised({s: v for s, v, _ in own if s in want}).values())) if want else 0.0
+        rows = []
+        for s, (w, b) in want.items():
+            passes = min(math.floor(b / tokens[s] + 1e-9), repeats[s])
+            rest = max(0.0, b - passes * tokens[s]) if passes < repeats[s] else 0.0  # nothing above the limit
+            rows.append((int(g["mix_id"].iloc[0]), s, x, w, h, goal if target_entropy is None else target_entropy, passes, rest, max(1, -(-int(docs[s]) // BLOCK_DOCS))))
+        return pd.DataFrame(rows, columns=["mix_id", "source", "exponent", "weight", "entropy", "target_entropy", "passes", "rest", "n_blocks"])
+
+    return run
+
+
+def plan(counts: DataFrame, targets: DataFrame, stretch: float = 1.0, target_entropy: float | None = None) -> DataFrame:
+    """(mix_id, source, exponent, weight, entropy, target_entropy, passes, rest, n_blocks)
+    of the sources to select from: whole passes over a source and the tokens beyond.
+    One task sees the sources of one mix."""
+    t = targets.filter("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
+    totals = counts.filter("n_tokens > 0 and source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    known = t.join(totals, "source", "left").na.fill(0, ["tokens", "docs"])
+    return cut(known.groupBy("mix_id").applyInPandas(_planned(stretch, target_entropy), "mix_id int, source string, exponent double, weight double, entropy double, target_entropy double, passes int, rest double, n_blocks long"))
+
+
+def select(counts: DataFrame, planned: DataFrame) -> DataFrame:
+    """(mix_id, source, doc_id, copies, n_tokens) of the documents chosen by a plan."""
+    small = small_side(planned.select("mix_id", "source", "passes", "rest", "n_blocks"))
+    placed = counts.filter("n_tokens > 0").join(small, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_blocks")))
     blocks = cut(placed.filter("rest > 0").groupBy("mix_id", "source", "rest", "block").agg(F.sum("n_tokens").alias("t")))
     order = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64("mix_id", "source", "block"), "block")
     summed = blocks.withColumn("upto", F.sum("t").over(order)).select("mix_id", "source", "block", (F.col("upto") - F.col("t")).alias("before"), "upto")
@@ -119,10 +128,12 @@ def select(counts: DataFrame, targets: DataFrame, wanted: float | None = None) -
     return sure.unionByName(decided).filter("copies > 0").select("mix_id", "source", "doc_id", "copies", "n_tokens")
 
 
-def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, max_repeats, n_docs, most_copies, tokens,
-    actual_share): the shares really reached, also of sources that have none."""
+def shares(selected: DataFrame, targets: DataFrame, planned: DataFrame) -> DataFrame:
+    """(mix_id, source, target_share, max_repeats, exponent, weight, entropy,
+    target_entropy, n_docs, most_copies, tokens, actual_share): the shares really
+    reached, also of sources that have none."""
     got = selected.groupBy("mix_id", "source").agg(F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     t = targets.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    all_ = t.join(got, ["mix_id", "source"], "left").na.fill(0, ["n_docs", "most_copies", "tokens"])
+    all_ = t.join(planned.select("mix_id", "source", "exponent", "weight", "entropy", "target_entropy"), ["mix_id", "source"], "left").join(got, ["mix_id", "source"], "left")
+    all_ = all_.na.fill(0, ["n_docs", "most_copies", "tokens", "weight"])
     return all_.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy("mix_id"))), F.lit(0.0)))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from taleweave.session import cut
 
-MAX_WINDOWS = 1_000
+#: Window sizes that are planned at once.
+AT_ONCE = 1_000
 #: Rows of one length that one task ranks, on average at most.
 RANKED = 1_000_000
 
@@ -88,12 +89,18 @@ def _planned(group: pd.DataFrame) -> pd.DataFrame:
 def pack(counts: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_id, bin_no, doc_id, piece_no, start_token, n_tokens) of every document
     (doc_id, n_tokens) in each window size; start_token counts from 0."""
-    sizes = windows.filter("capacity_tokens > 0").select("window_id", "capacity_tokens").orderBy("window_id").limit(MAX_WINDOWS + 1).collect()
-    if len(sizes) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} window sizes")
     schema = "window_id int, bin_no long, doc_id long, piece_no int, start_token long, n_tokens long"
-    if not sizes:
-        return counts.sparkSession.createDataFrame([], schema)
+    left = windows.filter("capacity_tokens > 0 and window_id is not null").select("window_id", "capacity_tokens").orderBy("window_id")
+    out, last = counts.sparkSession.createDataFrame([], schema), None
+    while True:
+        # pages of the window sizes, so that any number of them is planned
+        sizes = (left if last is None else left.filter(F.col("window_id") > last)).limit(AT_ONCE).collect()
+        if not sizes:
+            return out
+        out, last = out.unionByName(_packed(counts, sizes)), sizes[-1].window_id
+
+
+def _packed(counts: DataFrame, sizes: list) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(int(r.window_id)).alias("window_id"), F.lit(int(r.capacity_tokens)).cast("long").alias("capacity")) for r in sizes])).alias("w")
     docs = counts.select("doc_id", "n_tokens", each).select("doc_id", "n_tokens", "w.*")
     pieces = docs.filter("n_tokens > 0").select(
@@ -119,6 +126,21 @@ def pack(counts: DataFrame, windows: DataFrame) -> DataFrame:
     return placed.unionByName(none)
 
 
+def checked(packed: DataFrame, counts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, n_docs, n_tokens, within, whole, undivided): what must hold of a packing:
+    no bin above its capacity, every document there once with all its tokens in
+    pieces one after the other, none divided that fits a window."""
+    w = windows.select("window_id", F.col("capacity_tokens").cast("long").alias("capacity"))
+    bins = packed.filter("bin_no is not null").groupBy("window_id", "bin_no").agg(F.sum("n_tokens").alias("t")).groupBy("window_id").agg(F.max("t").alias("most"))
+    per = packed.groupBy("window_id", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"), F.countDistinct("piece_no").alias("d"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    both = per.join(counts.select("doc_id", F.col("n_tokens").alias("own")), "doc_id", "left").join(w, "window_id")
+    docs = both.groupBy("window_id").agg(
+        F.count("*").alias("n_docs"), F.sum("t").alias("n_tokens"), F.every((F.col("t") == F.col("own")) & (F.col("end") == F.col("own")) & (F.col("k") == F.col("d"))).alias("whole"),
+        F.every((F.col("k") == 1) | (F.col("own") > F.col("capacity"))).alias("undivided"),
+    )
+    return docs.join(bins, "window_id").join(w, "window_id").select("window_id", "n_docs", "n_tokens", (F.col("most") <= F.col("capacity")).alias("within"), "whole", "undivided")
+
+
 def fill(packed: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_id, n_bins, n_items, n_tokens, fill): how full the bins are."""
     bins = packed.filter("bin_no is not null").groupBy("window_id", "bin_no").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taleweave.llm import boundaries, cooccur, languages, mixing, names, neardup, packing, pii, sentences, tokens, unify
@@ -101,12 +102,40 @@ def p8_fill(spark, d):
     return packing.fill(p8_packing(spark, d), load(spark, d, "pack_windows"))
 
 
+def p8_check(spark, d):
+    """What holds of the whole packing."""
+    counts = tokens.token_counts(load(spark, d, "documents"))
+    windows = load(spark, d, "pack_windows")
+    return packing.checked(packing.pack(counts, windows), counts, windows).drop("n_tokens")
+
+
+def _mixed(spark, d, stretch=1.0):
+    counts, targets = tokens.token_counts(load(spark, d, "documents")), load(spark, d, "mix_targets")
+    planned = mixing.plan(counts, targets, stretch)
+    return mixing.select(counts, planned), targets, planned
+
+
 def p9_mixture(spark, d):
-    return mixing.select(tokens.token_counts(load(spark, d, "documents")), load(spark, d, "mix_targets"))
+    return _mixed(spark, d)[0]
 
 
 def p9_shares(spark, d):
-    return mixing.shares(p9_mixture(spark, d), load(spark, d, "mix_targets"))
+    return mixing.shares(*_mixed(spark, d))
+
+
+def p9_stretched(spark, d):
+    """Shares at twice the size at which all targets can be met: the exponent falls to
+    what the repetition limits allow."""
+    return mixing.shares(*_mixed(spark, d, 2.0))
+
+
+def p9_check(spark, d):
+    """What holds of every mix: the shares reached within half a percent, no document
+    above its limit, the exponent bisected to 1."""
+    x = mixing.shares(*_mixed(spark, d))
+    have = F.sum(F.when(F.col("weight") > 0, F.col("target_share"))).over(Window.partitionBy("mix_id"))
+    x = x.withColumn("due", F.when(F.col("weight") > 0, F.col("target_share") / have).otherwise(0.0))
+    return x.select("mix_id", "source", (F.abs(F.col("actual_share") - F.col("due")) <= 0.005).alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within"), (F.coalesce("exponent", F.lit(1.0)) == 1).alias("at_target"))
 
 
 def p10_found(spark, d):
@@ -117,4 +146,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p8_check, p9_mixture, p9_shares, p9_stretched, p9_check, p10_found, p10_redacted)}

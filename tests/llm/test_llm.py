@@ -424,13 +424,24 @@ def test_packing_of_odd_rows(spark):
 
 
 def test_budgets():
-    b = mixing.budgets([("a", 0.5, 1), ("b", 0.5, 4), ("gone", 0.2, 1)], {"a": 1000, "b": 400})
-    assert b["a"][1] == pytest.approx(1000) and b["b"][1] == pytest.approx(1000)
-    b = mixing.budgets([("a", 0.1, 1), ("b", 0.9, 2)], {"a": 1000, "b": 100}, wanted=600)
-    assert b["b"][1] <= 200 * (1 + 1e-9) and sum(x for _, x in b.values()) == pytest.approx(600)
-    assert mixing.budgets([("x", 1.0, 1)], {}) == {}
-    w = mixing.temperature_weights({"a": 0.7, "b": 0.2, "c": 0.1}, 0.95)
-    assert mixing.entropy(list(w.values())) == pytest.approx(0.95, abs=1e-6)
+    x, b = mixing.budgets([("a", 0.5, 1), ("b", 0.5, 4), ("gone", 0.2, 1)], {"a": 1000, "b": 400})
+    assert x == 1 and b["a"][1] == pytest.approx(1000) and b["b"][1] == pytest.approx(1000)
+    assert mixing.budgets([("x", 1.0, 1)], {}) == (1.0, {})
+    x, w = mixing.temperature_weights({"a": 0.7, "b": 0.2, "c": 0.1}, 0.95)
+    assert mixing.entropy(list(w.values())) == pytest.approx(0.95, abs=1e-6) and 0 < x < 1
+    assert mixing.budgets([("a", 0.5, 1), ("b", 0.5, 1)], {"a": 700, "b": 300}, target_entropy=0.65)[0] < 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 1), st.integers(1, 6), st.integers(1, 10_000)), min_size=1, max_size=8), st.floats(0.2, 5))
+def test_budgets_keep_the_limits(rows, stretch):
+    targets, tokens_ = [(str(i), t, r) for i, (t, r, _) in enumerate(rows)], {str(i): n for i, (_, _, n) in enumerate(rows)}
+    x, b = mixing.budgets(targets, tokens_, stretch)
+    exact = sum(v for _, v in mixing.budgets(targets, tokens_)[1].values())
+    limits = {s: r * tokens_[s] for s, _, r in targets}
+    assert all(v <= limits[s] * (1 + 1e-9) for s, (_, v) in b.items())
+    assert sum(v for _, v in b.values()) == pytest.approx(min(stretch * exact, sum(limits.values())))
+    assert (x == 1) == all(w == pytest.approx(t / sum(t for _, t, _ in targets)) for (w, _), (_, t, _) in zip(b.values(), targets)) or stretch > 1
 
 
 def test_mixture_reaches_its_shares(spark):
@@ -438,13 +449,17 @@ def test_mixture_reaches_its_shares(spark):
     rows = [(i, "hot" if i % 3 == 0 else rng.choice(["b", "c", None]), rng.randrange(0, 60)) for i in range(6000)]
     counts = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("block", F.lit(0))
     targets = spark.createDataFrame([(1, "hot", 0.2, 1), (1, "b", 0.4, 2), (1, "c", 0.4, 3), (2, "hot", 0.5, 1), (2, "none", 0.5, 9)], "mix_id int, source string, target_share double, max_repeats int")
-    chosen = mixing.select(counts, targets)
-    got = {(r.mix_id, r.source): r for r in mixing.shares(chosen, targets).collect()}
+    planned = mixing.plan(counts, targets)
+    chosen = mixing.select(counts, planned)
+    got = {(r.mix_id, r.source): r for r in mixing.shares(chosen, targets, planned).collect()}
     for k in ("hot", "b", "c"):
         assert got[1, k].actual_share == pytest.approx(got[1, k].target_share, abs=0.002) and got[1, k].most_copies <= got[1, k].max_repeats
     assert got[2, "none"].tokens == 0 and got[2, "hot"].actual_share == 1.0
     assert chosen.groupBy("mix_id", "doc_id").count().filter("count > 1").count() == 0
-    assert mixing.select(counts.limit(0), targets).count() == 0
+    assert mixing.select(counts.limit(0), mixing.plan(counts.limit(0), targets)).count() == 0
+    wide = mixing.plan(counts, targets, stretch=2.5)
+    got = mixing.shares(mixing.select(counts, wide), targets, wide).filter("mix_id = 1").collect()
+    assert all(0 < r.exponent < 1 and r.most_copies <= r.max_repeats and r.actual_share == pytest.approx(r.weight, abs=0.002) for r in got)
 
 
 # ------------------------------------------------------------------ problem 10
