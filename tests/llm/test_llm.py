@@ -146,6 +146,18 @@ def test_unified_values(spark):
     assert unify.affected(unify.field_values(s.limit(0), f.limit(0))).count() == 0
 
 
+def test_dirty_values_join_the_class_of_clean_ones(spark):
+    rows = [(1, "Ca\u0301o", "x"), (2, "Cáo", "x"), (3, "C\u200báo", "fo\u0007x"), (4, "Cao", None), (5, "cáo", ""), (5, "cáo", "")]
+    s = spark.createDataFrame(rows, "story_row_id long, title string, text string").withColumn("value", F.lit(1)).withColumn("form", F.lit(2))
+    t = spark.createDataFrame([(7, ["Сáo", None]), (8, None)], "record_id long, characters array<string>")
+    v = unify.field_values(s, t)
+    by = unify.classes(unify.mapped_suspects(v), v).collect()
+    assert sorted(r.canonical for r in by) == ["Cáo", "fox"]
+    got = {(r.src, r.row_id, r.field_name): r.canonical for r in unify.unified(v).collect()}
+    assert [got["stories", i, "title"] for i in (1, 2, 3, 4, 5)] == ["Cáo", "Cáo", "Cáo", "Cao", "cáo"] and got["fairy_tales", 7, "characters"] == "Cáo" and got["stories", 3, "text"] == "fox"
+    assert unify.unified(v).count() == v.count()
+
+
 # ------------------------------------------------------------------ problem 4
 
 
