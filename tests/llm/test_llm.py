@@ -169,12 +169,42 @@ def test_labels():
 def test_language_on_held_out_samples(spark, data):
     rows = spark.read.parquet(f"{data}/language_samples.parquet").collect()
     train = [(r.language, r.text) for r in rows if r.sample_id % 5]
-    model = languages.Model(train)
+    model = languages.Model(train, calibrate=True)
     held = [r for r in rows if r.sample_id % 5 == 0]
     right = sum(languages.posterior(model.text(r.text)[0])[0] == r.language for r in held)
     plain = [r for r in held if r.language == "vi"]
     assert right / len(held) > 0.98
     assert sum(languages.posterior(model.text(languages.fold(r.text))[0])[0] == "vi" for r in plain) / len(plain) > 0.95
+    assert not any(model.rejected(r.language, r.text) for r in held)
+    # calibration: the mean confidence of short snippets is their share of right ones, within 4 %
+    got = []
+    for r in held:
+        words = r.text.split()
+        for k in range(0, len(words) - 1, 2):
+            language, p = languages.posterior(model.text(words[k])[0], model.temperature)
+            got.append((p, language == r.language))
+    for low, high in ((0.0, 0.9), (0.9, 0.99), (0.99, 1.01)):
+        part = [x for x in got if low <= x[0] < high]
+        assert len(part) > 30 and abs(sum(p for p, _ in part) / len(part) - sum(ok for _, ok in part) / len(part)) < (0.1 if high < 1 else 0.03)
+
+
+def test_other_languages_are_rejected(spark, data):
+    model = languages.Model([(r.language, r.text) for r in spark.read.parquet(f"{data}/language_samples.parquet").collect()], calibrate=True)
+    for text in (
+        "Era uma vez um rapaz que morava numa pequena casa junto ao rio com a sua avó e saía todos os dias para buscar lenha.",
+        "Viveva in una piccola casa vicino al fiume con sua nonna e ogni giorno usciva per raccogliere la legna nel bosco.",
+        "Жив собі колись хлопець, який мешкав з бабусею в маленькій хатині біля річки і щодня ходив до лісу по дрова.",
+        "옛날 옛적에 강가의 작은 집에서 할머니와 함께 사는 소년이 있었습니다.",
+    ):
+        assert [(c, 0.5 < p <= 1) for _, _, c, p in languages.segments(model, text, None, {})] == [("und", True)]
+    for text, code in (("He carried the wood home and ate his supper by the fire.", "en"), ("Она принесла домой дрова и села у огня.", "ru"), ("Ella llevó la leña a casa y cenó junto al fuego.", "es")):
+        assert [c for _, _, c, _ in languages.segments(model, text, None, {})] == [code]
+
+
+def test_own_label_is_left_out():
+    above = [0.1] * 10
+    assert languages.log_prior([1] + [0] * 9, above, "vi") == languages.log_prior([0] * 10, above, None)
+    assert languages.log_prior(None, None, "vi") == {}
 
 
 def test_language_segments(spark, data):
