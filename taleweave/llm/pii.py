@@ -1,22 +1,24 @@
 """Problem 10: personal information inside free text.
 
-A semi-Markov conditional random field. Candidate segments of bounded length are
-proposed from at signs, digit groups, number words, street words with a number, runs
-of capitalised words, short runs of Han or kana between punctuation and words after
-Hindi forms of address; every candidate is scored as a whole by features of
-its shape, its inside, its borders, the phrases and roles beside it and the other
-items of its sentence, and a dynamic program over non-overlapping segments with
-transitions between neighbouring types chooses boundaries and types jointly. The
-weights are trained here by the averaged structured perceptron on sentences composed
-from the fixed patterns below with invented fillers. The phrases of BEFORE_NAME,
-AFTER_NAME, LABELS and NOT_PERSONAL were drawn up with the documents in view; the
-training patterns are other wordings than theirs but for labels and single words, and
-were chosen by looking at what the model finds in the documents of sf0.1. The model is
-the same at every size.
-
-A name of one word or in lower case is proposed only beside a phrase of BEFORE_NAME
-or AFTER_NAME; a name without a role word or another item in its sentence looks like
-one of the tale and stays.
+A semi-Markov conditional random field. Segments of bounded length are taken from at
+signs, digit groups, number words, street words with a number, every run of up to four
+capitalised words, short runs of Han or kana between punctuation and words after Hindi
+forms of address; every segment is scored as a whole by features of its shape, its
+inside, its borders, the phrases and roles beside it and the other items of its
+sentence, and a dynamic program over non-overlapping segments with transitions between
+neighbouring types chooses boundaries and types jointly. The weights maximise the
+likelihood of the right segmentations of sentences composed from the fixed patterns
+below with invented fillers: a forward and a backward pass give the expected features,
+the steps are AdaGrad's, with a quadratic penalty.
+
+Most runs of capitals in a tale have no role word and no other item in reach. All they
+can have is known, so `bound` proves from the weights that none of them can be chosen,
+and they are not built; if it cannot, every run is scored.
+
+The phrases of BEFORE_NAME, AFTER_NAME, LABELS and NOT_PERSONAL were drawn up with the
+documents in view; the training patterns are other wordings than theirs but for labels
+and single words. Names of one word, in lower case or in Thai are proposed only beside
+such a phrase. The tests train on a part of the patterns and measure the rest.
 
 Defined results: null texts give no items and stay null, empty ones empty; items
 are numbered by position; the same item twice is two rows; repeated rows are
@@ -26,6 +28,7 @@ the leftmost, longest one.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from bisect import bisect_right
@@ -91,12 +94,16 @@ STREETS_VI, PARTS_VI = "phố|đường|ngõ|ngách|hẻm|thôn", "phường|xã
 STREETS_EN = "Street|St\\.?|Road|Rd\\.?|Lane|Ln\\.?|Row|Close|Avenue|Ave\\.?|Way|Court|Drive|Place|Square|Terrace|Hill|Gate"
 STREETS_FR = "rue|allée|avenue|boulevard|chemin|impasse|place|quai|route"
 STREETS_ES = "calle|plaza|camino|avenida|paseo|callejón|carretera"
+STREETS_RU, STREETS_ZH, PARTS_JA = "ул\\.|улица|пер\\.|переулок|пр-т|проспект|наб\\.", "路|街|巷|弄|大道|胡同", "市|区|郡"
 ADDRESS = {
     "vi": re.compile(rf"{_DIGIT}+[A-Za-z]?(?:/{_DIGIT}+[A-Za-z]?)?\s+(?:{STREETS_VI})\s+{_CAP}(?:\s+{_CAP}){{0,2}}(?:,\s+(?:{PARTS_VI})\s+{_CAP}(?:\s+{_CAP})?)*"),
     "en": re.compile(rf"{_DIGIT}+[A-Za-z]?\s+{_CAP}(?:\s+{_CAP})?\s+(?:{STREETS_EN})(?!\w)(?:,\s+{_CAP}(?:\s+{_UP})?)?", re.I),
     "fr": re.compile(rf"{_DIGIT}+(?:\s+(?:bis|ter))?,?\s+(?:{STREETS_FR})\s+{_CAPS}(?:,\s+{_CAP})?", re.I),
     "de": re.compile(rf"(?:{_CAP}(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm)|(?:Am|Im|An der|Auf dem|Zum|Zur)\s+{_CAP}|{_CAP}\s+(?:Straße|Weg|Gasse|Platz|Allee|Ring))\s+{_DIGIT}+[a-z]?(?!\w)(?:,\s+{_CAP})?", re.I),
     "es": re.compile(rf"(?:{STREETS_ES})\s+(?:(?:del|de|la|las|los|el)\s+){{0,2}}{_CAP}(?:\s+{_CAP})?\s+{_DIGIT}+(?:,\s+{_DIGIT}+\.?[ºª]\s+[A-Z])?(?:,\s+{_UP}(?:\s+(?:de\s+)?{_UP}){{0,2}})?", re.I),
+    "ru": re.compile(rf"(?:(?:г\.|город)\s+{_CAP},\s+)?(?:{STREETS_RU})\s+{_CAP}(?:\s+{_CAP})?,\s+(?:д\.|дом)?\s*{_DIGIT}+[а-я]?(?:,\s+(?:кв\.|квартира)\s*{_DIGIT}+)?", re.I),
+    "zh": re.compile(rf"(?:(?<=[在址于：:，,。 \n])|^)(?![住在])(?:[一-鿿]{{2,8}}[省市区县镇乡村]){{0,3}}[一-鿿]{{1,6}}(?:{STREETS_ZH}){_DIGIT}+[号號](?:{_DIGIT}+(?:室|楼|单元)){{0,2}}"),
+    "ja": re.compile(rf"(?:(?<=[はに所：:、。 \n])|^)(?:[一-鿿]{{2,3}}[都道府県])?[一-鿿]{{1,5}}[市区郡](?:[一-鿿ぁ-んァ-ヿ]{{1,5}}[町村])?[一-鿿ぁ-んァ-ヿ]{{0,6}}{_DIGIT}+(?:(?:丁目|番地?|[-−‐－]){_DIGIT}+){{0,3}}号?"),
 }
 _alt = lambda x: "|".join(sorted((re.escape(p).replace(r"\ ", r"\s+") for p in x), key=len, reverse=True))
 _HONOR = rf"(?:(?:{HONORIFICS})\.?\s+)?"
@@ -106,10 +113,11 @@ _ADDRESSED = re.compile(rf"\s*{_HONOR}{_HONOR}", re.I)
 # Words that open a window for ADDRESS, those of its patterns.
 STREET_CUES = {
     "vi": STREETS_VI, "en": STREETS_EN, "fr": STREETS_FR, "es": STREETS_ES,
+    "ru": STREETS_RU, "zh": STREETS_ZH, "ja": PARTS_JA,
     "de": "straße|strasse|str.|gasse|weg|platz|allee|ufer|ring|damm|am|im|an der|auf dem|zum|zur",
 }
 # Beginnings of words for telling, sending, writing down, owning and being reached.
-ROLES = tuple("told tell narrat recount record collect contribut submit donat sent send sender shar wrote writ typ copi transcrib sign own belong propert contact reach call ring ask informant courtesy thank name kể gửi chép ghi sưu tên liên nhắn thuộc cảm cont racont narr recueil envo écri transcri appart propri contact demand appel merci nomm erzähl einsend eingesand aufgezeich aufgeschrieb aufgenomm geschick gehör besitz frag heiß dank nam contad relat recog envi escrit transcri pertene propie pregunt llam graci рассказ записа присла сообщ принадлеж владел зовут спрос пис благодар передал सुना कथा भेज नाम लिख संपर्क เล่า บันทึก ส่ง ชื่อ ติดต่อ เจ้าของ".split())
+ROLES = tuple("told tell given pass owe lent lend narrat recount record collect contribut submit donat sent send sender shar wrote writ typ copi transcrib sign own belong propert contact reach call ring ask informant courtesy thank name kể gửi chép nhờ ghi sưu tên liên nhắn thuộc cảm cont racont narr recueil envo écri transcri appart propri contact demand appel merci remerc donné nomm mitgeteil erzähl einsend eingesand aufgezeich aufgeschrieb aufgenomm geschick gehör besitz frag heiß dank nam contad relat recog envi escrit transcri pertene propie pregunt llam graci agrad dad рассказ записа присла сообщ принадлеж владел зовут спрос пис благодар передал सुना कथा भेज नाम लिख संपर्क เล่า บันทึก ส่ง ชื่อ ติดต่อ เจ้าของ".split())
 HAN_ROLES = re.compile("[讲講述记記录録寄供语語話连連联聯投藏]|我叫|姓名|名前")
 
 
@@ -120,7 +128,7 @@ def _cues():
     found: dict[str, set[str]] = defaultdict(set)
     for language, v in STREET_CUES.items():
         for p in v.split("|"):
-            for x in {p.replace("\\.?", ""), p.replace("\\.?", ".")}:
+            for x in {p.replace("\\.?", ""), p.replace("\\.?", ".").replace("\\.", ".")}:
                 found[x.lower()].add(f"street:{language}")
     for kind, phrases in (("intro", BEFORE_NAME.values()), ("after", AFTER_NAME.values())):
         for v in phrases:
@@ -152,6 +160,7 @@ _CAPITAL = rf"(?:[A-ZÀ-ÖØ-ÞĐĂƠƯŁŚŠŽČĀĨŨẠ-ỹЀ-Я](?<![ạả
 CAPITAL_RUN = re.compile(rf"(?<![\w@.'’\-]){_CAPITAL}(?:[ \t]*\r?\n?[ \t]*(?<=\s)(?:{_PARTICLE}\s+){{0,2}}(?:{_CAPITAL}|{_INITIAL}))+")
 HAN_RUN = re.compile(r"(?:(?<=[：:，、（(；。！？\s])|(?<=[人者名是叫は]))[一-鿿]{2,4}(?=[，（(；）)。]|$)|(?<=[はの者手：:、，。（(「\s])[一-鿿ァ-ヿ][一-鿿ァ-ヿぁ-のひ-ん]{0,5}(?: [一-鿿ァ-ヿぁ-ん]{1,6}?)?(?=さん|氏|様)")
 ADDRESSED_RUN = re.compile(r"(?:श्रीमती|श्री|कुमारी)\s+")
+_IN_CAPITALS = re.compile(r"(?<!\w)[^\W\d_a-zà-ỹ]{2}")
 _HAN_NAME = re.compile(r"[一-鿿぀-ヿ]{1,6}(?: [一-鿿぀-ヿ]{1,6})?")
 _AFTER_WORDS = frozenset(p.split()[0] for v in AFTER_NAME.values() for p in v.split('|'))
 # Words that follow a name in running text and are never part of one.
@@ -217,8 +226,9 @@ def _address_features(x: str) -> list[str]:
     return [f"capitals:{'all' if capitals == len(words) else 'none' if not capitals else 'one' if capitals == 1 else 'more'}"]
 
 
-def candidates(text: str) -> list[Span]:
-    """Candidate segments of every type, in order of their start."""
+def candidates(text: str, everywhere: tuple[bool, bool] = (False, False)) -> list[Span]:
+    """Segments of every type, in order of their start; names out of reach of any role
+    or item only with everywhere."""
     out: list[Span] = []
     low = _lower(text)
     if "@" in text or "＠" in text or "at]" in low or "at)" in low:
@@ -263,14 +273,14 @@ def candidates(text: str) -> list[Span]:
             elif kind[:7] == "street:":
                 language = kind[7:]
                 a, b = max(0, s - 48), min(len(text), e + 80)
-                if (language != "de" or low[s:e] in ("am", "im", "zum", "zur")) and s and _letter(low[s - 1]) or not _A_DIGIT.search(text, a, b):
+                if language not in ("zh", "ja") and (language != "de" or low[s:e] in ("am", "im", "zum", "zur")) and s and _letter(low[s - 1]) or not _A_DIGIT.search(text, a, b):
                     continue
                 for m in ADDRESS[language].finditer(text, a, b):
-                    if m.span() not in seen and m.start() <= e + 1 and not (m.start() and text[m.start() - 1].isalnum()):
+                    if m.span() not in seen and m.start() <= e + 1 and not (m.start() and _letter(text[m.start() - 1])):
                         seen.add(m.span())
                         out.append(Span("address", m.start(), m.end(), ["bias", f"form:{language}", f"commas:{min(2, m.group().count(','))}", *_address_features(m.group()), *_context(text, m.start(), m.end())]))
-    _names_by_shape(text, roles, out)
-    out = _with_context(text, out)
+    _names_by_shape(text, roles, out, everywhere)
+    out = _with_context(text, out, everywhere)
     out.sort(key=lambda s: (s.start, -s.end))
     return out
 
@@ -296,8 +306,8 @@ def _name_span(text: str, start: int, end: int, words: list[str], cue: str) -> S
     return Span("name", start, end, f)
 
 
-def _names_by_shape(text: str, roles: list[int], out: list[Span]) -> None:
-    """Runs with a role or another item in reach; any other is one of the tale."""
+def _names_by_shape(text: str, roles: list[int], out: list[Span], everywhere: tuple[bool, bool]) -> None:
+    """Runs with a role or another item in reach, or all."""
     others = sorted((s.start, s.end) for s in out if s.kind != "name" and "label:none" not in s.features)
     reached: list[tuple[int, int]] = []
     for s, e in sorted([(s - BESIDE, e + BESIDE) for s, e in others] + [(s - ROLE_REACH, s + ROLE_REACH) for s in sorted(roles)] + [(m.start() - 8, m.end() + 8) for m in HAN_ROLES.finditer(text)]):
@@ -308,6 +318,8 @@ def _names_by_shape(text: str, roles: list[int], out: list[Span]) -> None:
     opened = [s for s, _ in reached]
 
     def held(m) -> bool:
+        if everywhere[bool(_IN_CAPITALS.search(m.group()))]:
+            return True
         k = bisect_right(opened, m.end()) - 1
         return k >= 0 and reached[k][1] >= m.start()
 
@@ -349,7 +361,7 @@ _SENTENCE_END = re.compile(r"[.!?…](?<!\b[A-ZÀ-Þ]\.)(?<!Tel\.)(?<!tel\.)(?<!
 BESIDE, ROLE_REACH = 90, 36
 
 
-def _with_context(text: str, spans: list[Span]) -> list[Span]:
+def _with_context(text: str, spans: list[Span], everywhere: tuple[bool, bool]) -> list[Span]:
     """Names proposed twice become one; each gets the items and roles of its sentence."""
     others = sorted((s for s in spans if s.kind != "name" and "label:none" not in s.features), key=lambda s: s.start)
     starts = [s.start for s in others]
@@ -363,7 +375,7 @@ def _with_context(text: str, spans: list[Span]) -> list[Span]:
                 merged[s.start, s.end] = s
     kept = [s for s in spans if s.kind != "name"]
     for s in merged.values():
-        found = set()
+        found, reached = set(), False
         for k in range(bisect_right(starts, s.start - BESIDE - 160), bisect_right(starts, s.end + BESIDE)):
             o = others[k]
             kind = "number" if o.kind in ("phone", "identity") else o.kind
@@ -371,6 +383,7 @@ def _with_context(text: str, spans: list[Span]) -> list[Span]:
                 found.add(f"in:{kind}")
                 continue
             side, between = ("right", text[s.end : o.start + 1]) if o.start >= s.end else ("left", text[o.end : s.start + 1])
+            reached = reached or len(between) <= NEAR + 1
             if len(between) <= BESIDE and not _SENTENCE_END.search(between):
                 found.update((f"beside:{kind}", f"beside:{side}", "beside"))
         if "in:email" in found:
@@ -392,7 +405,7 @@ def _with_context(text: str, spans: list[Span]) -> list[Span]:
         near = "beside" in found
         found.add(f"evidence:{near}:{any(roles)}")
         if "run" in s.features or "cue:run" in s.features and "cue:intro" not in s.features and "cue:after" not in s.features:
-            if "in:address" in found or not near and not any(roles):
+            if "in:address" in found or not everywhere[any("A" in f for f in s.features if f[:6] == "shape:")] and not near and not any(roles) and not reached:
                 continue
             found.add(f"nocue:{near}:{any(roles)}")
             if roles[0] and ("by" in found):
@@ -461,18 +474,23 @@ class Model:
 
     def __init__(self):
         self.w: dict[tuple[str, str], float] = defaultdict(float)
+        self._lift: dict[str, float] = {}
+        #: Whether names out of reach are scored, without and with words in capitals.
+        self.everywhere = (False, False)
 
-    def best(self, spans: list[Span], gold: set | None = None) -> list[Span]:
+    def scored(self, spans: list[Span]) -> None:
+        for s in spans:
+            s.score = sum(self.w.get((s.kind, f), 0.0) for f in s.features)
+
+    def best(self, spans: list[Span]) -> list[Span]:
         """The non-overlapping segments of the highest total score; one before the
         next may add a transition weight. Positions of the program are the ends."""
         w = self.w
-        for s in spans:
-            s.score = sum(w.get((s.kind, f), 0.0) for f in s.features)
-            if gold is not None:  # in training right segments must win by a margin
-                s.score += -0.5 if (s.kind, s.start, s.end) in gold else 0.5
+        self.scored(spans)
         # states: best total of a choice whose last segment is order[i]; only the last
-        # NEAR characters can add a transition, before them the best total counts
-        order = sorted((s for s in spans if s.score > 0), key=lambda s: (s.end, s.start))
+        # NEAR characters can add a transition, before them the best total counts. A segment
+        # needs a positive score or a transition that can lift it.
+        order = sorted((s for s in spans if s.score > -self.lift(s.kind)), key=lambda s: (s.end, s.start))
         ends = [s.end for s in order]
         totals: list[tuple[float, int]] = []
         upto: list[tuple[float, int]] = []  # the best total so far and its segment
@@ -488,12 +506,76 @@ class Model:
         if not totals:
             return []
         i = max(range(len(totals)), key=lambda k: (totals[k][0], -order[k].start, order[k].end))
+        if totals[i][0] <= 0:
+            return []
         out = []
         while i >= 0:
             out.append(order[i])
             i = totals[i][1]
         return out[::-1]
 
+    def lift(self, kind: str) -> float:
+        """The most that transitions before and after can add to a segment."""
+        if kind not in self._lift:
+            pairs = [(f.split(">"), v) for (k, f), v in self.w.items() if k == "then"]
+            self._lift[kind] = sum(max([0.0, *(v for ends, v in pairs if ends[side] == kind)]) for side in (0, 1))
+        return self._lift[kind]
+
+    def gradient(self, spans: list[Span], gold: list[Span]) -> tuple[dict[tuple[str, str], float], float]:
+        """(derivative of the log likelihood of a segmentation, the log likelihood):
+        features of the right segments less the expected ones, by a forward and a
+        backward pass over the segments in the order of their ends."""
+        self.scored(spans)
+        order = sorted(spans, key=lambda s: (s.end, s.start))
+        n = len(order)
+        phi = [math.exp(max(-30.0, min(30.0, s.score))) for s in order]
+        then = [[(j, math.exp(self.w.get(("then", order[j].kind + ">" + s.kind), 0.0)) if s.start - order[j].end < NEAR else 1.0) for j in range(i) if order[j].end <= s.start] for i, s in enumerate(order)]
+        forward, backward = [0.0] * n, [1.0] * n
+        for i in range(n):
+            forward[i] = phi[i] * (1.0 + sum(forward[j] * t for j, t in then[i]))
+        for i in range(n - 1, -1, -1):
+            for j, t in then[i]:
+                backward[j] += t * phi[i] * backward[i]
+        z = 1.0 + sum(forward)
+        out: dict[tuple[str, str], float] = defaultdict(float)
+        for i, s in enumerate(order):
+            p = forward[i] * backward[i] / z
+            for f in s.features:
+                out[s.kind, f] -= p
+            for j, t in then[i]:
+                if s.start - order[j].end < NEAR:
+                    out["then", order[j].kind + ">" + s.kind] -= forward[j] * t * phi[i] * backward[i] / z
+        total = 0.0
+        for i, s in enumerate(gold):
+            total += s.score
+            for f in s.features:
+                out[s.kind, f] += 1.0
+            if i and s.start - gold[i - 1].end < NEAR:
+                key = ("then", gold[i - 1].kind + ">" + s.kind)
+                out[key] += 1.0
+                total += self.w.get(key, 0.0)
+        return out, total - math.log(z)
+
+
+def bound(model: Model, capitals: bool) -> float:
+    """The most that a name out of reach of any role and item can add to a choice: over
+    all numbers of words, borders and shapes, with every feature it can have besides; of
+    names with a word in capitals alone, or of the others."""
+    w = {f: v for (k, f), v in model.w.items() if k == "name"}
+    get = lambda *fs: sum(w.get(f, 0.0) for f in fs)
+    # a form of address before it, in the run or not, or another word, or none
+    extra = sum(max(0.0, get(f)) for f in ("stopword", "led", "cutoff")) + max(0.0, get("honorific"), get("tail:titled", "honorific"), get("by"), get("plain"), get("tail", "by"), get("tail", "plain"))
+    best = -99.0
+    for words in (2, 3, 4):
+        shapes = {f for f in (*w, "shape:" + "AC"[not capitals] * words) if f.startswith("shape:") and len(f) == 6 + words and ("A" in f) == capitals and set(f[6:]) <= {"A", "C"}}
+        for border in ("comma", "end", "other", "stop", "capital", "word"):
+            for shape in shapes:
+                best = max(best, 2 * get("cue:run") + get(f"words:{words}", f"border:{border}", f"words:{words}:border:{border}", shape, f"same:{len(set(shape[6:])) == 1}") + extra)
+    for k in () if capitals else range(2, 9):
+        for border in ("comma", "end", "other", "stop", "capital", "word"):
+            best = max(best, get("run", "han", f"han:{k}", f"border:{border}", f"han:border:{border}"))
+    return get("bias", "evidence:False:False", "nocue:False:False") + best + 2 * max(0.0, model.w.get(("then", "name>name"), 0.0))
+
 
 def items(model: Model, text: str) -> list[Span]:
     """The personal items of a text, in order."""
@@ -508,7 +590,7 @@ def items(model: Model, text: str) -> list[Span]:
     # groups of candidates with 40 characters or less between them are decided together
     group: list[Span] = []
     reach = -1
-    for s in candidates(text):
+    for s in candidates(text, model.everywhere):
         if group and s.start > reach + NEAR:
             out += model.best(group)
             group = []
@@ -523,14 +605,14 @@ def items(model: Model, text: str) -> list[Span]:
 # documents. N name in any case, M name not in lower case, E email, P phone,
 # I identity, A address; the fillers are invented below.
 PATTERNS = {
-    "en": "Kept by Mr {M}, SSN {I}, phone {P}.|I am called {N} and my number is {P}.|The crow sent a coil of rope and Orlando Wexley wept at noon.|She wrote a song, and Petronella Ashgrove sang it.|One sent word to the well, and laughed. Hubert Stonecrop of the hill answered no.|The mason kept his own counsel with Anselm Birkenfeld until dusk.|The cook and Marigold Thistlewood gave back the rope, sent long ago.|Letters to {E}. Orlando Wexley of the hill said no.|Ring {P}. Hubert Stonecrop said no.|They lodged at No. 7 Tinker's Lane, that is, by the well.|At No. 31 Chandler's Close, near the well, it sang.|Mrs {M} keeps the sheet at {A}.|The Guild of Amber Weavers asked for a song.|Then the Guild of Amber Weavers told Orlando Wexley to sing.|The sheet with {I} on it belonged to {N}. Kindly return it to {N}, {A}.|{M}, {A}, shared this with the school.|After dusk ring {P} and have {N} answer.|Marigold Thistlewood asked Hubert Stonecrop for a song.|This version was told by {N}, whose door is {A}.|Narrated by {N}, passport {I}, phone {P}.|To borrow the reel, contact {N} at {E}.|Our informant {M} (telephone {P}) heard it twice.|With thanks to {M}, {E}.|The manuscript is the property of {M}, ID {I}.|Transcribed in spring by {M}, who can be reached on {P}.|Submitted by Mr {M} ({E}).|Collected by {N} before the flood.|My grandmother, Mrs {M}, {A}, kept the sheet.|Courtesy of {M}.|Contributed by {M} in winter.|Signed, {N}, {P}.|You may send it care of {N}, {A}.|Questions go to {E} or {P}.|{N} copied this; telephone {P}.|Printed again 1962, 310 pages, ISBN 978-1-222-33333-1.|Compare lines 88-97, shelf mark 21/7-40404.|The clerk sold 5 @ 3.20 apiece on 09/08/1951.|It walked 3 miles down the long road.|After 40 days by the old gate the crow left.|In 1870 the upper hill was bare, and 2 men took the other way.|Then Orlando Wexley met the crow at Heronsgate Hill.|Old King Hubert Stonecrop ruled over Far Eastmere.|So said Petronella Ashgrove, and the wolf wept.|Professor Anselm Birkenfeld calls the wolf a late guest.|The bell belonged to the ferryman.|The hare asked for a candle.|The crow was told by the hare to fly.",
-    "vi": "Con quạ gửi cây nến, và Trịnh Ao Quạ khóc.|Bà ghi nhớ bên bến Đá Đen, rồi cười.|Chép xong, chàng cùng Văn Gió Hến trao lại cây nến.|({E}) Hôm ấy Kiều Nước Muỗng lau cây nến.|({E}) Mùa ấy Hội Thợ Rừng canh cây nến.|Thư {E}. Theo GS. Văn Gió Hến, con thỏ khôn.|Thư gửi {E}. Theo GS. Trịnh Ao Quạ, con quạ khôn.|Thư gửi {E}. Chử Đồi Tằm xứ Bắc nói đã muộn.|Máy {P}. Kiều Nước Muỗng nói đã muộn.|Theo lời {N}, điện thoại {P}.|Sách còn giữ ở {A}, gặp cô {N}.|Vở cất tại {A}, tìm chị {N}.|Nguyên bản: {A}, gặp bà {N}.|Cư ngụ tại {A}, tôi tên {N}, giờ muốn kể lại chuyện xưa.|Người gửi bà {M}, ở tại {A}.|Chủ vở: cụ {M}, CMND {I}, máy điện thoại {P}.|Giấy tờ {I} của chị {N} bỏ sót.|Hòm thư {E} thuộc người sưu tầm {N}.|Thư {E} do {M} giữ. ({N} chép lại năm ấy, rồi cất)|Cần thì gọi em {N} ở số {P}.|Trịnh Ao Quạ hỏi Văn Gió Hến về cây nến.|Cô Kiều Nước Muỗng hỏi bà Chử Đồi Tằm rồi kể lại chuyện buồn.|Chuyện này do bà {M} kể, điện thoại {P}.|Người gửi: {M}, {E}.|Tôi tên là {N}, sống tại {A}.|Mọi thư xin gửi về {E} hay gọi số {P}.|Xin liên hệ với {N} qua {E}.|Bản chép của {M}, CMND {I}, còn giữ được.|Cuốn vở thuộc về ông {M}, {A}.|Cảm ơn chị {M} ({P}) đã đọc lại.|Theo lời {N}, căn cước {I}, chuyện có thật.|{M} ghi âm năm ấy, số máy {P}.|({N} chép lại hồi xuân, {E})|Cần bản sao hỏi {N}, địa chỉ {A}.|Bác {N} gửi tặng thư viện, hộ chiếu {I}.|Chủ sổ là cô {M}, số {I}.|Giấy {I} của ông {N} để quên.|Tái bản năm 1962, 310 trang, ISBN 978-1-222-33333-1.|Đối chiếu đoạn 88-97, khổ 21/7, giá 48.000 đồng.|Bản số 771204, nghe lúc 07:15 hôm 09/08.|Con quạ hỏi chú thỏ về cây nến.|Theo lời bà nội dạy, con thỏ ở nhà.|Bấy giờ Trịnh Ao Quạ gặp chàng Văn Gió Hến ở núi Đá Đen.|Vua Phùng Rơm Bấc trị vì nước Hạ Mây.|Chử Đồi Tằm nói rồi đi mất.|Con thỏ hỏi bầy quạ trên cành.|Người em kể lại chuyện buồn.|Bài ấy do tổ sưu tầm làng Đá Đen ghi lại năm trước.|Đi 3 dặm theo đường rừng mới tới.",
-    "fr": "Raconté par {N}, demeurant {A}.|Texte de {M} ({E}), revu par l'école.|Notre conteuse, Mme {M}, téléphone {P}, l'a su enfant.|Carnet appartenant à {N}, passeport {I}.|Transcrit par {M}, {P}.|Merci à M. {M}, {A}.|Pour une copie, demander {N} au {P}.|Réponses à {E} ou au {P}.|Réimprimé en 1962, 310 p., cote 21/7-40404.|Le loup fit 3 lieues par la vieille route.|Mme Céleste Vauclair appela « Ouvrez ! » et rit.|Alors Céleste Vauclair trouva le Roi Hubert à Valmont.|Le professeur Anselm Birkenfeld cite ce loup.",
-    "de": "Er schickte am Ufer des Teichs ein Brot und lachte.|Der Wolf erzählte, dass Anselm Birkenfeld am Ufer schlief.|Nacherzählt von {M}, {A}.|Aufgeschrieben von {N}, Ausweis {I}.|Das Heft gehört {N}, Telefon {P}.|Unsere Erzählerin Frau {M}, wohnhaft {A}, kannte es.|Mit Dank an {M} ({E}).|Wer mehr weiß, fragen Sie nach {N}, Tel. {P}.|Post an {E} oder unter {P}.|Nachdruck 1962, 310 S., Signatur 21/7-40404.|Am 09.08.1951 um 07:15 verlesen.|Die Glocke gehört dem Fährmann.|Da traf Anselm Birkenfeld den König Hubert im Tannau.|Im Jahr 1870 stand am Ufer ein Baum.|Professor Ulpiano Cerezal nennt den Wolf einen Gast.",
-    "es": "Soy {M}, mi número es {P}.|Soy la dueña, mi número es {P}.|Narrado por {N}, domicilio {A}.|Nuestra vecina doña {M}, teléfono {P}, lo sabía.|Cuaderno que pertenece a {N}, DNI {I}.|Transcrito por {M} ({E}).|Gracias a {M}, {A}.|Para copias pregunte por {N}, {P}.|Cartas a {E} o al teléfono {P}.|Reimpreso en 1962, 310 págs., signatura 21/7-40404.|El lobo pasó 3 leguas por el camino viejo.|Entonces Ulpiano Cerezal vio al Rey Hubert en Robleda.",
-    "ru": "Рассказала {N} из дома у реки, телефон {P}.|Сообщила {M}, тел. {P}.|Записано от {N}, паспорт {I}.|Сказку сообщила {M}, телефон {P}.|Тетрадь принадлежит {N}, {E}.|Спасибо, что прислала {M} ({P}).|Ответы на {E}.|Перепечатано в 1962, шифр 21/7-40404.|Тогда Захар Снегопад встретил волка.|Ворона рассказала зайцу тайну.",
-    "zh": "记录人{N}，电话{P}。|投稿者：{N}，{E}。|本稿由{E}收。|联系人{N}，身份证{I}。|{N}，电话{P}，是本村人。|1962年再版，共310页，书号21/7-40404。|从前，乌鸦，兔子，都睡了。|他用了3.5斤米，换了4,200文。",
-    "ja": "記録者は{N}さん、電話{P}。|話し手：{N}さん（{E}）。|話者{N}さん、電話{P}。|お便りは{E}へ。|再版1962年、全310頁、請求記号21/7-40404。|昔、狐さんと烏さんがいた。",
+    "en": "At dawn Mr Orlando Wexley, the miller, laughed.|Nobody saw Mrs Petronella Ashgrove.|The bell was cast by Orlando Wexley and carried off.|A rope came from Petronella Ashgrove and the guild.|They walked to Anselm Birkenfeld and back, by the mill.|The bread went to Jean-Luc Morteau Vane and his sons.|All of it was eaten by Hubert Stonecrop Vane, the miller.|Ask for {N} at the desk, {P}.|For a copy call {P} and ask for {N}.|We owe this tale to {M} of the night school.|Given to us by {M}, who learned it at sea.|The singer {M} lent us the sheet; write to {E}.|Passed on by {M} on a Sunday.|Kept by Mr {M}, SSN {I}, phone {P}.|I am called {N} and my number is {P}.|The crow sent a coil of rope and Orlando Wexley wept at noon.|She wrote a song, and Petronella Ashgrove sang it.|One sent word to the well, and laughed. Hubert Stonecrop of the hill answered no.|The mason kept his own counsel with Anselm Birkenfeld until dusk.|The cook and Marigold Thistlewood gave back the rope, sent long ago.|Letters to {E}. Orlando Wexley of the hill said no.|Ring {P}. Hubert Stonecrop said no.|They lodged at No. 7 Tinker's Lane, that is, by the well.|At No. 31 Chandler's Close, near the well, it sang.|Mrs {M} keeps the sheet at {A}.|The Guild of Amber Weavers asked for a song.|Then the Guild of Amber Weavers told Orlando Wexley to sing.|The sheet with {I} on it belonged to {N}. Kindly return it to {N}, {A}.|{M}, {A}, shared this with the school.|After dusk ring {P} and have {N} answer.|Marigold Thistlewood asked Hubert Stonecrop for a song.|This version was told by {N}, whose door is {A}.|Narrated by {N}, passport {I}, phone {P}.|To borrow the reel, contact {N} at {E}.|Our informant {M} (telephone {P}) heard it twice.|With thanks to {M}, {E}.|The manuscript is the property of {M}, ID {I}.|Transcribed in spring by {M}, who can be reached on {P}.|Submitted by Mr {M} ({E}).|Collected by {N} before the flood.|My grandmother, Mrs {M}, {A}, kept the sheet.|Courtesy of {M}.|Contributed by {M} in winter.|Signed, {N}, {P}.|You may send it care of {N}, {A}.|Questions go to {E} or {P}.|{N} copied this; telephone {P}.|Printed again 1962, 310 pages, ISBN 978-1-222-33333-1.|Compare lines 88-97, shelf mark 21/7-40404.|The clerk sold 5 @ 3.20 apiece on 09/08/1951.|It walked 3 miles down the long road.|After 40 days by the old gate the crow left.|In 1870 the upper hill was bare, and 2 men took the other way.|Then Orlando Wexley met the crow at Heronsgate Hill.|Old King Hubert Stonecrop ruled over Far Eastmere.|So said Petronella Ashgrove, and the wolf wept.|Professor Anselm Birkenfeld calls the wolf a late guest.|The bell belonged to the ferryman.|The hare asked for a candle.|The crow was told by the hare to fly.",
+    "vi": "Sáng ra bà Kiều Nước Muỗng, bà lão chăn vịt, ngồi khóc.|Không ai thấy ông Phùng Rơm Bấc.|Cây nến cho Văn Gió Hến và con quạ.|Cái giỏ của Phùng Rơm Bấc và bà lão rơi mất.|Con thỏ bị lừa bởi Trịnh Ao Quạ, rồi khóc.|Theo sách cổ, q. 9, t. 31, Chử Đồi Tằm thả con cá.|Sổ để quên, hỏi bà {N}.|Góp nhặt của người sưu tầm {N}. Trời mưa.|Gặp cô {N}, rồi hỏi chị {N}.|Cảm ơn cụ {M} đã cho chép.|Nhờ có bà {M} kể mà còn bài này.|Ông {M}, chủ quán ({P}), đọc cho ghi.|Con quạ gửi cây nến, và Trịnh Ao Quạ khóc.|Bà ghi nhớ bên bến Đá Đen, rồi cười.|Chép xong, chàng cùng Văn Gió Hến trao lại cây nến.|({E}) Hôm ấy Kiều Nước Muỗng lau cây nến.|({E}) Mùa ấy Hội Thợ Rừng canh cây nến.|Thư {E}. Theo GS. Văn Gió Hến, con thỏ khôn.|Thư gửi {E}. Theo GS. Trịnh Ao Quạ, con quạ khôn.|Thư gửi {E}. Chử Đồi Tằm xứ Bắc nói đã muộn.|Máy {P}. Kiều Nước Muỗng nói đã muộn.|Theo lời {N}, điện thoại {P}.|Sách còn giữ ở {A}, gặp cô {N}.|Vở cất tại {A}, tìm chị {N}.|Nguyên bản: {A}, gặp bà {N}.|Cư ngụ tại {A}, tôi tên {N}, giờ muốn kể lại chuyện xưa.|Người gửi bà {M}, ở tại {A}.|Chủ vở: cụ {M}, CMND {I}, máy điện thoại {P}.|Giấy tờ {I} của chị {N} bỏ sót.|Hòm thư {E} thuộc người sưu tầm {N}.|Thư {E} do {M} giữ. ({N} chép lại năm ấy, rồi cất)|Cần thì gọi em {N} ở số {P}.|Trịnh Ao Quạ hỏi Văn Gió Hến về cây nến.|Cô Kiều Nước Muỗng hỏi bà Chử Đồi Tằm rồi kể lại chuyện buồn.|Chuyện này do bà {M} kể, điện thoại {P}.|Người gửi: {M}, {E}.|Tôi tên là {N}, sống tại {A}.|Mọi thư xin gửi về {E} hay gọi số {P}.|Xin liên hệ với {N} qua {E}.|Bản chép của {M}, CMND {I}, còn giữ được.|Cuốn vở thuộc về ông {M}, {A}.|Cảm ơn chị {M} ({P}) đã đọc lại.|Theo lời {N}, căn cước {I}, chuyện có thật.|{M} ghi âm năm ấy, số máy {P}.|({N} chép lại hồi xuân, {E})|Cần bản sao hỏi {N}, địa chỉ {A}.|Bác {N} gửi tặng thư viện, hộ chiếu {I}.|Chủ sổ là cô {M}, số {I}.|Giấy {I} của ông {N} để quên.|Tái bản năm 1962, 310 trang, ISBN 978-1-222-33333-1.|Đối chiếu đoạn 88-97, khổ 21/7, giá 48.000 đồng.|Bản số 771204, nghe lúc 07:15 hôm 09/08.|Con quạ hỏi chú thỏ về cây nến.|Theo lời bà nội dạy, con thỏ ở nhà.|Bấy giờ Trịnh Ao Quạ gặp chàng Văn Gió Hến ở núi Đá Đen.|Vua Phùng Rơm Bấc trị vì nước Hạ Mây.|Chử Đồi Tằm nói rồi đi mất.|Con thỏ hỏi bầy quạ trên cành.|Người em kể lại chuyện buồn.|Bài ấy do tổ sưu tầm làng Đá Đen ghi lại năm trước.|Đi 3 dặm theo đường rừng mới tới.",
+    "fr": "Alors Mme Céleste Vauclair, la meunière, rit.|Personne ne vit M. Jean-Luc Morteau.|Le pain fut cuit par Céleste Vauclair et ses fils.|La corde vint de Jean-Luc Morteau et du meunier.|Selon M. Anselm Birkenfeld, le loup est tardif.|Avec nos remerciements à {M}, de l'école du soir.|Version donnée par {M} un dimanche.|Raconté par {N}, demeurant {A}.|Texte de {M} ({E}), revu par l'école.|Notre conteuse, Mme {M}, téléphone {P}, l'a su enfant.|Carnet appartenant à {N}, passeport {I}.|Transcrit par {M}, {P}.|Merci à M. {M}, {A}.|Pour une copie, demander {N} au {P}.|Réponses à {E} ou au {P}.|Réimprimé en 1962, 310 p., cote 21/7-40404.|Le loup fit 3 lieues par la vieille route.|Mme Céleste Vauclair appela « Ouvrez ! » et rit.|Alors Céleste Vauclair trouva le Roi Hubert à Valmont.|Le professeur Anselm Birkenfeld cite ce loup.",
+    "de": "Da lachte Frau Céleste Vauclair, die Müllerin, laut.|Niemand sah Herr Hubert Stonecrop.|Das Brot wurde von Anselm Birkenfeld und den Söhnen gebacken.|Nach Dr. Ulpiano Cerezal, dem Müller, sang er.|Wir danken {M} aus der Abendschule.|Mitgeteilt von {M} an einem Sonntag.|Er schickte am Ufer des Teichs ein Brot und lachte.|Der Wolf erzählte, dass Anselm Birkenfeld am Ufer schlief.|Nacherzählt von {M}, {A}.|Aufgeschrieben von {N}, Ausweis {I}.|Das Heft gehört {N}, Telefon {P}.|Unsere Erzählerin Frau {M}, wohnhaft {A}, kannte es.|Mit Dank an {M} ({E}).|Wer mehr weiß, fragen Sie nach {N}, Tel. {P}.|Post an {E} oder unter {P}.|Nachdruck 1962, 310 S., Signatur 21/7-40404.|Am 09.08.1951 um 07:15 verlesen.|Die Glocke gehört dem Fährmann.|Da traf Anselm Birkenfeld den König Hubert im Tannau.|Im Jahr 1870 stand am Ufer ein Baum.|Professor Ulpiano Cerezal nennt den Wolf einen Gast.",
+    "es": "Entonces doña Petronella Ashgrove, la molinera, se rió.|Nadie vio a don Ulpiano Cerezal.|El pan fue hecho por Ulpiano Cerezal y sus hijos.|La cuerda vino de Petronella Ashgrove y del molino.|Según el Dr. Ulpiano Cerezal, el lobo es tardío.|Agradecemos a {M}, de la escuela nocturna.|Versión dada por {M} un domingo.|Soy {M}, mi número es {P}.|Soy la dueña, mi número es {P}.|Narrado por {N}, domicilio {A}.|Nuestra vecina doña {M}, teléfono {P}, lo sabía.|Cuaderno que pertenece a {N}, DNI {I}.|Transcrito por {M} ({E}).|Gracias a {M}, {A}.|Para copias pregunte por {N}, {P}.|Cartas a {E} o al teléfono {P}.|Reimpreso en 1962, 310 págs., signatura 21/7-40404.|El lobo pasó 3 leguas por el camino viejo.|Entonces Ulpiano Cerezal vio al Rey Hubert en Robleda.",
+    "ru": "Хлеб испёк для Захар Снегопад и ушёл.|Верёвка от Матрёна Ольховая и мельника.|Сообщила {M}, {A}.|Тетрадь хранит {M}, адрес {A}, тел. {P}.|Письма на адрес {A}.|Старик жил на улице Кожевников и пел.|Рассказала {N} из дома у реки, телефон {P}.|Сообщила {M}, тел. {P}.|Записано от {N}, паспорт {I}.|Сказку сообщила {M}, телефон {P}.|Тетрадь принадлежит {N}, {E}.|Спасибо, что прислала {M} ({P}).|Ответы на {E}.|Перепечатано в 1962, шифр 21/7-40404.|Тогда Захар Снегопад встретил волка.|Ворона рассказала зайцу тайну.",
+    "zh": "讲述者{N}，住在{A}，电话{P}。|来信请寄：{A}。|联系地址：{A}，{N}收。|他走过三条街，到了第7号门。|集市的街上有狐狸。|记录人{N}，电话{P}。|投稿者：{N}，{E}。|本稿由{E}收。|联系人{N}，身份证{I}。|{N}，电话{P}，是本村人。|1962年再版，共310页，书号21/7-40404。|从前，乌鸦，兔子，都睡了。|他用了3.5斤米，换了4,200文。",
+    "ja": "話者は{N}さん、住所は{A}、電話{P}。|お便りの宛先：{A}。|村の市に狐が3匹いた。|町の市場で、12文の餅を買った。|記録者は{N}さん、電話{P}。|話し手：{N}さん（{E}）。|話者{N}さん、電話{P}。|お便りは{E}へ。|再版1962年、全310頁、請求記号21/7-40404。|昔、狐さんと烏さんがいた。",
     "th": "ส่งจดหมายที่ {E} หรือโทร {P}|พิมพ์ซ้ำ 1962 รหัส 21/7-40404|เล่าโดย {N} โทร {P}",
     "hi": "पत्र {E} पर भेजें, फ़ोन {P}।|दूसरी छपाई 1962, क्रम 21/7-40404।|कथावाचक: {N}, फ़ोन {P}।",
 }
@@ -543,13 +625,15 @@ NAMES = {
     "": "Orlando Wexley|Marigold Thistlewood|Hubert Stonecrop|Petronella Ashgrove|Anselm Birkenfeld|Céleste Vauclair|Ulpiano Cerezal|Jean-Luc Morteau",
 }
 FORMS = {
-    "phone": {"": "+99 9999 999 999|(999) 555-9999|999-999-9999|0999 999 9999|099999 999999|+99 9 99 99 99 99|09.99.99.99.99|+99(0)9999999999|+9 999 999 9999|999.555.9999|(+99) 999-999-9999|+999999999999", "vi": "09999999999|0999.999.9999|0999 999 9999|(+84) 999-999-9999|0999-999-9999|+84999999999|０９９９９９９９９９９|W", "en": "+44 9999 999 999|09999 999999|(999) 555-9999|999.555.9999|+1 999 555 9999|+44(0)9999999999|W", "de": "099/99999999|(099) 99999999|+49 99 99999-999|099 99999999|(099) 99999-999", "es": "599-999-999|599999999|599 999 999|+34 599 999 999", "ru": "+7 (999) 999-99-99|8 999 9999999", "zh": "999-9999-9999|+86 999 9999 9999|19999999999", "ja": "999-9999-9999|+81 99-9999-9999"},
+    "phone": {"": "+99 9999 999 999|(999) 555-9999|999-999-9999|0999 999 9999|099999 999999|+99 9 99 99 99 99|09.99.99.99.99|+99(0)9999999999|+9 999 999 9999|999.555.9999|(+99) 999-999-9999|+999999999999", "vi": "0999 999 999|09999999999|0999.999.9999|0999 999 9999|(+84) 999-999-9999|0999-999-9999|+84999999999|０９９９９９９９９９９|W", "en": "+44 9999 999 999|09999 999999|(999) 555-9999|999.555.9999|+1 999 555 9999|+44(0)9999999999|W", "de": "099/99999999|(099) 99999999|+49 99 99999-999|099 99999999|(099) 99999-999", "es": "599-999-999|599999999|599 999 999|+34 599 999 999", "ru": "+7 (999) 999-99-99|8 999 9999999", "zh": "999-9999-9999|+86 999 9999 9999|19999999999", "ja": "999-9999-9999|+81 99-9999-9999"},
     "identity": {"": "99999999A|A9999999|999-99-9999|AA 99 99 99 A|AA999999A", "en": "AA999999A|AA 99 99 99 A|999-99-9999", "vi": "099999999999|099 999 999 999|099.999.999.999|A9999999|999999999", "fr": "9 99 99 99 999 999 99|999999999999999", "de": "A99999999A|A99999999", "es": "99999999-A|99999999A", "zh": "999999999999999999|99999999999999999X"},
-    "address": {"vi": "99B phố Hoa Gạo, P. Bãi Đá|99/9 đường Lúa Non, xã Hạ Mây|999 ngõ Tre Xanh, phường Đông Khê", "en": "99A Bramblegate Lane, Overwick|9 Heronsgate Close, Millbrook|999 Copperfield St., Eastmere", "fr": "99 bis, rue des Lilas-Bleus, Montclair|99, allée du Grand-Cerf, Valmont", "de": "Fuchsbaustraße 99, Erlental|Am Mühlbach 9a, Erlental|Birkenfelder Weg 99, Tannau", "es": "calle del Olmo Viejo 99, 9.º B, Fuentes de Abajo|plaza de las Ranas 9, Robleda|camino del Zorro 99, Robleda"},
+    "address": {"ru": "ул. Ольховая, д. 99|г. Тополёв, ул. Речная, дом 9, кв. 99|пер. Кленовый, 99", "zh": "柳林市东湖区青石路99号|水乡县石桥街9号99室|枫叶大道999号", "ja": "山里県水沢市川端町9-9-9|森野市青葉区柳通り9丁目9番99号|川辺郡石橋町99番地", "vi": "99B phố Hoa Gạo, P. Bãi Đá|99/9 đường Lúa Non, xã Hạ Mây|999 ngõ Tre Xanh, phường Đông Khê", "en": "99A Bramblegate Lane, Overwick|9 Heronsgate Close, Millbrook|999 Copperfield St., Eastmere", "fr": "99 bis, rue des Lilas-Bleus, Montclair|99, allée du Grand-Cerf, Valmont", "de": "Fuchsbaustraße 99, Erlental|Am Mühlbach 9a, Erlental|Birkenfelder Weg 99, Tannau", "es": "calle del Olmo Viejo 99, 9.º B, Fuentes de Abajo|plaza de las Ranas 9, Robleda|camino del Zorro 99, Robleda"},
 }
 EMAILS = "anna.lee@post.example|otto_k@mail.nord.test|mira+kids@haven.invalid|JO99@RIVER.EXAMPLE|lux-fern @ haven.test|tom99 [at] river [dot] example|sue (at) nord.test|kim＠river.example"
 #: Training sentences a pattern and passes over them.
-COPIES, EPOCHS = 30, 15
+COPIES, EPOCHS = 10, 12
+#: Step and quadratic penalty of the training.
+RATE, PENALTY = 0.3, 0.001
 
 
 def _filled(rng: random.Random, language: str, pattern: str) -> tuple[str, set[tuple[str, int, int]]]:
@@ -577,38 +661,43 @@ def _filled(rng: random.Random, language: str, pattern: str) -> tuple[str, set[t
     return text, gold
 
 
-@lru_cache(maxsize=1)
-def trained() -> Model:
-    """Averaged structured perceptron over the training sentences; a fixed seed."""
+def fitted(patterns: list[tuple[str, str]]) -> Model:
+    """The weights of greatest penalised likelihood for sentences of (language, pattern),
+    by AdaGrad with a fixed seed."""
     rng = random.Random(7)
-    data = [_filled(rng, k, p) for k, v in PATTERNS.items() for p in v.split("|") for _ in range(COPIES)]
-    model, sums, step = Model(), defaultdict(float), 0
-    prepared = [(candidates(t), g) for t, g in data]
+    data = [_filled(rng, k, p) for k, p in patterns for _ in range(COPIES)]
+    # tales are written in capitals too
+    data += [(p.upper(), set()) for _, p in patterns if "{" not in p for _ in range(COPIES // 2)]
+    model, squares = Model(), defaultdict(float)
+    prepared = []
+    for text, gold in data:
+        spans = candidates(text, (True, True))
+        prepared.append((spans, sorted((s for s in spans if (s.kind, s.start, s.end) in gold), key=lambda s: s.start)))
     for _ in range(EPOCHS):
         rng.shuffle(prepared)
         for spans, gold in prepared:
-            step += 1
-            want = [s for s in spans if (s.kind, s.start, s.end) in gold]
-            have = model.best(spans, gold)
-            if {(s.kind, s.start, s.end) for s in have} == {(s.kind, s.start, s.end) for s in want}:
-                continue
-            for chosen, sign in ((sorted(want, key=lambda s: s.start), 1.0), (have, -1.0)):
-                for i, s in enumerate(chosen):
-                    keys = [(s.kind, f) for f in s.features]
-                    if i and s.start - chosen[i - 1].end < NEAR:
-                        keys.append(("then", chosen[i - 1].kind + ">" + s.kind))
-                    for k in keys:
-                        model.w[k] += sign
-                        sums[k] += sign * step
-    for k in list(model.w):
-        model.w[k] -= sums[k] / (step + 1)
+            if spans:
+                for k, v in model.gradient(spans, gold)[0].items():
+                    v -= PENALTY * model.w[k]
+                    squares[k] += v * v
+                    if v:
+                        model.w[k] += RATE * v / math.sqrt(squares[k])
+    model._lift.clear()
+    model.everywhere = tuple(bound(model, capitals) > 0 for capitals in (False, True))
     return model
 
 
-def _run(weights: dict, masked: bool):
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of all patterns."""
+    return fitted([(k, p) for k, v in PATTERNS.items() for p in v.split("|")])
+
+
+def _run(weights: dict, everywhere: tuple[bool, bool], masked: bool):
     def run(batches):
         model = Model()
         model.w.update(weights)
+        model.everywhere = everywhere
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             if masked:
@@ -634,9 +723,9 @@ def _run(weights: dict, masked: bool):
 def found_items(documents: DataFrame) -> DataFrame:
     """(doc_id, pii_type, start_pos, end_pos) of every item; no shuffle."""
     rows = documents.filter("text is not null").select("doc_id", "text")
-    return rows.mapInArrow(_run(dict(trained().w), masked=False), "doc_id long, pii_type string, start_pos int, end_pos int")
+    return rows.mapInArrow(_run(dict(trained().w), trained().everywhere, masked=False), "doc_id long, pii_type string, start_pos int, end_pos int")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """(doc_id, text) of every document with items replaced by their placeholders."""
-    return documents.select("doc_id", "text").mapInArrow(_run(dict(trained().w), masked=True), "doc_id long, text string")
+    return documents.select("doc_id", "text").mapInArrow(_run(dict(trained().w), trained().everywhere, masked=True), "doc_id long, text string")

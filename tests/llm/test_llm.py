@@ -507,19 +507,48 @@ def test_mixture_reaches_its_shares(spark):
 # ------------------------------------------------------------------ problem 10
 
 
-def test_items_of_held_out_sentences():
-    rng = random.Random(99)
-    model = pii.trained()
+def test_items_of_unseen_patterns():
+    """Trained on four fifths of the patterns, measured on the wordings of the rest."""
+    patterns = [(k, p) for k, v in pii.PATTERNS.items() for p in v.split("|")]
     right = wrong = missed = 0
-    for language, patterns in pii.PATTERNS.items():
-        for p in patterns.split("|"):
-            for _ in range(6):
+    for fold in range(5):
+        model = pii.fitted([x for i, x in enumerate(patterns) if i % 5 != fold])
+        rng = random.Random(99)
+        for language, p in (x for i, x in enumerate(patterns) if i % 5 == fold):
+            for _ in range(4):
                 text, gold = pii._filled(rng, language, p)
                 got = {(s.kind, s.start, s.end) for s in pii.items(model, text)}
                 right += len(got & gold)
                 wrong += len(got - gold)
                 missed += len(gold - got)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.8, (right, wrong, missed)
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    spans = [pii.Span("name", 0, 5, ["a", "b"]), pii.Span("phone", 3, 9, ["a"]), pii.Span("phone", 8, 12, ["c"]), pii.Span("name", 14, 20, ["b"])]
+    gold = [spans[0], spans[2], spans[3]]
+    model = pii.Model()
+    rng = random.Random(1)
+    for k in [(s.kind, f) for s in spans for f in s.features] + [("then", f"{a}>{b}") for a in ("name", "phone") for b in ("name", "phone")]:
+        model.w[k] = rng.uniform(-1, 1)
+    got = model.gradient(spans, gold)[0]
+    for k in list(model.w):
+        w = model.w[k]
+        up, down = (model.w.update({k: w + d}) or model.gradient(spans, gold)[1] for d in (1e-5, -1e-5))
+        model.w[k] = w
+        assert got.get(k, 0.0) == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_names_out_of_reach_change_nothing(spark, data):
+    model = pii.trained()
+    assert model.everywhere == (False, False) and pii.bound(model, False) <= 0 and pii.bound(model, True) <= 0
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").filter("text is not null").collect()]
+    found = [[(s.kind, s.start, s.end) for s in pii.items(model, t)] for t in texts]
+    model.everywhere = (True, True)
+    try:
+        assert [[(s.kind, s.start, s.end) for s in pii.items(model, t)] for t in texts] == found
+    finally:
+        model.everywhere = (False, False)
 
 
 def test_items_in_a_text():
