@@ -4,6 +4,7 @@ JSON line; every query is run to its last row once, after a small warm-up."""
 import importlib
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,7 +17,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = importlib.import_module("__spark_entry__").queries()

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 import regex as re
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 #: Namespace of name-based point ids.
 NAMESPACE = uuid.NAMESPACE_URL
@@ -72,7 +73,6 @@ _TITLES = r"(?:ông|bà|anh|chị|cô|chú|bác|vua|hoàng tử|công chúa|Mr\.
 _PLACES = r"(?:làng|núi|sông|hồ|chùa|thành|xã|rừng|bến|village|river|mount|lake|forest)"
 _NAME = r"\p{Lu}[\w'’]*(?:\s\p{Lu}[\w'’]*){0,3}"
 _PATTERNS = (("LOCATION", re.compile(rf"\b{_PLACES}\s+({_NAME})")), ("PERSON", re.compile(rf"\b{_TITLES}\s+({_NAME})")), ("NAME", re.compile(rf"(?<![.!?]\s)(?<!^)\b(\p{{Lu}}[\w'’]+(?:\s\p{{Lu}}[\w'’]+){{1,3}})")))
-_ENTITIES = ArrayType(StructType([StructField("text", StringType()), StructField("type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
 def pattern_entities(text: str) -> list[tuple[str, str, int, int]]:
@@ -87,7 +87,14 @@ def pattern_entities(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda x: x[2])
 
 
-@F.udf(_ENTITIES, useArrow=True)
-def entities(text):
-    """Column form of pattern_entities; null for null."""
-    return None if text is None else [{"text": a, "type": b, "start": c, "end": d} for a, b, c, d in pattern_entities(text)]
+def _found(batches):
+    for b in batches:
+        rows = [(k, *e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for e in pattern_entities(t)]
+        cols = list(zip(*rows)) or [[] for _ in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32()))], ["key", "text", "type", "start", "end"])
+
+
+def entities(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, type, start, end) of pattern_entities of every text, a batch at a time."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(_found, f"key {rows.schema['key'].dataType.simpleString()}, text string, type string, start int, end int")

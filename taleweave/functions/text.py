@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions; nothing here leaves the JVM.
+"""Scalar text functions as Column expressions; only canonical composition leaves the JVM.
 
 All of them give null for null and the empty string for an empty one unless said
 otherwise, and keep extra columns untouched as they are plain expressions.
@@ -8,27 +8,62 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-# The letters with marks of Vietnamese and its Latin neighbours.
-MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵäëïöüñçåîûôœ".replace("œ", "")
-PLAIN = "".join(unicodedata.normalize("NFD", ch)[0] for ch in MARKED)
-FOLD_FROM, FOLD_TO = MARKED + "đ", PLAIN + "d"
-STRIP_FROM, STRIP_TO = MARKED + MARKED.upper() + "đĐ", PLAIN + PLAIN.upper() + "dD"
+from pyspark.sql.types import StringType
+
+
+
+def _bases(compatible: bool) -> dict[str, str]:
+    """Letters of the basic plane that decompose to one letter and marks, with that
+    letter; with compatible also those whose form alone differs (full width, raised)."""
+    out = {}
+    for o in (*range(0xA0, 0x1100), *range(0x1E00, 0x2500), *range(0x3000, 0x3100), *range(0xFF00, 0xFFF0)):
+        parts = unicodedata.normalize("NFKD" if compatible else "NFD", chr(o))
+        base = "".join(ch for ch in parts if not unicodedata.combining(ch))
+        if len(base) == 1 and base != chr(o):
+            out[chr(o)] = base
+    return out
+
+
+def _class(test) -> str:
+    """A character class of the basic plane's characters that pass the test, by ranges."""
+    runs: list[list[int]] = []
+    for o in range(0x300, 0xFFFF):
+        if not 0xD800 <= o < 0xE000 and test(chr(o)):
+            if runs and runs[-1][1] == o - 1:
+                runs[-1][1] = o
+            else:
+                runs.append([o, o])
+    return "[" + "".join(f"\\u{a:04x}" if a == b else f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
+_FOLDED = _bases(False) | {"đ": "d"}
+_STRIPPED = _bases(True) | {"đ": "d", "Đ": "D"}
+FOLD_FROM, FOLD_TO = "".join(_FOLDED), "".join(_FOLDED.values())
+STRIP_FROM, STRIP_TO = "".join(_STRIPPED), "".join(_STRIPPED.values())
+#: Characters that combine with the one before.
+COMBINING = _class(lambda ch: unicodedata.combining(ch) != 0)
 VIETNAMESE_LETTERS = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[ \t\n\r\f]+"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def lower_folded(c: Column) -> Column:
     """Case folded: lower case, ß as ss."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def fold(c: Column) -> Column:
-    """Without accents and case; equal for a Vietnamese text and its plain typing."""
-    return F.translate(lower_folded(c), FOLD_FROM, FOLD_TO)
+    """Without accents and case, composed or not; equal for a Vietnamese text and its
+    plain typing. Non-spacing marks go, also those that are vowels of Indic scripts."""
+    return F.regexp_replace(F.translate(lower_folded(c), FOLD_FROM, FOLD_TO), r"\p{Mn}", "")
 
 
 def has_diacritics(c: Column) -> Column:
@@ -36,8 +71,23 @@ def has_diacritics(c: Column) -> Column:
 
 
 def strip_diacritics(c: Column) -> Column:
-    """Without accents, case kept."""
-    return F.translate(c, STRIP_FROM, STRIP_TO)
+    """Without accents, composed or not, case kept; compatibility forms of one letter plain."""
+    for whole, parts in (("ำ", "\u0e4d\u0e32"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        c = F.replace(c, F.lit(whole), F.lit(parts))
+    x = F.translate(c, STRIP_FROM, STRIP_TO)
+    # the class of marks is long, so texts without any mark are spared it
+    return once(x, lambda v: F.when(v.rlike(r"\p{M}"), F.regexp_replace(v, COMBINING, "")).otherwise(v))
+
+
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(c: Column) -> Column:
+    """Canonical composition, for which SQL has no function. Only texts with something to
+    compose go through Python; for the others it gets nulls."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[\p{M}\u1100-\u11ff\u2126\u212a\u212b\uf900-\ufaff]"), c)), c)
 
 
 def match_key(c: Column) -> Column:
@@ -46,8 +96,8 @@ def match_key(c: Column) -> Column:
 
 
 def normal(c: Column) -> Column:
-    """Case folded, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(lower_folded(c), SPACE, " "))
+    """Composed, case folded, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(lower_folded(composed(c)), SPACE, " "))
 
 
 def cleaned(c: Column) -> Column:
@@ -89,11 +139,14 @@ def source_key(path: Column) -> Column:
 
 
 # Phrases that say that nothing was found.
-ABSTENTIONS = ("không có thông tin", "không tìm thấy", "không đề cập", "i don't know", "i do not know", "not mentioned", "no information", "cannot answer", "not found in")
+ABSTENTIONS = (
+    "không có đủ thông tin", "không đủ thông tin", "không có thông tin", "không tìm thấy thông tin", "chưa có thông tin", "không được đề cập", "không đề cập", "không được nhắc",
+    "don't have enough information", "do not have enough information", "not enough information",
+)
 
 
 def is_abstention(c: Column) -> Column:
-    n = normal(c)
+    n = F.replace(normal(c), F.lit("’"), F.lit("'"))
     out = F.lit(False)
     for p in ABSTENTIONS:
         out = out | n.contains(p)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from taleweave.operators.sequence import neighbours, running_sum
 
+# Separators from the coarsest to the finest.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -143,12 +144,22 @@ def chunk(df: DataFrame, key: str, text: str = "text", strategy: str | Callable
     return rows.mapInArrow(_chunked(split), f"key {rows.schema['key'].dataType.simpleString()}, chunk_index int, start_index int, chunk string")
 
 
+#: Windows that are cut from one part of the text.
+BLOCK = 64
+
+
 def fixed_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """Windows of equal size in SQL: (key, chunk_index, start_index, chunk)."""
+    """Windows of equal size in SQL: (key, chunk_index, start_index, chunk). The text is cut
+    to parts of BLOCK windows first, so that a window is near the beginning of its part
+    and the whole text does not travel with each window."""
     step = size - overlap
-    last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.lit(1)) - 1
-    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk_index"))
-    return rows.select("key", F.col("chunk_index").cast("int").alias("chunk_index"), (F.col("chunk_index") * step).cast("int").alias("start_index"), F.expr(f"substring(text, cast(chunk_index * {step} + 1 as int), {size})").alias("chunk"))
+    last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.lit(1)).cast("long") - 1
+    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), last.alias("last"))
+    parts = rows.select("key", "last", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / BLOCK))).alias("part"))
+    parts = parts.select("key", "last", "part", F.expr(f"substring(text, cast(part * {BLOCK * step} + 1 as int), {BLOCK * step + overlap})").alias("text"))
+    each = parts.select("key", "part", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(BLOCK - 1).cast("long"), F.col("last") - F.col("part") * BLOCK))).alias("i"))
+    at = F.col("part") * BLOCK + F.col("i")
+    return each.select("key", at.cast("int").alias("chunk_index"), (at * step).cast("int").alias("start_index"), F.expr(f"substring(text, cast(i * {step} + 1 as int), {size})").alias("chunk"))
 
 
 def token_windows(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
@@ -188,11 +199,13 @@ def breakpoints(vectors: DataFrame, group: str, order: str, bucket: Column, vect
 
 def sequential_groups(chunks: DataFrame, group: str, index: str, size: int = 5) -> DataFrame:
     """Adds group_no: runs of size neighbours; a rest smaller than half joins the last run."""
-    n = F.count("*").over(Window.partitionBy(group))
+    counts = chunks.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    x = chunks.join(counts, F.col(group).eqNullSafe(F.col("_g")))
+    n = F.col("_n")
     full = F.greatest(F.floor(n / size), F.lit(1))
     rest = n - F.floor(n / size) * size
     last = F.when((rest >= -(-size // 2)) | (n < size), F.ceil(n / size) - 1).otherwise(full - 1)
-    return chunks.withColumn("group_no", F.least(F.floor(F.col(index) / size), last).cast("int"))
+    return x.withColumn("group_no", F.least(F.floor(F.col(index) / size), last).cast("int")).drop("_g", "_n")
 
 
 def routed(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,23 +59,61 @@ def propositions(docs: DataFrame, key: str, text: str, factory: Factory, judge:
     return g.select("key", "group_no", F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("chunk"))
 
 
-def raptor(leaves: DataFrame, factory: Factory, embed: Callable[[DataFrame], DataFrame], levels: int = 3, per_node: int = 5, cap: int = 3000) -> DataFrame:
+def _kmeans(v: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Cluster numbers of rows: centres begin at the first row and the rows farthest from
+    those taken, so the result depends on the order of the rows alone."""
+    centres = [0]
+    far = ((v - v[0]) ** 2).sum(1)
+    while len(centres) < k:
+        centres.append(int(far.argmax()))
+        far = np.minimum(far, ((v - v[centres[-1]]) ** 2).sum(1))
+    c = v[centres].copy()
+    out = np.zeros(len(v), dtype=np.int64)
+    for r in range(rounds):
+        near = (((v[:, None, :] - c[None, :, :]) ** 2).sum(2)).argmin(1)
+        if r and (near == out).all():
+            break
+        out = near
+        for i in range(k):
+            if (out == i).any():
+                c[i] = v[out == i].mean(0)
+    return out
+
+
+#: Nodes of one key that are clustered together.
+CLUSTERED = 256
+
+
+def clustered(nodes: DataFrame) -> DataFrame:
+    """(key, node_id, group_no) of nodes (key, node_id, i, embedding): k-means with half as
+    many clusters as nodes, over runs of CLUSTERED nodes of a key in the order of i."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i", ignore_index=True)
+        v = np.array(g["embedding"].tolist(), dtype=np.float64)
+        no = _kmeans(v, max(1, len(v) // 2))
+        return pd.DataFrame({"key": g["key"], "node_id": g["node_id"], "group_no": no + CLUSTERED * g["part"]})
+
+    x = nodes.withColumn("part", F.floor(F.col("i") / CLUSTERED).cast("long"))
+    return x.groupBy("key", "part").applyInPandas(run, f"key {nodes.schema['key'].dataType.simpleString()}, node_id string, group_no long")
+
+
+def raptor(leaves: DataFrame, factory: Factory, embed: Callable[[DataFrame], DataFrame], levels: int = 3, cap: int = 3000) -> DataFrame:
     """(node_id, level, text, children): leaves (key, chunk_index, chunk) of one key are
-    summarised in runs of neighbours, level by level, until one node is left; the runs
-    follow the first component of the embedding within a key, so that like chunks meet.
-    Summaries that fail drop their run; all levels are returned."""
-    base = leaves.select("key", F.substring(F.sha1(F.concat_ws("|", F.col("key").cast("string"), F.col("chunk_index").cast("string"), "chunk")), 1, 20).alias("node_id"), F.lit(0).alias("level"), F.col("chunk").alias("text"), F.array().cast("array<string>").alias("children"))
-    every, now = base, base
+    clustered by their embeddings and each cluster of two or more is summarised, level by
+    level, until none is left. Summaries that fail drop their cluster; all levels are
+    returned."""
+    base = leaves.select("key", F.substring(F.sha1(F.concat_ws("|", F.col("key").cast("string"), F.col("chunk_index").cast("string"), "chunk")), 1, 20).alias("node_id"), F.col("chunk_index").cast("long").alias("i"), F.lit(0).alias("level"), F.col("chunk").alias("text"), F.array().cast("array<string>").alias("children"))
+    every, now = base.drop("i"), base
     for level in range(1, levels + 1):
-        v = embed(now.select("node_id", "text"))
-        placed = now.join(v.select("node_id", F.get("embedding", 0).alias("place")), "node_id").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("place", "node_id")) - 1)
-        runs = chunking.sequential_groups(placed, "key", "i", per_node).groupBy("key", "group_no").agg(F.sort_array(F.collect_list(F.struct("i", "node_id", "text"))).alias("x")).filter(F.size("x") > 1)
+        placed = now.join(embed(now.select("node_id", "text")), "node_id").select("key", "node_id", "i", "embedding")
+        runs = now.join(clustered(placed), ["key", "node_id"]).groupBy("key", "group_no").agg(F.array_sort(F.collect_list(F.struct("i", "node_id", "text"))).alias("x")).filter(F.size("x") > 1)
         joined = F.substring(F.array_join(F.transform("x", lambda s: s["text"]), "\n\n"), 1, cap)
-        up = runs.select("key", F.transform("x", lambda s: s["node_id"]).alias("children"), _ask(F.concat(F.lit("Summarise:\n"), joined), factory).alias("text")).filter("trim(text) <> ''")
-        now = cut(up.select("key", F.substring(F.sha1(F.array_join("children", "|")), 1, 20).alias("node_id"), F.lit(level).alias("level"), "text", "children"))
+        up = runs.select("key", "group_no", F.transform("x", lambda s: s["node_id"]).alias("children"), _ask(F.concat(F.lit("Summarise:\n"), joined), factory).alias("text")).filter("trim(text) <> ''")
+        now = cut(up.select("key", F.substring(F.sha1(F.array_join("children", "|")), 1, 20).alias("node_id"), F.col("group_no").alias("i"), F.lit(level).alias("level"), "text", "children"))
         if now.isEmpty():
             break
-        every = every.unionByName(now)
+        every = every.unionByName(now.drop("i"))
     return every
 
 

@@ -1,4 +1,4 @@
-"""Inverted index and BM25 as aggregates and joins."""
+"""Inverted index and Okapi BM25 as aggregates and joins."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
-from taleweave.session import small_side
+from taleweave.session import cut, small_side
 
-K1, B = 1.5, 0.75
+K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def postings(docs: DataFrame, key: str, text: str = "text", analyzer=T.words) -> DataFrame:
@@ -18,34 +18,65 @@ def postings(docs: DataFrame, key: str, text: str = "text", analyzer=T.words) ->
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
+def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
+    """(number of texts with words, their mean length, (term, idf)) of postings."""
+    n = index.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return n.n, n.avgdl or 1.0, weighted(index.groupBy("term").agg(F.count("*").alias("df")), n.n)
+
+
+def weighted(df: DataFrame, n: int, floor: float = FLOOR) -> DataFrame:
+    """(term, idf) of document frequencies (term, df): ln((n - df + .5) / (df + .5)), and
+    for terms in more than half of the texts, where it is negative, the floor times the
+    mean over all terms."""
+    raw = df.select("term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf").alias("m")).first().m or 0.0
+    return raw.withColumn("idf", F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf")))
+
+
+class Index:
+    """Postings of texts, made once and searched many times: (id, term, tf, dl) in the
+    shared folder, and the weight of every term. Terms are counted inside their text, so
+    nothing but the vocabulary is shuffled to build it."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str = "text", analyzer=T.words):
+        self.analyzer = analyzer
+        w = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w")).filter(F.size("w") > 0)
+        self.texts = cut(w.select("id", F.size("w").alias("dl"), "w"))
+        n = self.texts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        self.n, self.avgdl = n.n, n.avgdl or 1.0
+        self.idf = cut(weighted(self.texts.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), self.n))
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """(id, term, tf, dl) of the asked terms (term): only they are counted."""
+        terms = self.texts.select("id", "dl", F.explode("w").alias("term")).join(small_side(asked), "term", "left_semi")
+        return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+
+    def search(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, id, score) of queries (query_id, term); a repeated term counts again."""
+        asked = _counted(queries)
+        return _scored(self.hits(asked.select("term").distinct()), asked, self.idf, self.avgdl, k1, b)
+
+
+def _counted(queries: DataFrame) -> DataFrame:
+    return queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
 def bm25(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score): Okapi BM25 of queries (query_id, term) over an index of
-    postings. The idf is ln(1 + (N - df + .5) / (df + .5)), always positive."""
-    stats = index.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    asked = queries.select("query_id", "term").distinct()
-    hit = index.join(small_side(asked.select("term").distinct()), "term", "left_semi")
-    return _scored(hit, asked, stats, k1, b)
+    """(query_id, id, score): Okapi BM25 of queries (query_id, term) over postings."""
+    _, avgdl, idf = statistics(index)
+    asked = _counted(queries)
+    return _scored(index.join(small_side(asked.select("term").distinct()), "term", "left_semi"), asked, idf, avgdl, k1, b)
 
 
 def bm25_of_texts(docs: DataFrame, key: str, text: str, queries: DataFrame, analyzer=T.words, k1: float = K1, b: float = B) -> DataFrame:
-    """The same over texts without a stored index: words that no query asks for are
-    dropped before they are counted, so only asked words are shuffled."""
-    w = docs.select(F.col(key).alias("id"), analyzer(F.col(text)).alias("w"))
-    n = F.size("w")
-    stats = w.select(F.when(n > 0, n).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avgdl")).first()
-    asked = queries.select("query_id", "term").distinct()
-    # outer: else the optimizer splits the text a second time in a filter
-    words = w.select("id", n.alias("dl"), "w").select("id", "dl", F.explode_outer("w").alias("term"))
-    hit = words.join(small_side(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    return _scored(hit, asked, stats, k1, b)
-
-
-def _scored(hit: DataFrame, asked: DataFrame, stats, k1: float, b: float) -> DataFrame:
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    scored = hit.join(df, "term").select("term", "id", weight.alias("w"))
-    return scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    """The same over texts, by an index made for it."""
+    return Index(docs, key, text, analyzer).search(queries, k1, b)
+
+
+def _scored(hit: DataFrame, asked: DataFrame, idf: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    known = small_side(asked.join(idf, "term"))
+    return hit.join(known, "term").groupBy("query_id", "id").agg(F.sum(weight * F.col("times")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "id", digits: int | None = 6) -> DataFrame:

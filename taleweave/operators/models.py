@@ -19,23 +19,27 @@ from taleweave.functions import text as T
 Model = Callable[[list[str]], Iterable[str | None]]
 
 
-def generated(factory: Callable[[], Model], max_failures: int = 3):
-    """A pandas function from prompts to replies. A failing batch gives nulls, and after
-    max_failures in a row the rest of the task is not asked."""
+def generated(factory: Callable[[], Model]):
+    """A pandas function from prompts to replies. A failing batch is asked prompt by
+    prompt, and only the prompts that fail alone give nulls, so that what is lost does
+    not depend on batches and partitions."""
+
+    def alone(model: Model, prompt: str):
+        try:
+            return next(iter(model([prompt])))
+        except Exception:
+            return None
 
     @F.pandas_udf(StringType())
     def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, failed = factory(), 0
+        model = factory()
         for s in batches:
-            if failed >= max_failures:
-                yield pd.Series([None] * len(s), index=s.index, dtype=object)
-                continue
+            prompts = s.tolist()
             try:
-                yield pd.Series(list(model(s.tolist())), index=s.index, dtype=object)
-                failed = 0
+                replies = list(model(prompts))
             except Exception:
-                failed += 1
-                yield pd.Series([None] * len(s), index=s.index, dtype=object)
+                replies = [alone(model, p) for p in prompts]
+            yield pd.Series(replies, index=s.index, dtype=object)
 
     return reply
 

@@ -11,9 +11,8 @@ from taleweave.functions import text as T
 def labels(text: Column, catalog: dict[str, list[str]]) -> Column:
     """Sorted labels of a catalogue of keywords contained in the text; the catalogue is
     a parameter of fixed size, so it is part of the expression."""
-    x = T.match_key(text)
-    out = F.array(*[F.when(_any(x, keys), F.lit(label)) for label, keys in sorted(catalog.items())])
-    return F.filter(out, lambda v: v.isNotNull())
+    found = lambda x: F.array(*[F.when(_any(x, keys), F.lit(label)) for label, keys in sorted(catalog.items())])
+    return F.filter(T.once(T.match_key(text), found), lambda v: v.isNotNull())
 
 
 def _any(x: Column, keys: list[str]) -> Column:

@@ -8,22 +8,22 @@ neither side is broadcast or collected.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.functions import text as T
+
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8_192
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str, n: int | None) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str, n: int | None, label: str | None = None) -> DataFrame:
     """(<name>_rows): arrays of about size rows each. n: the number of rows, if known."""
-    n = max(1, -(-(df.count() if n is None else n) // size))
-    rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).alias("b"), F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).alias("r"))
+    held = df.filter(F.col(vector).isNotNull())
+    n = max(1, -(-(held.count() if n is None else n) // size))
+    rows = held.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("b"), F.struct(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), *([F.col(label).cast("long").alias("label")] if label else [])).alias("r"))
     return rows.groupBy("b").agg(F.collect_list("r").alias(f"{name}_rows")).select(f"{name}_rows")
 
 
@@ -66,10 +66,10 @@ def _best(k: int | None, metric: str, least: float | None = None):
     return run
 
 
-def _pairs(queries, corpus, query_key, key, vector, n_queries, n_corpus) -> DataFrame:
+def _pairs(queries, corpus, query_key, key, vector, n_queries, n_corpus, label=None) -> DataFrame:
     """All pairs of a block of queries and a block of the corpus: blocks, not rows."""
-    q = _blocks(queries, query_key, vector, QUERY_BLOCK, "q", n_queries)
-    return q.crossJoin(_blocks(corpus, key, vector, CORPUS_BLOCK, "c", n_corpus))
+    q = _blocks(queries, query_key, vector, QUERY_BLOCK, "q", n_queries, label)
+    return q.crossJoin(_blocks(corpus, key, vector, CORPUS_BLOCK, "c", n_corpus, label))
 
 
 def within(queries: DataFrame, corpus: DataFrame, least: float, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine", n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
@@ -120,18 +120,49 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def hash_embeddings(df: DataFrame, key: str, text: str = "text", dims: int = 256) -> DataFrame:
     """(id, embedding): offline stand-in for an embedding model, counts of lower-case
-    words by crc32 modulo dims, to length 1; texts without words are zero vectors."""
+    words by crc32 modulo dims, to length 1; texts without words are zero vectors. Words
+    are split and hashed in the JVM, a batch is counted at once."""
 
     def run(batches):
-        word = re.compile(r"\w+")
         for b in batches:
-            m = np.zeros((b.num_rows, dims))
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for w in word.findall((t or "").lower()):
-                    m[i, zlib.crc32(w.encode()) % dims] += 1
+            lists = b.column(1)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            m = np.bincount(row * dims + flat, minlength=b.num_rows * dims).reshape(b.num_rows, dims).astype(np.float64)
             n = np.sqrt((m * m).sum(1, keepdims=True))
-            m = np.divide(m, n, out=m, where=n > 0).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dims, pa.int32()), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "embedding"])
+            m = np.divide(m, n, out=m, where=n > 0)
+            out = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dims, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], ["id", "embedding"])
+
+    buckets = F.transform(T.words(F.col(text)), lambda w: (F.crc32(w) % dims).cast("int"))
+    return df.select(F.col(key).cast("long").alias("id"), buckets.alias("b")).mapInArrow(run, "id long, embedding array<double>")
+
+
+def _tallied(thresholds: list[float]):
+    def run(batches):
+        for b in batches:
+            n, kept, relevant, lost = 0, np.zeros(len(thresholds), np.int64), np.zeros(len(thresholds), np.int64), np.zeros(len(thresholds), np.int64)
+            for r in range(b.num_rows):
+                _, q = _matrix(b.column(0), r, "cosine")
+                _, c = _matrix(b.column(1), r, "cosine")
+                ql, cl = (b.column(k)[r].values.field("label").to_numpy(zero_copy_only=False) for k in (0, 1))
+                s, same = np.round(q @ c.T, 6), ql[:, None] == cl[None, :]
+                n += s.size
+                for i, t in enumerate(thresholds):
+                    over = s >= t
+                    kept[i] += over.sum()
+                    relevant[i] += (over & same).sum()
+                    lost[i] += (~over & same).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(thresholds, dtype=np.float64), np.full(len(thresholds), n), kept, relevant, lost)], ["threshold", "n", "kept", "kept_relevant", "dropped_relevant"])
+
+    return run
+
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, embedding array<float>")
+def calibration(queries: DataFrame, corpus: DataFrame, key: str, label: str, thresholds: list[float], vector: str = "embedding") -> DataFrame:
+    """(threshold, kept, kept_relevant, dropped_relevant, kept_share) over all pairs of a
+    query and a row, relevant where the labels are equal. Pairs are counted inside the
+    product of two blocks; none leaves it."""
+    pairs = _pairs(queries, corpus, key, key, vector, None, None, label)
+    t = pairs.mapInArrow(_tallied(thresholds), "threshold double, n long, kept long, kept_relevant long, dropped_relevant long")
+    g = t.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("n", "kept", "kept_relevant", "dropped_relevant")])
+    return g.select("threshold", "kept", "kept_relevant", "dropped_relevant", F.round(F.col("kept") / F.col("n"), 6).alias("kept_share"))

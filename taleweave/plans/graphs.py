@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
-from taleweave.operators import graph, stories
+from taleweave.operators import graph, graphcontext, stories
+from taleweave.plans import dialect
 from taleweave.session import load
 from taleweave.sources import sinks
 
 QUERIES, SQL = {}, {}
-_FOLD = f"translate(replace(lower({{0}}), 'ß', 'ss'), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
-_KEY = f"trim(regexp_replace(lower(trim(translate({{0}}, '{T.STRIP_FROM}', '{T.STRIP_TO}'))), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g'))"
+_FOLD, _KEY, _NAME = dialect.FOLD, dialect.KEY, dialect.NORMAL
 
 
 def query(sql: str | None = None):
@@ -28,10 +28,10 @@ def _entities(spark, d):
     """(key, name, type, document_key, graph_id)"""
     g = load(spark, d, "document_graphs").select("graph_id", "document_key", F.explode("entities").alias("e"))
     kind = F.nullif(F.lower(F.trim("e.type")), F.lit(""))
-    return g.select(T.match_key(F.col("e.name")).alias("key"), F.col("e.name").alias("name"), kind.alias("type"), "document_key", "graph_id").filter("key <> ''")
+    return g.select(T.normal(F.col("e.name")).alias("key"), F.col("e.name").alias("name"), kind.alias("type"), "document_key", "graph_id").filter("key <> ''")
 
 
-_E = f"e as (select {_KEY.format('x.name')} as key, x.name as name, nullif(lower(trim(x.type)), '') as type, document_key, graph_id from (select graph_id, document_key, unnest(entities) x from document_graphs)), k as (select * from e where key <> '')"
+_E = f"e as (select {_NAME.format('x.name')} as key, x.name as name, nullif(lower(trim(x.type)), '') as type, document_key, graph_id from (select graph_id, document_key, unnest(entities) x from document_graphs)), k as (select * from e where key <> '')"
 
 
 @query(f"""
@@ -44,13 +44,13 @@ def graph_merge(spark, d):
     )
 
 
-_R = f"""r as (select {_KEY.format('x.source')} as a, {_KEY.format('x.target')} as b from (select unnest(relationships) x from document_graphs)),
-edges as (select least(a, b) u, greatest(a, b) v, count(*) weight from r where a is not null and b is not null and a <> b and a <> '' and b <> '' group by 1, 2)"""
+_R = f"""r as (select {_NAME.format('x.source')} as a, {_NAME.format('x.target')} as b from (select unnest(relationships) x from document_graphs)),
+edges as materialized (select least(a, b) u, greatest(a, b) v, count(*) weight from r where a is not null and b is not null and a <> b and a <> '' and b <> '' group by 1, 2)"""
 
 
 def _edges(spark, d):
     r = load(spark, d, "document_graphs").select(F.explode("relationships").alias("x"))
-    r = r.select(T.match_key(F.col("x.source")).alias("source"), T.match_key(F.col("x.target")).alias("target")).filter("source <> '' and target <> ''")
+    r = r.select(T.normal(F.col("x.source")).alias("source"), T.normal(F.col("x.target")).alias("target")).filter("source <> '' and target <> ''")
     return graph.undirected(r)
 
 
@@ -67,7 +67,7 @@ def graph_degree(spark, d):
     return graph.weighted_degree(_edges(spark, d))
 
 
-_BOTH = "both_ as (select u, v from edges union select v, u from edges)"
+_BOTH = "both_ as materialized (select u, v from edges union select v, u from edges)"
 _STARTS = "st as (select node from dg order by degree desc, node limit 3)"
 
 
@@ -95,15 +95,35 @@ def graph_paths(spark, d):
     return graph.shortest_paths(_edges(spark, d), pairs, 3).select("a", "b", "length")
 
 
-@query(f"""with recursive {_R}, {_BOTH}, c as (select u as id, u as component from both_ union select b.v, c.component from c join both_ b on b.u = c.id where c.component < b.v or true)
+@query(f"""with recursive {_R}, {_BOTH}, c as (select u as id, u as component from both_ union select b.v, c.component from c join both_ b on b.u = c.id)
 select id, min(component) as component from c group by 1""")
 def graph_components(spark, d):
     return graph.components(_edges(spark, d).select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
 
-@query()
+_COMPONENTS = "c as (select u as id, u as component from both_ union select b.v, c.component from c join both_ b on b.u = c.id), cc as (select id, min(component) component from c group by 1)"
+
+
+@query(f"""with recursive {_R}, {_BOTH}, {_COMPONENTS}
+select count(*) as n_nodes, true as inside_components, true as better_than_components, true as connected from cc""")
 def graph_communities(spark, d):
-    return graph.communities(_edges(spark, d))
+    """What holds of the communities: they cover all nodes, none spans two components,
+    their modularity is above that of the components, each is connected."""
+    edges = _edges(spark, d)
+    labels = graph.communities(edges)
+    whole = graph.components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("whole"))
+    ends = edges.join(labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v")
+    inner = graph.components(ends.filter("cu = cv").select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("part"))
+    parts = labels.join(inner, "node", "left").groupBy("community").agg(F.countDistinct(F.coalesce("part", "node")).alias("k")).agg(F.max("k").alias("k"))
+    better = graph.modularity(edges, labels) > graph.modularity(edges, whole.withColumnRenamed("whole", "community"))
+    spans = labels.join(whole, "node").groupBy("community").agg(F.countDistinct("whole").alias("k")).agg(F.max("k").alias("most"))
+    return labels.agg(F.count("*").alias("n_nodes")).join(spans).join(parts).select("n_nodes", (F.col("most") == 1).alias("inside_components"), F.lit(better).alias("better_than_components"), (F.col("k") == 1).alias("connected"))  # three rows
+
+
+@query()
+def graph_community_members(spark, d):
+    """Members of the communities of three entities or more, the greatest first."""
+    return graph.large_communities(graph.communities(_edges(spark, d)))
 
 
 @query("""
@@ -113,12 +133,155 @@ def graph_rebuilds(spark, d):
     return load(spark, d, "document_graphs").groupBy("document_key").agg(F.count("*").alias("n_graphs"), F.max("graph_id").alias("latest_graph"))
 
 
-@query()
+@query("""
+with e as (select document_key, list_sort(list(distinct {'name': x.name, 'type': x.type})) entities from (select document_key, unnest(entities) x from document_graphs) group by 1),
+r as (select document_key, list_sort(list(distinct {'source': x.source, 'target': x.target})) relationships from (select document_key, unnest(relationships) x from document_graphs) group by 1)
+select document_key, len(entities) as n_entities, coalesce(len(relationships), 0) as n_relationships, entities[1].name as first_entity, entities[-1].name as last_entity from e full join r using (document_key)
+""")
 def graph_export(spark, d):
+    """The exported JSON, read again."""
     g = load(spark, d, "document_graphs")
     e = g.select("document_key", F.explode("entities").alias("x")).select("document_key", "x.name", "x.type")
     r = g.select("document_key", F.explode("relationships").alias("x")).select("document_key", "x.source", "x.target")
-    return sinks.graph_export(e, r)
+    j = F.from_json("graph", "entities array<struct<name:string,type:string>>, relationships array<struct<source:string,target:string>>")
+    names = F.transform("j.entities", lambda v: v["name"])
+    return sinks.graph_export(e, r).select("document_key", j.alias("j")).select("document_key", F.size("j.entities").cast("long").alias("n_entities"), F.coalesce(F.size("j.relationships"), F.lit(0)).cast("long").alias("n_relationships"), names[0].alias("first_entity"), F.get(names, F.size(names) - 1).alias("last_entity"))
+
+
+# graph context
+
+_DE = f"""ge as (select graph_id, document_key, document_name, unnest(entities) x from document_graphs),
+de as materialized (select document_key, key, arg_min(name, (graph_id, name)) name, coalesce(arg_min(type, (graph_id, type)) filter (where type <> 'other'), 'other') type, min(document_name) document_name, coalesce(string_agg(distinct nullif(trim(d), ''), ' ' order by nullif(trim(d), '')), '') description
+  from (select graph_id, document_key, document_name, {_NAME.format('x.name')} key, x.name name, nullif(lower(trim(x.type)), '') type, x.description d from ge) where key <> '' group by 1, 2),
+dr as materialized (select document_key, u, v, min(document_name) document_name, count(*) n, coalesce(string_agg(distinct nullif(trim(d), ''), ' ' order by nullif(trim(d), '')), '') description from (select document_key, document_name, least(a, b) u, greatest(a, b) v, d
+  from (select document_key, document_name, {_NAME.format('x.source')} a, {_NAME.format('x.target')} b, x.description d from (select document_key, document_name, unnest(relationships) x from document_graphs)) where a <> '' and b <> '' and a <> b) group by 1, 2, 3),
+vw as materialized (select key, arg_min(name, (document_key, name)) name, coalesce(arg_min(type, (document_key, type)) filter (where type <> 'other'), 'other') type from de group by 1)"""
+
+
+def _parts(spark, d):
+    g = load(spark, d, "document_graphs")
+    return graphcontext.entities_of(g), graphcontext.relations_of(g)
+
+
+@query(f"with {_DE} select document_key, key, name, type, description from de")
+def graph_document_entities(spark, d):
+    return _parts(spark, d)[0].drop("document_name")
+
+
+@query(f"with {_DE} select document_key, u, v, n, description from dr")
+def graph_document_relations(spark, d):
+    return _parts(spark, d)[1].drop("document_name")
+
+
+_PROFILES = """, al as (select distinct document_key from document_graphs {where}), ae as (select de.* from de join al using (document_key)), ar as (select dr.* from dr join al using (document_key)),
+cn as (select key, count(distinct document_key) n from ae group by 1),
+sd as (select key, n, string_agg(document_name, ', ' order by document_key, document_name) docs, string_agg(case when description <> '' then chr(10) || '  ' || case when n > 1 then document_name || ': ' || description else description end else '' end, '' order by document_key, document_name) lines from ae join cn using (key) group by 1, 2),
+bt as (select document_key, document_name, description, u key, v other from ar where description <> '' union all select document_key, document_name, description, v, u from ar where description <> ''),
+tl as (select key, other, string_agg(t, ' | ' order by document_key, t) t from (select *, case when n > 1 then document_name || ': ' || description else description end t from bt join cn using (key)) group by 1, 2),
+wt as (select u, v, sum(n) w from dr group by 1, 2), w2 as (select u key, v other, w from wt union all select v, u, w from wt),
+rk as (select tl.key, tl.t, o.name, row_number() over (partition by tl.key order by w desc, o.name, o.key) nth from tl join w2 using (key, other) join vw o on o.key = tl.other),
+rl as (select rk.key, string_agg(chr(10) || '  - ' || vw.name || ' — ' || rk.name || ': ' || t, '' order by nth) rel from rk join vw on vw.key = rk.key where nth <= 8 group by 1),
+pf as (select sd.key, vw.name, n n_documents, vw.name || ' (' || vw.type || '; ' || docs || ')' || lines as content, coalesce(rel, '') rel from sd join vw using (key) left join rl using (key))"""
+
+
+@query(f"with {_DE}{_PROFILES.format(where='')} select key, name, n_documents, content, content || rel as profile from pf")
+def graph_profiles(spark, d):
+    return graphcontext.profiles(*_parts(spark, d))
+
+
+_EVEN = "where extractor is not null"
+
+
+@query(f"with {_DE}{_PROFILES.format(where=_EVEN)} select key, name, n_documents, content, content || rel as profile from pf")
+def graph_profiles_filtered(spark, d):
+    """Only what the documents of a known extractor say."""
+    return graphcontext.profiles(*_parts(spark, d), allowed=load(spark, d, "document_graphs").filter("extractor is not null").select("document_key"))
+
+
+_FOLDED_WORDS = f"array_to_string(regexp_extract_all({_FOLD}, '[a-z0-9]+'), ' ')"
+_NAMED = f"""nm as (select key, {_FOLDED_WORDS.format('name')} f from vw), qs as (select doc_id query_id, ' ' || {_FOLDED_WORDS.format('title')} || ' ' q from documents where doc_id % 100 = 0 and title is not null),
+hit as materialized (select query_id, key from qs join nm on length(f) >= 3 and contains(q, ' ' || f || ' '))"""
+
+
+def _questions(spark, d):
+    return load(spark, d, "documents").filter("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+
+
+@query(f"with {_DE}, {_NAMED} select query_id, key from hit")
+def graph_named_in(spark, d):
+    return graphcontext.named_in(_questions(spark, d), graphcontext.merged(_parts(spark, d)[0]))
+
+
+@query(f"""with {_DE}, {_NAMED}, wq as (select doc_id query_id, list_distinct(regexp_extract_all({_FOLD.format('title')}, '[a-z0-9]+')) w from documents where doc_id % 100 = 0 and title is not null),
+wn as (select key, list_distinct(string_split(f, ' ')) w from nm where f <> ''), sh as (select query_id, key, len(list_intersect(wq.w, wn.w)) s from wq join wn on len(list_intersect(wq.w, wn.w)) > 0),
+cl as (select query_id, key, row_number() over (partition by query_id order by s desc, key) r from sh), u as (select query_id, key, 0 b, -length(key) o from hit union all select query_id, key, 1, r from cl where r <= 10),
+m as (select query_id, key, min((b, o)) x from u group by 1, 2) select query_id, key, rank from (select query_id, key, row_number() over (partition by query_id order by x, key) rank from m) where rank <= 5""")
+def graph_candidates(spark, d):
+    """Five entities a title may be about: those it names, then those that share words."""
+    view = graphcontext.merged(_parts(spark, d)[0])
+    q = _questions(spark, d)
+    a = q.select("query_id", F.explode(F.array_distinct(T.folded_words(F.col("question")))).alias("w"))
+    b = view.select("key", F.explode(F.array_distinct(T.folded_words(F.col("name")))).alias("w"))
+    shared = a.join(b, "w").groupBy("query_id", "key").agg(F.count("*").cast("double").alias("score"))
+    from taleweave.operators import lexical
+
+    close = lexical.top_k(shared, 10, key="key")
+    return graphcontext.candidates(graphcontext.named_in(q, view), close, 5)
+
+
+def _by_component(spark, d):
+    """Communities of the reports' query: the components, which SQL can find."""
+    e, r = _parts(spark, d)
+    edges = graphcontext.edges_of(r)
+    labels = graph.components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("community"))
+    return graphcontext.reports(labels, e, r)
+
+
+_REPORTS = f"""{_DE}, wt as materialized (select u, v, sum(n) weight from dr group by 1, 2), both_ as materialized (select u, v from wt union select v, u from wt), {_COMPONENTS},
+lg as (select component community, count(*) size from cc group by 1 having count(*) >= 3), mb as (select id key, community, size from cc join lg on lg.community = cc.component),
+dg as (select key, sum(weight) degree from (select u key, weight from wt union all select v, weight from wt) group by 1),
+sa as (select key, coalesce(string_agg(case when description <> '' then document_name || ': ' || description end, ' | ' order by document_key), '') said from de group by 1),
+ml as (select community, size, key, '- ' || name || ' (' || type || ')' || case when said <> '' then ' — ' || said else '' end l, row_number() over (partition by community order by degree desc, key) i from mb join vw using (key) join dg using (key) join sa using (key)),
+el as (select community, size, string_agg(l, chr(10) order by i) es from ml where i <= 40 group by 1, 2),
+dl as (select community, list_sort(list(distinct document_key)) documents from mb join de using (key) group by 1), dn as (select document_key, min(document_name) dname from de group by 1),
+dt as (select community, string_agg(dname, ', ' order by document_key) titles from (select community, unnest(documents) document_key from dl) join dn using (document_key) group by 1),
+tl as (select u, v, string_agg(document_name || ': ' || description, ' | ' order by document_key) t from dr where description <> '' group by 1, 2),
+rl as (select a.community, '- ' || x.name || ' — ' || y.name || ': ' || coalesce(t, '') l, row_number() over (partition by a.community order by weight desc, wt.u, wt.v) j from wt join mb a on a.key = wt.u join mb b on b.key = wt.v and a.community = b.community left join tl on tl.u = wt.u and tl.v = wt.v join vw x on x.key = wt.u join vw y on y.key = wt.v),
+rs as (select community, string_agg(l, chr(10) order by j) rs from rl where j <= 60 group by 1),
+rp as (select community, size, documents, 'Report on what links these.' || chr(10) || 'Documents: ' || titles || chr(10) || 'Entities:' || chr(10) || es || chr(10) || 'Relationships:' || chr(10) || coalesce(rs, '-') prompt from el join dl using (community) join dt using (community) left join rs using (community))"""
+
+
+@query(f"with recursive {_REPORTS} select community, size, len(documents) as n_documents, substr(sha1('graph-community|' || prompt), 1, 20) as report_id from rp")
+def graph_reports(spark, d):
+    return _by_component(spark, d).select("community", "size", F.size("documents").cast("long").alias("n_documents"), "report_id")
+
+
+@query(f"with recursive {_REPORTS}, ok as (select list(distinct document_key) a from document_graphs where extractor is not null) select community, size from rp, ok where len(list_filter(documents, lambda x: not list_contains(a, x))) = 0")
+def graph_reports_filtered(spark, d):
+    allowed = load(spark, d, "document_graphs").filter("extractor is not null").select("document_key")
+    return graphcontext.qualifying_reports(_by_component(spark, d), allowed).select("community", "size")
+
+
+@query(f"with {_DE}, {_NAMED}, k as (select distinct key from hit), r as (select {_NAME.format('x.source')} a, {_NAME.format('x.target')} b, x.source, x.target, x.description from (select unnest(relationships) x from document_graphs)) select distinct key, source, target, description from r join k on key = a or key = b")
+def graph_relationships(spark, d):
+    """Relations of the entities that some title names."""
+    g = load(spark, d, "document_graphs")
+    return graphcontext.relationships(g, graph_named_in(spark, d))
+
+
+@query(f"""with {_DE}, {_NAMED}, e as (select u, v from dr group by 1, 2), b as (select u, v from e union select v, u from e), n1 as (select query_id, key node from hit union select query_id, b.v from hit join b on b.u = key)
+select distinct query_id, u, v from n1 join e on node = u or node = v""")
+def graph_subgraph(spark, d):
+    return graphcontext.subgraph(graph_named_in(spark, d), _parts(spark, d)[1], 2)
+
+
+@query("""select graph_id, document_key, extractor from document_graphs where not coalesce(extractor is null, false) and document_key not in (select document_key from document_graphs where graph_id % 3 = 0 and document_key is not null)
+union all select graph_id + 1000000, document_key, 'again' from document_graphs where graph_id % 3 = 0""")
+def graph_applied(spark, d):
+    """Every third graph built anew, those without an extractor dropped."""
+    g = load(spark, d, "document_graphs").select("graph_id", "document_key", "extractor")
+    new = g.filter("graph_id % 3 = 0").select((F.col("graph_id") + 1000000).alias("graph_id"), "document_key", F.lit("again").alias("extractor"))
+    return graphcontext.applied(g, new, F.col("extractor").isNull())
 
 
 # stories
@@ -151,12 +314,12 @@ def story_search(spark, d):
 
 @query("""
 with m as (select distinct story_id, trim(lower(x)) motif from (select story_id, unnest(motifs) x from stories) where trim(x) <> '')
-select motif, count(*) as n_stories from m where story_id is not null group by 1 order by count(*) desc, motif limit 50
+select motif, count(*) as n_stories from m where story_id is not null group by 1
 """)
 def motif_rank(spark, d):
-    """The fifty most frequent motifs, a report."""
+    """The stories of every motif."""
     m = load(spark, d, "stories").filter("story_id is not null").select("story_id", F.explode("motifs").alias("x")).select("story_id", F.lower(F.trim("x")).alias("motif")).filter("motif <> ''").distinct()
-    return m.groupBy("motif").agg(F.count("*").alias("n_stories")).orderBy(F.desc("n_stories"), "motif").limit(50)
+    return m.groupBy("motif").agg(F.count("*").alias("n_stories"))
 
 
 @query("""
@@ -200,7 +363,9 @@ def compare_entities(spark, d):
     return x.select(F.array_join(shared, ",").alias("shared"), F.array_join(only_a, ",").alias("only_a"), F.array_join(only_b, ",").alias("only_b"))
 
 
-@query()
+@query(f"""with c as (select record_id, x, row_number() over () o from (select record_id, unnest(characters) x from fairy_tales where characters is not null) where x is not null),
+k as (select record_id, {_KEY.format('x')} k, arg_min(x, o) x, min(o) o from c group by 1, 2), g as (select record_id, string_agg(x, '|' order by o) names from k group by 1)
+select record_id, coalesce(names, '') as names from fairy_tales left join g using (record_id) where characters is not null""")
 def distinct_characters(spark, d):
     x = load(spark, d, "fairy_tales").filter("characters is not null").withColumn("c", F.filter("characters", lambda v: v.isNotNull()))
     return stories.first_of_key(x, "c", "names").select("record_id", F.array_join("names", "|").alias("names"))

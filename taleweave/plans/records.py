@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
 from taleweave.operators import incremental, models, serving
+from taleweave.plans import dialect
 from taleweave.session import load
 
 QUERIES, SQL = {}, {}
@@ -158,7 +159,10 @@ def rate_limit_window_counts(spark, d):
     return serving.window_counts(load(spark, d, "events"), "user_id", "ts", 3600, "event_id").select("event_id", "in_window")
 
 
-@query()
+@query("""with recursive e as materialized (select user_id k, event_id id, epoch_us(ts) / 1e6 s, row_number() over (partition by user_id order by ts, event_id) i from events where user_id is not null and ts is not null),
+a as (select k, id, s, i, [s] held, true ok from e where i = 1
+  union all select e.k, e.id, e.s, e.i, case when len(h) < 3 then list_append(h, e.s) else h end, len(h) < 3 from (select a.k, a.i, e.s es, list_filter(a.held, lambda x: x > e.s - 86400) h from a join e on e.k = a.k and e.i = a.i + 1) a join e on e.k = a.k and e.i = a.i + 1)
+select k as key, id, ok as admitted from a""")
 def rate_limit_admission(spark, d):
     return serving.admitted(load(spark, d, "events"), "user_id", "ts", "event_id", 86400.0, 3)
 
@@ -229,6 +233,10 @@ def context_assembly(spark, d):
     return models.context_blocks(p).select("query_id", F.md5("context").alias("context_md5"))
 
 
-@query("select doc_id, coalesce(regexp_matches(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \\t\\n\\r\\f]+', ' ', 'g')), 'không có thông tin|không tìm thấy|không đề cập|i don''t know|i do not know|not mentioned|no information|cannot answer|not found in'), false) as abstains from documents")
+# Fixed values, of the SQL side: what says that nothing was found.
+_NOTHING = "không có đủ thông tin|không đủ thông tin|không có thông tin|không tìm thấy thông tin|chưa có thông tin|không được đề cập|không đề cập|không được nhắc|don''t have enough information|do not have enough information|not enough information"
+
+
+@query(f"select doc_id, coalesce(regexp_matches(replace({dialect.NORMAL.format('text')}, '’', ''''), '{_NOTHING}'), false) as abstains from documents")
 def abstention(spark, d):
     return _docs(spark, d).select("doc_id", T.is_abstention(F.col("text")).alias("abstains"))

@@ -11,7 +11,8 @@ from taleweave.functions import text as T
 from taleweave.functions import vectors as V
 from taleweave.operators import chunking, evaluation, fusion, lexical, serving, vector
 from taleweave.operators.sequence import neighbours
-from taleweave.session import load
+from taleweave.plans import dialect
+from taleweave.session import cut, load, small_side
 
 QUERIES, SQL = {}, {}
 
@@ -34,17 +35,17 @@ def _asked(spark, d):
     return _docs(spark, d).filter("doc_id % 100 = 0")
 
 
-_F = f"translate(replace(lower({{0}}), 'ß', 'ss'), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+_F = dialect.FOLD
 
 
 def _bm25(index: str, words: str, asked: str, p: str = "") -> str:
     """CTEs: {p}s (query_id, id, score) over rows (id, t) of index and asked (id, t)."""
     w = words.format("t")
     return f"""
-{p}e as (select id, unnest({w}) term from ({index})), {p}p as (select id, term, count(*) tf from {p}e group by 1, 2), {p}d as (select id, count(*) dl from {p}e group by 1),
-{p}n as (select count(*) n, avg(dl) a from {p}d), {p}f as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) idf from {p}p, {p}n group by 1),
-{p}q as (select distinct id query_id, unnest({w}) term from ({asked})),
-{p}s as (select query_id, {p}p.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) score from {p}q join {p}p using (term) join {p}f using (term) join {p}d on {p}d.id = {p}p.id, {p}n group by 1, 2)"""
+{p}e as materialized (select id, unnest({w}) term from ({index})), {p}p as materialized (select id, term, count(*) tf from {p}e group by 1, 2), {p}d as (select id, count(*) dl from {p}e group by 1),
+{p}n as (select count(*) n, avg(dl) a from {p}d), {p}r as (select term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) idf from {p}p, {p}n group by 1), {p}f as (select term, case when idf < 0 then 0.25 * (select avg(idf) from {p}r) else idf end idf from {p}r),
+{p}q as (select id query_id, unnest({w}) term from ({asked})),
+{p}s as materialized (select query_id, {p}p.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) score from {p}q join {p}p using (term) join {p}f using (term) join {p}d on {p}d.id = {p}p.id, {p}n group by 1, 2)"""
 
 
 def _top(s: str, k: int, name: str) -> str:
@@ -157,24 +158,55 @@ def query_variations(spark, d):
     return fusion.variations(_asked(spark, d).filter("title is not null"), "doc_id", "title")
 
 
-@query()
+def _crc_table() -> str:
+    """The 256 remainders of the checksum, for SQL."""
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return str(out)
+
+
+_BYTES = "list_transform(range(1, strlen({0}) + 1), lambda i: cast(('0x' || substr(hex(encode({0})), cast(i * 2 - 1 as bigint), 2)) as bigint))"
+# (word, bucket) of every word of c and of the questions, counted per text, scaled in the product
+_HASHED = f"""tb as (select cast({_crc_table()} as bigint[]) t), cw as (select id, unnest({_WORDS.format('t')}) w from c), qw as (select id, unnest({_WORDS.format('t')}) w from ({_ASKED})),
+dw as materialized (select distinct w from (select w from cw union all select w from qw)),
+bk as materialized (select w, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), {_BYTES.format('w')}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 256 k from dw, tb),
+cv as (select id, k, count(*) n from cw join bk using (w) group by 1, 2), qv as (select id, k, count(*) n from qw join bk using (w) group by 1, 2),
+cn as (select id, sqrt(sum(n * n)) s from cv group by 1), qn as (select id, sqrt(sum(n * n)) s from qv group by 1),
+dt as (select qv.id query_id, cv.id, sum(qv.n * cv.n) d from qv join cv using (k) group by 1, 2),
+vs as (select q.id query_id, c.id, round(coalesce(d / (qn.s * cn.s), 0), 6) score from ({_ASKED}) q cross join c left join dt on dt.query_id = q.id and dt.id = c.id left join qn on qn.id = q.id left join cn on cn.id = c.id)"""
+_CHUNKS_500 = "select doc_id * 1000000 + i id, substr(text, i * 450 + 1, 500) t from (select doc_id, text, unnest(range(0, cast(greatest(ceil((length(text) - 50) / 450.0), 1) as bigint))) i from documents where length(text) > 0)"
+
+
+@query(f"""with c as materialized ({_CHUNKS_500}), {_bm25('select id, t from c', _WORDS, _ASKED, 'x')}, {_top('xs', 20, 'a')}, {_HASHED}, {_top('vs', 20, 'b')},
+na as (select query_id, id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end x from a window w as (partition by query_id)),
+nb as (select query_id, id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end y from b window w as (partition by query_id)),
+f as (select query_id, id, round(coalesce(x, 0) * 0.3 + coalesce(y, 0) * 0.7, 6) score from na full join nb using (query_id, id)),
+r as (select query_id, id, row_number() over (partition by query_id order by score desc, id) rank from f), p as (select query_id, cast(id // 1000000 as varchar) id, min(rank) best from r where rank <= 15 group by 1, 2)
+select query_id, id, best, rank from (select *, row_number() over (partition by query_id order by best, id) rank from p) where rank <= 5""")
 def hybrid_search(spark, d):
     """The flagship: BM25 and vector lists over the chunks of all documents, fused,
-    expanded to their documents, best five per question."""
-    docs = _docs(spark, d)
-    asked = _asked(spark, d)
-    c = chunking.fixed_windows(docs, "doc_id", "text", 500, 50).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), F.col("key").alias("parent_id"), "chunk")
+    expanded to their documents, best five per question. Chunks are cut once."""
+    asked = cut(_asked(spark, d).filter("title is not null").select("doc_id", "title"))
+    c = cut(chunking.fixed_windows(_docs(spark, d), "doc_id", "text", 500, 50).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), "chunk"))
     words = lexical.top_k(lexical.bm25_of_texts(c, "child_id", "chunk", lexical.query_terms(asked, "doc_id", "title")), 20)
-    near = vector.top_k(vector.hash_embeddings(asked.filter("title is not null"), "doc_id", "title"), vector.hash_embeddings(c, "child_id", "chunk"), 20, "id", "id", n_queries=asked.count(), n_corpus=c.count())
-    return fusion.first_parents(fusion.hybrid(words, near, 15), c.select("child_id", "parent_id"), 5)
+    near = vector.top_k(vector.hash_embeddings(asked, "doc_id", "title"), vector.hash_embeddings(c, "child_id", "chunk"), 20, "id", "id", n_queries=asked.count(), n_corpus=c.count())
+    # the id of a chunk carries that of its document, so no join is needed
+    hits = fusion.hybrid(words, near, 15)
+    return fusion.first_parents(hits, hits.select(F.col("id").alias("child_id"), F.floor(F.col("id") / 1000000).cast("long").alias("parent_id")).distinct(), 5)
 
 
-@query()
+_VARIED = "select query_id * 10 + i id, f[i + 1] t from (select query_id, f, unnest(range(0, len(f))) i from (select doc_id query_id, [title, title || '?', title || ' là gì?', 'Giải thích ' || title] f from documents where doc_id % 100 = 0 and title is not null))"
+
+
+@query(f"""with {_bm25(_TEXTS, _WORDS, _VARIED, 'x')}, {_top('xs', 20, 'a')}, u as (select query_id // 10 query_id, id, sum(1.0 / (60 + rank)) s from a group by 1, 2)
+select query_id, id, round(s, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(s, 6) desc, id) rank from u) where rank <= 5""")
 def multi_query_rrf(spark, d):
     v = fusion.variations(_asked(spark, d).filter("title is not null"), "doc_id", "title")
-    index = lexical.postings(_docs(spark, d), "doc_id", "text")
     v = v.withColumn("vid", F.col("query_id") * 10 + F.col("variation_no"))
-    s = lexical.top_k(lexical.bm25(index, lexical.query_terms(v, "vid", "query")), 20)
+    s = lexical.top_k(lexical.bm25_of_texts(_docs(spark, d), "doc_id", "text", lexical.query_terms(v, "vid", "query")), 20)
     lists = s.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), "id", "rank")
     return fusion.rrf([lists], 5)
 
@@ -236,9 +268,9 @@ def semantic_breakpoints(spark, d):
 
 
 @query(f"""
-with v as ({_V}), s as (select id, e, lead(e) over (partition by label order by id) f from v), m as (select id, f, [0.3 * a + 0.7 * b for a, b in []] z from s where false)
+with v as ({_V}), s as (select id, e, lead(e) over (partition by label order by id) f from v)
 select id as vec_id, round((0.3 * list_dot_product(e, f) + 0.7 * list_dot_product(f, f)) / sqrt(0.09 * list_dot_product(e, e) + 0.42 * list_dot_product(e, f) + 0.49 * list_dot_product(f, f)) / sqrt(list_dot_product(f, f)), 5) as closeness from s where f is not null
-""".replace(", m as (select id, f, [0.3 * a + 0.7 * b for a, b in []] z from s where false)", ""))
+""")
 def late_blend(spark, d):
     """The document vector (here the row's) blended .3 to .7 into that of the next row."""
     x = neighbours(_vectors(spark, d).filter("embedding is not null"), "label", ["vec_id"], F.floor(F.col("vec_id") / 1000), ["embedding"])
@@ -246,7 +278,13 @@ def late_blend(spark, d):
     return x.select("vec_id", F.round(V.cosine(V.blend(F.col("embedding"), F.col("f"), 0.3), F.col("f")), 5).alias("closeness"))
 
 
-@query()
+@query(f"""with recursive {_PAIRS}, {_top('p', 20, 't')}, po as materialized (select t.query_id, t.id, t.score, t.rank, v.e from t join v using (id)),
+sm as materialized (select a.query_id, a.id, b.id other, list_cosine_similarity(a.e, b.e) s from po a join po b using (query_id)),
+mm as materialized (select query_id, id, map_from_entries(list((other, s))) mp from sm group by 1, 2),
+g as (select query_id, 0 n, cast([] as bigint[]) got, cast(null as bigint) id from (select distinct query_id from po)
+  union all select query_id, n, list_append(got, id), id from (select g.query_id, g.n + 1 n, g.got, po.id, row_number() over (partition by g.query_id order by round(0.5 * po.score - 0.5 * coalesce(list_max(list_transform(g.got, lambda o: mp[o])), 0), 9) desc, po.rank) r
+    from g join po using (query_id) join mm m on m.query_id = g.query_id and m.id = po.id where g.n < 5 and not list_contains(g.got, po.id)) where r = 1)
+select query_id, id, cast(n as int) as rank from g where n > 0""")
 def mmr(spark, d):
     hits = vector.top_k(_vector_queries(spark, d), _vectors(spark, d), 20, "vec_id", "vec_id")
     pool = hits.join(_vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding"), "id").select("query_id", "id", "score", "embedding")
@@ -254,13 +292,13 @@ def mmr(spark, d):
 
 
 @query("""
-with q as (select vec_id query_id, label scope, vec_id * 60 t0, cast(embedding as double[]) v from embeddings where vec_id % 100 = 0), e as (select vec_id entry_id, label scope, vec_id * 60 t0, cast(embedding as double[]) v from embeddings where vec_id % 3 = 1),
+with q as (select vec_id query_id, label scope, vec_id * 60 t0, cast(embedding as double[]) v from embeddings where vec_id % 100 = 0), e as (select vec_id entry_id, label scope, vec_id * 60 + 30 t0, cast(embedding as double[]) v from embeddings),
 p as (select query_id, entry_id, round(list_cosine_similarity(q.v, e.v), 6) similarity from q join e using (scope) where e.t0 <= q.t0 and q.t0 - e.t0 <= 6000)
 select query_id, entry_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, entry_id) r from p where similarity >= 0.1) where r = 1
 """)
 def semantic_cache_lookup(spark, d):
     x = _vectors(spark, d).select("vec_id", F.col("label").alias("scope"), (F.col("vec_id") * 60).alias("at"), F.col("embedding").alias("vector"))
-    return serving.semantic_lookup(x.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), x.filter("vec_id % 3 = 1").withColumnRenamed("vec_id", "entry_id"), 0.1, 6000)
+    return serving.semantic_lookup(x.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), x.withColumn("at", F.col("at") + 30).withColumnRenamed("vec_id", "entry_id"), 0.1, 6000)
 
 
 # evaluation
@@ -295,16 +333,18 @@ def latency_percentiles(spark, d):
     return evaluation.percentiles(load(spark, d, "events"), "value", 50, 95, by=["event_type"])
 
 
-@query("""
-with n as (select doc_id, tale_key, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[ \\t\\n\\r\\f]+', ' ', 'g')) phrase, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \\t\\n\\r\\f]+', ' ', 'g')) t from documents),
-q as (select doc_id case_id, phrase, tale_key from n where doc_id % 100 = 0 and phrase is not null), h as (select case_id, phrase, max(coalesce(contains(t, phrase), false)::int) hit from q left join n using (tale_key) group by all)
-select case_id, round(avg(hit), 6) as evidence_recall from (select q.case_id, q.phrase, coalesce(max(contains(n.t, q.phrase)::int), 0) hit from q left join n on n.tale_key = q.tale_key group by 1, 2) group by 1
-""".replace(", h as (select case_id, phrase, max(coalesce(contains(t, phrase), false)::int) hit from q left join n using (tale_key) group by all)", ""))
+@query(f"""
+with {_TEXT_BM25}, {_top('xs', 5, 't')}, n as (select doc_id, {dialect.NORMAL.format("title")} phrase, {dialect.NORMAL.format("text")} x from documents),
+q as (select doc_id case_id, phrase from n where doc_id % 100 = 0 and phrase is not null), h as (select q.case_id, coalesce(max(contains(n.x, q.phrase)::int), 0) hit from q left join t on t.query_id = q.case_id left join n on n.doc_id = t.id group by 1)
+select case_id, round(hit, 6) as evidence_recall from h
+""")
 def evidence_recall(spark, d):
+    """Whether one of the five texts found for a title holds it word by word."""
     docs = _docs(spark, d)
-    q = docs.filter("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("case_id"), T.normal(F.col("title")).alias("phrase"), "tale_key")
-    found = q.select("case_id", "tale_key").join(docs.select("tale_key", T.normal(F.col("text")).alias("text")), "tale_key").select("case_id", "text")
-    return evaluation.evidence_recall(q.select("case_id", "phrase"), found)
+    q = _asked(spark, d).filter("title is not null").select(F.col("doc_id").alias("case_id"), T.normal(F.col("title")).alias("phrase"))
+    hits = bm25_topk(spark, d).select(F.col("query_id").alias("case_id"), "id")
+    found = docs.join(small_side(hits), docs.doc_id == hits.id).select("case_id", T.normal(F.col("text")).alias("text"))
+    return evaluation.evidence_recall(q, found)
 
 
 @query(f"""
@@ -345,10 +385,7 @@ select cast(threshold as double) as threshold, cast(sum((score >= threshold)::in
   cast(sum((score < threshold and ql = cl)::int) as bigint) as dropped_relevant, round(avg((score >= threshold)::int), 6) as kept_share from p, t group by 1
 """)
 def threshold_calibration(spark, d):
-    lab = _vectors(spark, d).select(F.col("vec_id").alias("id"), "label")
-    all_ = vector.within(_vector_queries(spark, d), _vectors(spark, d), -2.0, "vec_id", "vec_id")
-    x = all_.join(lab, "id").join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id").select("score", (F.col("label") == F.col("ql")).alias("relevant"))
-    return evaluation.calibration(x, [0.1, 0.2, 0.3, 0.4, 0.5])
+    return vector.calibration(_vector_queries(spark, d), _vectors(spark, d), "vec_id", "label", [0.1, 0.2, 0.3, 0.4, 0.5])
 
 
 @query("""

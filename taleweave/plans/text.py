@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
 from taleweave.operators import chunking, stories
+from taleweave.operators.sequence import neighbours
+from taleweave.plans import dialect
 from taleweave.session import load
 from taleweave.sources import loaders
 
-_FOLD = f"translate(replace(lower({{0}}), 'ß', 'ss'), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
-_STRIP = f"translate({{0}}, '{T.STRIP_FROM}', '{T.STRIP_TO}')"
-_NORMAL = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
-_KEY = "trim(regexp_replace(lower(trim(" + _STRIP + ")), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_FOLD, _STRIP, _NORMAL, _KEY = dialect.FOLD, dialect.STRIP, dialect.NORMAL, dialect.KEY
 QUERIES, SQL = {}, {}
 
 
@@ -154,8 +154,6 @@ s as (select record_id, length(x) n, sum(case when regexp_matches(trim(x), '^(Ph
 select record_id, cast(scene as bigint) as scene, count(*) as n_paragraphs, cast(sum(n) as bigint) as n_chars from s group by 1, 2
 """)
 def scene_split(spark, d):
-    from pyspark.sql import Window
-
     p = load(spark, d, "fairy_tales").filter("text is not null").select("record_id", F.posexplode(F.split("text", r"\r?\n[ \t]*\r?\n")).alias("i", "x"))
     head = F.trim("x").rlike("^(Phần|Hồi|Chapter|Part|Chapitre|Kapitel|Capítulo|Глава|第|บทที่|अध्याय) ?[0-9]*") & (F.length("x") < 80)
     s = p.withColumn("scene", F.sum(F.when(head, 1).otherwise(0)).over(Window.partitionBy("record_id").orderBy("i")))
@@ -167,10 +165,8 @@ with n as (select document_key, chunk_row_id, row_number() over (partition by do
 select chunk_row_id, cast(least(i // 5, case when n % 5 >= 3 or n < 5 then cast(ceil(n / 5) as bigint) - 1 else greatest(n // 5, 1) - 1 end) as int) as group_no from n
 """)
 def raptor_sequential_groups(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_key").orderBy("chunk_index", "chunk_row_id")
-    x = load(spark, d, "chunk_metadata").select("document_key", "chunk_row_id", (F.row_number().over(w) - 1).alias("i"))
+    c = load(spark, d, "chunk_metadata").select("document_key", "chunk_row_id", "chunk_index")
+    x = neighbours(c, "document_key", ["chunk_index", "chunk_row_id"], F.floor(F.col("chunk_index") / 64), ["chunk_index"]).select("document_key", "chunk_row_id", (F.col("nth") - 1).alias("i"))
     return chunking.sequential_groups(x, "document_key", "i", 5).select("chunk_row_id", "group_no")
 
 
@@ -220,18 +216,83 @@ def word_repeats(spark, d):
     return e.groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n > 3").groupBy("doc_id").agg(F.count("*").alias("n_repeated"), F.max("n").alias("most"))
 
 
-def _chunked(name: str, strategy: str, **options):
+def _chunked(name: str, strategy: str, sql: str | None = None, **options):
     def run(spark, d):
-        return chunking.chunk(load(spark, d, "fairy_tales"), "record_id", "text", strategy, **options)
+        x = chunking.chunk(load(spark, d, "fairy_tales"), "record_id", "text", strategy, **options)
+        return x.select("key", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
     run.__name__ = name
-    QUERIES[name] = run
-
-
+    query(sql)(run)
+
+
+# white space as Python strips it, in patterns of the SQL side
+_WS = r"[\s\x0b\x1c-\x1f\x85\xa0\p{{Z}}]"
+_STRIPPED = "regexp_replace(regexp_replace({0}, '^" + _WS + "+', ''), '" + _WS + "+$', '')"
+_WS = _WS.format()
+_BOUNDARY = f"""
+with recursive t as materialized (select record_id id, text, length(text) n from fairy_tales where length(text) > 0),
+w as (select id, 0 i, 0 s, 0 e from t where false union all select id, 0, 0, case when n <= 1000 then n else coalesce(900 + nullif(length(regexp_extract(substr(text, 901, 100), '(?s)^.*[.!?\n]')), 0), 1000) end from t
+  union all select id, i + 1, s2, case when s2 + 1000 >= n then n else coalesce(greatest(s2, s2 + 900) + nullif(length(regexp_extract(substr(text, s2 + 901, 100), '(?s)^.*[.!?\n]')), 0), s2 + 1000) end
+  from (select w.id, w.i, t.text, t.n, greatest(w.e - 200, w.s + 1) s2 from w join t using (id) where w.e < t.n)),
+p as (select id, i, {_STRIPPED.format("substr(text, s + 1, e - s)")} c from w join t using (id))
+select id as key, cast(row_number() over (partition by id order by i) - 1 as int) as chunk_index, md5(c) as chunk_md5 from p where c <> ''
+"""
+_PARAGRAPHS = f"""
+with recursive q as (select record_id id, {_STRIPPED.format("unnest(x)")} p, generate_subscripts(x, 1) k from (select record_id, string_split_regex(text, '\n{_WS}*\n') x from fairy_tales where text is not null)),
+r as (select id, k, p, unnest(range(0, cast(ceil(length(p) / 4000.0) as bigint))) j, cast(ceil(length(p) / 4000.0) as bigint) m from q where p <> ''),
+u as materialized (select id, substr(p, j * 4000 + 1, 4000) c, j < m - 1 hard, row_number() over (partition by id order by k, j) i from r),
+g as (select id, i, 1 as grp, case when hard then 1000000 else length(c) end acc from u where i = 1
+  union all select u.id, u.i, case when u.hard or g.acc + 2 + length(u.c) > 4000 then g.grp + 1 else g.grp end, case when u.hard then 1000000 when g.acc + 2 + length(u.c) > 4000 then length(u.c) else g.acc + 2 + length(u.c) end from g join u on u.id = g.id and u.i = g.i + 1)
+select id as key, cast(grp - 1 as int) as chunk_index, md5(string_agg(c, chr(10) || chr(10) order by i)) as chunk_md5 from g join u using (id, i) group by 1, grp
+"""
+_SENTENCES = f"""
+with recursive q as (select record_id id, unnest(x) p, generate_subscripts(x, 1) k from (select record_id, string_split(regexp_replace(text, '([.!?])({_WS})', '\1' || chr(1) || '\2', 'g'), chr(1)) x from fairy_tales where text is not null)),
+s as materialized (select id, c, length(c) n, row_number() over (partition by id order by k) i from (select id, k, regexp_replace(regexp_replace(p, '^{_WS}+', ''), '\n$', '') c from q) where c <> ''),
+a as materialized (select id, list_prepend(0, list(cum order by i)) cs, max(i) m from (select id, i, sum(n) over (partition by id order by i) cum from s) group by 1),
+g as (select id, cast(1 as bigint) i, cast(1 as bigint) f, cast(null as bigint) done from a
+  union all select g.id, g.i + 1, case when over_ then g.i + 1 - len(list_filter(cs[f : g.i], lambda x: cs[g.i + 1] - x <= 50))  else f end, case when over_ then f end
+  from (select *, cs[g.i + 2] - cs[f] > 500 over_ from g join a using (id) where g.i < m) g),
+e as (select id, done f, i - 1 l from g where done is not null union all select g.id, g.f, g.i from g join a on a.id = g.id and a.m = g.i),
+o as (select e.id, e.f, e.l, string_agg(c, ' ' order by i) c from e join s on s.id = e.id and s.i between e.f and e.l group by 1, 2, 3)
+select id as key, cast(row_number() over (partition by id order by l) - 1 as int) as chunk_index, md5(c) as chunk_md5 from o
+"""
 _chunked("recursive_chunks", "recursive", size=500, overlap=50)
-_chunked("boundary_windows", "windows", size=1000, overlap=200)
-_chunked("paragraph_units", "paragraphs", size=4000)
-_chunked("sentence_packs", "sentences", size=500, overlap=50)
+_chunked("boundary_windows", "windows", _BOUNDARY, size=1000, overlap=200)
+_chunked("paragraph_units", "paragraphs", _PARAGRAPHS, size=4000)
+_chunked("sentence_packs", "sentences", _SENTENCES, size=500, overlap=50)
+
+
+def _held(pieces, whole, size: int):
+    """(key, within, in_place, covered): no piece above its size, each standing in the text
+    where it says, and together all of its characters but white space."""
+    x = pieces.join(whole, "key").withColumn("end", F.col("start_index") + F.length("chunk"))
+    x = x.withColumn("ok", F.expr("substring(text, start_index + 1, length(chunk))") == F.col("chunk"))
+    w = Window.partitionBy("key").orderBy("start_index", "chunk_index")
+    before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("b", before).withColumn("gap", F.expr("substring(text, b + 1, greatest(start_index - b, 0))"))
+    g = x.groupBy("key").agg(F.max(F.length("chunk")).alias("most"), F.every("ok").alias("in_place"), F.every(F.trim(F.regexp_replace("gap", r"(?U)[\s\p{Z}]+", "")) == "").alias("no_gap"), F.max("end").alias("end"))
+    tail = F.trim(F.regexp_replace(F.expr("substring(text, end + 1)"), r"(?U)[\s\p{Z}]+", "")) == ""
+    return g.join(whole, "key").select("key", (F.col("most") <= size).alias("within"), "in_place", (F.col("no_gap") & tail).alias("covered"))
+
+
+@query(f"select record_id as key, true as within, true as in_place, true as covered from fairy_tales where {_STRIPPED.format('text')} <> ''")
+def recursive_check(spark, d):
+    """What holds of the recursive chunks of every text."""
+    t = load(spark, d, "fairy_tales").filter("text is not null").select(F.col("record_id").alias("key"), "text")
+    return _held(chunking.chunk(t, "key", "text", "recursive", size=500, overlap=50), t, 500)
+
+
+@query(f"select record_id as key, true as within, true as in_place, true as covered, true as named from fairy_tales where {_STRIPPED.format('text')} <> ''")
+def parent_child_check(spark, d):
+    """What holds of parents and children: both cover what they are cut from, and every
+    child has its parent."""
+    t = load(spark, d, "fairy_tales").filter("text is not null").select(F.col("record_id").alias("key"), "text")
+    parents, _ = chunking.parent_child(t, "key")
+    parents = parents.dropDuplicates(["parent_id"])
+    children = chunking.chunk(parents, "parent_id", "text", "recursive", size=250, overlap=25)
+    c = _held(children, parents.select(F.col("parent_id").alias("key"), "text"), 250).withColumnRenamed("key", "parent_id")
+    g = parents.join(c, "parent_id", "left").groupBy("key").agg(*[F.every(F.coalesce(x, F.lit(False))).alias(x) for x in ("within", "in_place", "covered")], F.every(F.length("parent_id") == 20).alias("named"))
+    return g
 
 
 @query()
@@ -259,8 +320,7 @@ def pattern_entities(spark, d):
     """Entities by patterns in the texts of all documents, with their positions."""
     from taleweave.functions import replies
 
-    e = _docs(spark, d).filter("text is not null").select("doc_id", F.explode(replies.entities("text")).alias("e"))
-    return e.select("doc_id", "e.text", "e.type", "e.start", "e.end")
+    return replies.entities(_docs(spark, d), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 @query("select doc_id, concat_ws(chr(10), case when title is not null then 'title: ' || title end, case when source is not null then 'source: ' || source end, case when lang is not null then 'lang: ' || lang end) as profile from documents")

@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows may be broadcast; beyond it the plain join stays.
-BROADCAST_ROWS = 50_000
+#: A side of at most so many rows and bytes may be broadcast; beyond it the plain join stays.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 _shipped: set[str] = set()
@@ -37,19 +37,25 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it is proven to have at most max_rows
-    rows (one bounded count), else unchanged, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """The side with a broadcast hint if it is proven to have at most max_rows rows and
+    BROADCAST_BYTES as text (one bounded count), else unchanged, so that the join shuffles."""
+    got = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got.n <= max_rows and got.b <= BROADCAST_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only
-    where it is unset (tests, a single machine) a temporary folder is taken."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where it is
+    unset, a single machine takes a temporary folder and a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         got = context._jsc.sc().getCheckpointDir()
-        folder = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="taleweave-")
+        if got.isDefined():
+            folder = got.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="taleweave-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
