@@ -150,13 +150,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 
 def group_matrix(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """(g, ids, ns, sketches, tokens): members of each group and the union of their tokens."""
-    whole = F.col("tokens") if exact else F.transform("tokens", lambda t, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(t.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    member = F.struct("id", "n", "sketch", whole.alias("tokens"))
-    x = _grouped(docs).groupBy("g").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    """(g, ids, ns, sketches, tokens): members of each group and the union of their
+    tokens. Tokens travel as they are and get the number of their band in the group."""
+    x = _grouped(docs).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "n", "sketch", "tokens"))).alias("m"))
+
+    def whole(t, i):
+        return F.shiftleft(i.cast("long"), 32).bitwiseOR(t.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    each = F.transform("m", lambda v: v["tokens"] if exact else F.transform(v["tokens"], whole))
     return x.select(
         F.col("m")[0]["id"].alias("g"), F.transform("m", lambda v: v["id"]).alias("ids"), F.transform("m", lambda v: v["n"]).alias("ns"),
-        F.transform("m", lambda v: v["sketch"]).alias("sketches"), F.array_distinct(F.flatten(F.transform("m", lambda v: v["tokens"]))).alias("tokens"),
+        F.transform("m", lambda v: v["sketch"]).alias("sketches"), F.array_distinct(F.flatten(each)).alias("tokens"),
     )
 
 
@@ -222,7 +226,8 @@ def near_duplicates(tales: DataFrame, exact: bool = False) -> tuple[DataFrame, D
     members = cut(sketched.select("id", "key").join(reps, "key").select("id", "rep", "copies").distinct())
     # every other row stands for itself, so that mostly nothing is left out
     docs = sketched.join(small_side(members.filter("id <> rep").select("id").distinct()), "id", "left_anti").drop("key")
-    matrix = cut(group_matrix(docs, exact))
+    # all that is read of the matrix comes from one exchange, which Spark writes once
+    matrix = group_matrix(docs, exact)
     side = matrix.select("g", "ids", "ns", "sketches")
     other = side.select(F.col("g").alias("h"), F.col("ids").alias("jds"), F.col("ns").alias("ms"), F.col("sketches").alias("tketches"))
     met = qualifying(matrix, 1 if exact else LEAST).join(side, "g").join(other, "h").select("ids", "ns", "sketches", "jds", "ms", "tketches")
