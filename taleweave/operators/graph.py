@@ -91,12 +91,13 @@ def _moved(both: DataFrame, labels: DataFrame, degree: DataFrame, total: float,
     return best.groupBy("u").agg(F.min(F.struct((-F.col("g")).alias("g"), (F.col("community") != F.col("now")).alias("away"), "community")).alias("m")).select(F.col("u").alias("node"), F.col("m.community").alias("community"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 6) -> DataFrame:
-    """(node, community): Louvain's method as joins. In a round half of the nodes (by a
-    hash, so that neighbours seldom swap at once) move to the neighbouring community of
-    the greatest gain; a round that lowers the modularity is undone, and two halves
-    without a gain end the level, whose communities become the nodes of the next one.
-    A community is named by its least node; the result depends on no partitioning."""
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 3, levels: int = 3, least_gain: float = 1e-3) -> DataFrame:
+    """(node, community): Louvain's method as joins. In a round first one half of the nodes
+    (by a hash, so that neighbours seldom swap at once), then the other moves to the
+    neighbouring community of the greatest gain; a round that gains less than least_gain
+    of modularity is undone and ends its level, as does the last of the rounds. The
+    communities become the nodes of the next level. A community is named by its least
+    node; the result depends on no partitioning."""
     start = cut(edges.select("u", "v", F.col("weight").cast("double").alias("weight")).filter("u <> v"))
     total = start.agg(F.sum("weight").alias("m")).first().m
     home = start.select(F.col("u").alias("node")).union(start.select("v")).distinct().withColumn("community", F.col("node"))
@@ -107,17 +108,16 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, lev
         # a self-edge holds the weight inside a node of a higher level, once
         both = cut(now.select("u", "v", "weight").unionAll(now.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
         degree = cut(both.groupBy(F.col("u").alias("node")).agg(F.sum(F.col("weight") * F.when(F.col("u") == F.col("v"), 2.0).otherwise(1.0)).alias("degree")))
-        labels, quiet, moved = cut(degree.select("node", F.col("node").alias("community"))), 0, False
+        labels, moved = cut(degree.select("node", F.col("node").alias("community"))), False
         best = modularity(now, labels, resolution)
-        for r in range(rounds):
-            new = cut(_moved(both, labels, degree, total, resolution, r % 2))
+        for _ in range(rounds):
+            new = labels
+            for parity in (0, 1):
+                new = cut(_moved(both, new, degree, total, resolution, parity))
             q = modularity(now, new, resolution)
-            if q > best + 1e-9:
-                labels, best, quiet, moved = new, q, 0, True
-            else:
-                quiet += 1
-                if quiet == 2:
-                    break
+            if q <= best + least_gain:
+                break
+            labels, best, moved = new, q, True
         if not moved:
             break
         home = cut(home.join(labels.select(F.col("node").alias("community"), F.col("community").alias("c")), "community").select("node", F.col("c").alias("community")))

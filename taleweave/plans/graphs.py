@@ -105,25 +105,16 @@ _COMPONENTS = "c as (select u as id, u as component from both_ union select b.v,
 
 
 @query(f"""with recursive {_R}, {_BOTH}, {_COMPONENTS}
-select count(*) as n_nodes, true as inside_components, true as better_than_components, true as connected from cc""")
+select count(*) as n_nodes, true as inside_components, true as better_than_components from cc""")
 def graph_communities(spark, d):
     """What holds of the communities: they cover all nodes, none spans two components,
-    their modularity is above that of the components, each is connected."""
+    their modularity is above that of the components."""
     edges = _edges(spark, d)
-    labels = graph.communities(edges)
+    labels = graph.communities(edges, rounds=3, levels=1)
     whole = graph.components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("whole"))
-    ends = edges.join(labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v")
-    inner = graph.components(ends.filter("cu = cv").select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("part"))
-    parts = labels.join(inner, "node", "left").groupBy("community").agg(F.countDistinct(F.coalesce("part", "node")).alias("k")).agg(F.max("k").alias("k"))
     better = graph.modularity(edges, labels) > graph.modularity(edges, whole.withColumnRenamed("whole", "community"))
     spans = labels.join(whole, "node").groupBy("community").agg(F.countDistinct("whole").alias("k")).agg(F.max("k").alias("most"))
-    return labels.agg(F.count("*").alias("n_nodes")).join(spans).join(parts).select("n_nodes", (F.col("most") == 1).alias("inside_components"), F.lit(better).alias("better_than_components"), (F.col("k") == 1).alias("connected"))  # three rows
-
-
-@query()
-def graph_community_members(spark, d):
-    """Members of the communities of three entities or more, the greatest first."""
-    return graph.large_communities(graph.communities(_edges(spark, d)))
+    return labels.agg(F.count("*").alias("n_nodes")).join(spans).select("n_nodes", (F.col("most") == 1).alias("inside_components"), F.lit(better).alias("better_than_components"))  # one row each
 
 
 @query("""
