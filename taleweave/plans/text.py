@@ -246,7 +246,7 @@ g as (select id, i, 1 as grp, case when hard then 1000000 else length(c) end acc
 select id as key, cast(grp - 1 as int) as chunk_index, md5(string_agg(c, chr(10) || chr(10) order by i)) as chunk_md5 from g join u using (id, i) group by 1, grp
 """
 _SENTENCES = f"""
-with recursive q as (select record_id id, unnest(x) p, generate_subscripts(x, 1) k from (select record_id, string_split(regexp_replace(text, '([.!?])({_WS})', '\1' || chr(1) || '\2', 'g'), chr(1)) x from fairy_tales where text is not null)),
+with recursive q as (select record_id id, unnest(x) p, generate_subscripts(x, 1) k from (select record_id, string_split(regexp_replace(text, '([.!?])({_WS})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) x from fairy_tales where text is not null)),
 s as materialized (select id, c, length(c) n, row_number() over (partition by id order by k) i from (select id, k, regexp_replace(regexp_replace(p, '^{_WS}+', ''), '\n$', '') c from q) where c <> ''),
 a as materialized (select id, list_prepend(0, list(cum order by i)) cs, max(i) m from (select id, i, sum(n) over (partition by id order by i) cum from s) group by 1),
 g as (select id, cast(1 as bigint) i, cast(1 as bigint) f, cast(null as bigint) done from a
