@@ -47,7 +47,8 @@ STRIP_FROM, STRIP_TO = "".join(_STRIPPED), "".join(_STRIPPED.values())
 COMBINING = _class(lambda ch: unicodedata.combining(ch) != 0)
 VIETNAMESE_LETTERS = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 WORD = r"[\p{L}\p{N}_]+"
-SPACE = r"[ \t\n\r\f]+"
+#: White space of any script.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def once(value: Column, use) -> Column:
@@ -95,6 +96,11 @@ def match_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(strip_diacritics(c))), r"[^\p{L}\p{N}]+", " "))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normal(c: Column) -> Column:
     """Composed, case folded, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(lower_folded(composed(c)), SPACE, " "))
@@ -104,7 +110,7 @@ def cleaned(c: Column) -> Column:
     """Line ends unified, runs of spaces and of blank lines reduced, trimmed."""
     x = F.regexp_replace(c, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
 def scanned(c: Column) -> Column:
@@ -114,7 +120,7 @@ def scanned(c: Column) -> Column:
     x = F.translate(x, " ​﻿", " ")
     x = F.regexp_replace(x, r"(\p{L})-\n(\p{Ll})", "$1$2")
     x = F.regexp_replace(x, r"[ \t]*\n[ \t]*", "\n")
-    return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
 def words(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.functions import text as T
+
 LOWER_IS_BETTER = ("latency_p50", "latency_p95", "false_abstention_rate", "llm_calls", "errors")
 
 
@@ -82,3 +84,33 @@ def calibration(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     return scored.select("score", "relevant", t).groupBy("threshold").agg(
         F.sum(keep.cast("int")).alias("kept"), F.sum(F.when(keep, rel).otherwise(0)).alias("kept_relevant"), F.sum(F.when(~keep, rel).otherwise(0)).alias("dropped_relevant"), F.round(F.avg(keep.cast("int")), 6).alias("kept_share")
     )
+
+
+def answer_cases(answers: DataFrame) -> DataFrame:
+    """Answers (case_id, question, answerable, reference, answer, tags, calls, latency_ms,
+    error) judged: abstained, cited, answer_recall. A null answer is an empty one; recall
+    and citation are null for cases that have no answer."""
+    a = F.coalesce("answer", F.lit(""))
+    own = F.col("answerable")
+    return answers.select(
+        "*", T.is_abstention(a).alias("abstained"), F.when(own, a.rlike(r"\[S\d+\]")).alias("cited"), F.when(own, token_recall(T.words(a), T.words(F.col("reference")))).alias("answer_recall")
+    )
+
+
+def answer_summary(cases: DataFrame) -> DataFrame:
+    """One row: numbers of cases, mean recall, citation and false abstention rate of the
+    answerable ones, abstention accuracy of the others, calls, latencies and errors."""
+    own, other = F.col("answerable"), ~F.col("answerable")
+    rate = lambda c, of: F.round(F.avg(F.when(of, c.cast("double"))), 6)
+    return cases.agg(
+        F.count("*").alias("cases"), F.count(F.when(own, 1)).alias("answerable_cases"), F.count(F.when(other, 1)).alias("unanswerable_cases"),
+        F.round(F.avg(F.when(own, F.col("answer_recall"))), 6).alias("answer_recall"), rate(F.col("cited"), own).alias("citation_rate"), rate(F.col("abstained"), own).alias("false_abstention_rate"),
+        rate(F.col("abstained"), other).alias("abstention_accuracy"), F.round(F.avg("calls"), 6).alias("llm_calls_per_query"),
+        *[F.round(F.coalesce(F.percentile("latency_ms", F.lit(q / 100)), F.lit(0.0)), 6).alias(f"latency_p{q}_ms") for q in (50, 95)], F.count("error").alias("errors"),
+    )
+
+
+def answer_by_tag(cases: DataFrame) -> DataFrame:
+    """(tag, n, answer_recall, false_abstention_rate) of the answerable cases."""
+    x = cases.filter("answerable").select(F.explode("tags").alias("tag"), "answer_recall", F.col("abstained").cast("double").alias("abstained"))
+    return x.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("answer_recall"), 6).alias("answer_recall"), F.round(F.avg("abstained"), 6).alias("false_abstention_rate"))

@@ -219,3 +219,74 @@ def enhanced(chunks: DataFrame, factory: Factory) -> DataFrame:
     names = F.regexp_extract_all("chunk", F.lit(r"\p{Lu}[\p{L}'’]+(?: \p{Lu}[\p{L}'’]+){1,3}"), F.lit(0))
     none = F.array().cast("array<string>")
     return j.select("key", "chunk", F.coalesce("m.characters", F.sort_array(F.array_distinct(names))).alias("characters"), F.coalesce("m.locations", none).alias("locations"), "m.time_period", "m.topic", "m.sentiment")
+
+
+# ------------------------------------------------------------------ questions
+
+
+def rewritten(questions: DataFrame, factory: Factory, mode: str = "auto") -> DataFrame:
+    """Questions (query_id, question) with asked, the text as it was: rewritten for the
+    search always, never, or (auto) only where they have no accents; a missing reply
+    leaves the question."""
+    if mode not in ("auto", "always", "never"):
+        raise ValueError(f"unknown mode: {mode}")
+    x = questions.withColumn("asked", F.col("question"))
+    if mode == "never":
+        return x
+    gate = F.lit(True) if mode == "always" else ~T.has_diacritics(F.col("question"))
+    open_ = x.filter(F.coalesce(gate, F.lit(False))).withColumn("question", F.coalesce(_ask(F.concat(F.lit("Rewrite for a search:\n"), "question"), factory), "question"))
+    return open_.unionByName(x.filter(~F.coalesce(gate, F.lit(False))))
+
+
+def model_variations(questions: DataFrame, factory: Factory, n: int = 3) -> DataFrame:
+    """(query_id, variation_no, query): the question and up to n lines of a reply that are
+    not the question; templates where no reply comes."""
+    x = cut(questions.withColumn("ls", models.lines(_ask(F.concat(F.lit("Other wordings, one a line:\n"), "question"), factory))))
+    x = x.withColumn("ls", F.slice(F.filter("ls", lambda v: v != F.trim("question")), 1, n))
+    own = x.filter(F.size("ls") > 0).select("query_id", F.posexplode(F.concat(F.array("question"), "ls")).alias("variation_no", "query"))
+    return own.unionByName(fusion.variations(x.filter(F.size("ls") == 0), "query_id", "question", n))
+
+
+def hype_index(chunks: DataFrame, factory: Factory, n: int = 3, head: int = 1000) -> DataFrame:
+    """(prompt_id, id, prompt): up to n questions that each chunk (id, text) could answer."""
+    ls = F.slice(models.lines(_ask(F.concat(F.lit("Questions this answers, one a line:\n"), F.substring("text", 1, head)), factory)), 1, n)
+    x = cut(chunks.select("id", F.posexplode(ls).alias("pos", "prompt")))
+    return x.select(F.xxhash64("id", "pos").alias("prompt_id"), "id", "prompt")
+
+
+def hype_search(questions: DataFrame, index: DataFrame, k: int, pool: int = 20) -> DataFrame:
+    """(query_id, id, rank): chunks by their question nearest to each question, every
+    chunk once."""
+    near = vector.top_k(vector.hash_embeddings(questions, "query_id", "question"), vector.hash_embeddings(index, "prompt_id", "prompt"), pool * k, "id", "id")
+    best = near.join(index.select(F.col("prompt_id").alias("id"), F.col("id").alias("chunk")), "id").groupBy("query_id", "chunk").agg(F.min("rank").alias("best"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "chunk"))).filter(F.col("rank") <= k).select("query_id", F.col("chunk").alias("id"), "rank")
+
+
+def first_that_finds(questions: DataFrame, strategies: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Hits of the first strategy that finds any for a question: the later ones are asked
+    only about the questions without a hit."""
+    out, left = None, questions
+    for s in strategies:
+        hits = cut(s(left))
+        out = hits if out is None else out.unionByName(hits, allowMissingColumns=True)
+        left = left.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return out
+
+
+def poor(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """The questions without a passage left after grading: those that need a fallback."""
+    return questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def self_checked(answered: DataFrame, hits: DataFrame, corpus: DataFrame, factory: Factory, critic: Factory, max_rounds: int = 2) -> DataFrame:
+    """(query_id, answer, grounded, round): answers that the critic does not find grounded
+    are asked again, at most max_rounds times; the last answer of a question counts."""
+
+    def attempt(now: DataFrame, i: int):
+        got = cut(checked(answers(now.select("query_id", "question"), hits, corpus, factory), critic).withColumn("round", F.lit(i)))
+        again = now.join(got.filter("not grounded and context is not null").select("query_id"), "query_id", "left_semi")
+        return got.select("query_id", "answer", "grounded", "round"), again
+
+    every = models.retried(answered.select("query_id", "question"), attempt, max_rounds)
+    w = Window.partitionBy("query_id").orderBy(F.desc("round"))
+    return every.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

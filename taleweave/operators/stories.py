@@ -66,3 +66,37 @@ def capitalised_names(text: Column, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L}'’]+(?: \p{Lu}[\p{L}'’]+){0,3}"), F.lit(0))
     out = F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))
     return out if limit is None else F.slice(out, 1, limit)
+
+
+def found_labels(stories_: DataFrame, query: Column | str, catalog: dict[str, list[str]], score: Column, min_score: float = 0.0) -> DataFrame:
+    """Adds matched (labels of both the query and the story text) and boosted: the score,
+    with 2 and the number of matches if there are any; keeps what is above min_score."""
+    q = F.lit(query) if isinstance(query, str) else query
+    own = F.array_intersect(labels(F.col("text"), catalog), labels(q, catalog))
+    x = stories_.withColumn("matched", own)
+    return x.withColumn("boosted", score + F.when(F.size("matched") > 0, 2.0 + F.size("matched")).otherwise(0.0)).filter(F.col("boosted") > min_score)
+
+
+# Words before the name of a place, without accents, and signs of a Vietnamese text.
+PLACES = "nui|song|bien|hang|lang|kinh do|vuong quoc"
+VIETNAMESE_TERMS = ("thach", "sanh", "tam", "cam", "vua", "cong chua")
+VIETNAMESE_SIGNS = "àáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữự"
+
+
+def location_phrases(text: Column) -> Column:
+    """Distinct phrases of a word for a place and the next word, without accents, in the
+    order of their first place."""
+    return F.array_distinct(F.regexp_extract_all(T.strip_diacritics(text), F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{PLACES})\s+[a-zA-Z]+"), F.lit(0)))
+
+
+def built_language(text: Column) -> Column:
+    """vi for a text with a Vietnamese letter or one of a few terms, else unknown."""
+    low = F.lower(text)
+    return F.when(low.rlike(f"[{VIETNAMESE_SIGNS}]") | _any(low, list(VIETNAMESE_TERMS)), "vi").otherwise("unknown")
+
+
+def built_records(texts: DataFrame, motifs: dict[str, list[str]]) -> DataFrame:
+    """(story_id, title, text, motifs, language, word_count) of stories (title, text): the
+    text cleaned and composed, the id a hash of both."""
+    x = texts.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce(T.cleaned(T.composed(F.col("text"))), F.lit("")).alias("text"))
+    return x.select(F.substring(F.sha1(F.concat_ws("\n", "title", "text")), 1, 16).alias("story_id"), "title", "text", labels(F.col("text"), motifs).alias("motifs"), built_language(F.col("text")).alias("language"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+")).alias("word_count"))

@@ -19,4 +19,4 @@ _MARKS = r"[\x{{0300}}-\x{{036f}}\x{{093c}}\x{{094d}}\x{{0951}}-\x{{0954}}\x{{0e
 _WIDE = "array_to_string(list_transform(string_split(replace({0}, chr(3635), chr(3661) || chr(3634)), ''), lambda c: case when unicode(c) between 65281 and 65374 then chr(cast(unicode(c) - 65248 as int)) else c end), '')"
 STRIP = "regexp_replace(" + _PLAIN % ("translate(" + _WIDE + ", 'đĐ', 'dD')") + f", '{_MARKS}', '', 'g')"
 KEY = f"trim(regexp_replace(lower(trim({STRIP})), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g'))"
-NORMAL = "trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\p{{Z}}]+', ' ', 'g'))"

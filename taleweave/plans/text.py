@@ -55,7 +55,7 @@ def detect_language(spark, d):
 
 @query("""
 with a as (select record_id, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g') x from fairy_tales)
-select record_id, md5(trim(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'))) as cleaned_md5 from a
+select record_id, md5(regexp_replace(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'), '^[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\p{Z}]+$', '', 'g')) as cleaned_md5 from a
 """)
 def clean_text(spark, d):
     return load(spark, d, "fairy_tales").select("record_id", F.md5(T.cleaned(F.col("text"))).alias("cleaned_md5"))
@@ -179,10 +179,10 @@ def adaptive_route(spark, d):
 
 
 @query("""
-select c_custkey as key, concat_ws(chr(10), case when trim(c_name) <> '' then 'c_name: ' || c_name end, case when trim(c_mktsegment) <> '' then 'c_mktsegment: ' || c_mktsegment end) as text from customer
+select c_custkey as key, concat_ws(chr(10), case when trim(c_name) <> '' then 'c_name: ' || c_name end, 'c_nationkey: ' || c_nationkey, case when trim(c_mktsegment) <> '' then 'c_mktsegment: ' || c_mktsegment end) as text from customer
 """)
 def csv_row_documents(spark, d):
-    return loaders.row_documents(load(spark, d, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
+    return loaders.row_documents(load(spark, d, "customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
 
 
 @query("select event_id, list_sort(json_keys(props))[1] as first_key, len(json_keys(props)) as n_keys from events")

@@ -34,8 +34,16 @@ def test_raptor_levels(spark):
     embed = lambda df: df.select("node_id", F.array(F.length("text").cast("float")).alias("embedding"))
     t = flows.raptor(leaves, script(lambda p: "sum " + str(len(p))), embed)
     n = {r.level: r["count"] for r in t.groupBy("level").count().collect()}
-    assert n[0] == leaves.count() and n[1] == -(-n[0] // 5) or n[1] == n[0] // 5
-    assert t.filter("level = 1").agg(F.sum(F.size("children"))).first()[0] == n[0]
+    assert n[0] == leaves.count() and 1 <= n[1] <= n[0] // 2
+    assert all(len(r.children) > 1 for r in t.filter("level > 0").collect())
+
+
+def test_like_chunks_meet(spark):
+    rows = [(1, i, ("fox bell river " if i % 2 else "bread oven flour ") * 3 + "x" * (i // 4)) for i in range(8)]
+    leaves = spark.createDataFrame(rows, "key long, chunk_index int, chunk string")
+    embed = lambda df: df.select("node_id", F.array(F.col("text").contains("fox").cast("double"), F.lit(0.0)).alias("embedding"))
+    t = flows.raptor(leaves, script(lambda p: p.replace("Summarise:\n", "")), embed, levels=1).filter("level = 1").collect()
+    assert t and all(("fox" in r.text) != ("bread" in r.text) for r in t)
 
 
 def test_cards_are_reused(spark):
@@ -85,3 +93,34 @@ def test_compression_and_metadata(spark):
 def test_hash_embeddings(spark):
     r = vector.hash_embeddings(spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string"), "id").orderBy("id").collect()
     assert abs(sum(x * x for x in r[0].embedding) - 1) < 1e-6 and sum(r[1].embedding) == 0 and len(r[2].embedding) == 256
+
+
+def test_rewrite_only_without_accents(spark):
+    q = spark.createDataFrame([(1, "Thạch Sanh là ai"), (2, "thach sanh la ai"), (3, None)], "query_id long, question string")
+    got = {r.query_id: (r.question, r.asked) for r in flows.rewritten(q, script(lambda p: "new")).collect()}
+    assert got == {1: ("Thạch Sanh là ai", "Thạch Sanh là ai"), 2: ("new", "thach sanh la ai"), 3: (None, None)}
+    assert {r.question for r in flows.rewritten(q.filter("query_id < 3"), script(lambda p: "new"), "always").collect()} == {"new"}
+
+
+def test_questions_of_chunks(spark):
+    c = spark.createDataFrame([(1, "the fox found a bell"), (2, "bread for sale")], "id long, text string")
+    index = flows.hype_index(c, script(lambda p: "who found the bell\nwhat did the fox do" if "fox" in p else "1. where is bread sold"))
+    q = spark.createDataFrame([(7, "where is bread sold"), (8, "who found the bell")], "query_id long, question string")
+    assert {(r.query_id, r.id) for r in flows.hype_search(q, index, 1).collect()} == {(7, 2), (8, 1)}
+
+
+def test_variations_and_strategies(spark):
+    q = spark.createDataFrame([(1, "fox"), (2, "bell")], "query_id long, question string")
+    v = flows.model_variations(q, script(lambda p: "fox\n- red fox\n- vixen" if p.endswith("fox") else ""), 2).collect()
+    assert [r.query for r in v if r.query_id == 1] == ["fox", "red fox", "vixen"] and any(r.query == "bell?" for r in v)
+    first, second = (lambda d, k=k: d.filter(f"query_id >= {k}").select("query_id", F.lit(k).alias("id"), F.lit(1).alias("rank")) for k in (2, 1))
+    assert {(r.query_id, r.id) for r in flows.first_that_finds(q, [first, second]).collect()} == {(2, 2), (1, 1)}
+    assert [r.query_id for r in flows.poor(q, first(q)).collect()] == [1]
+
+
+def test_answers_until_grounded(spark):
+    corpus = spark.createDataFrame([(10, "the fox found a bell")], "id long, text string")
+    q = spark.createDataFrame([(1, "who found the bell"), (2, "none")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, 10, 1)], "query_id long, id long, rank int")
+    got = {r.query_id: r for r in flows.self_checked(q, hits, corpus, script(lambda p: "The fox [S1]"), script(lambda p: '{"grounded": false}'), 1).collect()}
+    assert got[1].round == 1 and not got[1].grounded and got[2].answer == flows.NO_CONTEXT and got[2].round == 0

@@ -300,8 +300,8 @@ def test_pattern_entities(spark):
     got = {(a, b) for a, b, s, e in R.pattern_entities(text)}
     assert {("Trần Văn An", "PERSON"), ("Phù Đổng", "LOCATION"), ("Lý Thường Kiệt", "NAME")} <= got
     assert all(text[s:e] == a for a, _, s, e in R.pattern_entities(text))
-    r = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(R.entities("t").alias("e")).collect()
-    assert len(r[0].e) == len(got) and r[1].e is None and r[2].e == []
+    r = R.entities(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string").withColumn("text", F.lit(0)), "id", "t").collect()
+    assert {(x.text, x.type) for x in r} == got and {x.key for x in r} == {1}
 
 
 def test_csv_and_own_readers(spark, tmp_path):
