@@ -105,16 +105,16 @@ _COMPONENTS = "c as (select u as id, u as component from both_ union select b.v,
 
 
 @query(f"""with recursive {_R}, {_BOTH}, {_COMPONENTS}
-select count(*) as n_nodes, true as inside_components, true as better_than_components from cc""")
+select count(*) as n_nodes, true as inside_components, true as better_than_single from cc""")
 def graph_communities(spark, d):
     """What holds of the communities: they cover all nodes, none spans two components,
-    their modularity is above that of the components."""
+    their modularity is above that of single nodes."""
     edges = _edges(spark, d)
     labels = graph.communities(edges, rounds=3, levels=1)
     whole = graph.components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("whole"))
-    better = graph.modularity(edges, labels) > graph.modularity(edges, whole.withColumnRenamed("whole", "community"))
+    better = graph.modularity(edges, labels) > graph.modularity(edges, labels.withColumn("community", F.col("node")))
     spans = labels.join(whole, "node").groupBy("community").agg(F.countDistinct("whole").alias("k")).agg(F.max("k").alias("most"))
-    return labels.agg(F.count("*").alias("n_nodes")).join(spans).select("n_nodes", (F.col("most") == 1).alias("inside_components"), F.lit(better).alias("better_than_components"))  # one row each
+    return labels.agg(F.count("*").alias("n_nodes")).join(spans).select("n_nodes", (F.col("most") == 1).alias("inside_components"), F.lit(better).alias("better_than_single"))  # one row each
 
 
 @query("""

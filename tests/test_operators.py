@@ -2,6 +2,9 @@
 
 import io
 import json
+import math
+import random
+import unicodedata
 import zipfile
 
 import numpy as np
@@ -313,3 +316,104 @@ def test_csv_and_own_readers(spark, tmp_path):
     pages = loaders.extracted(loaded, "pdf", lambda c: [(i, t) for i, t in enumerate(c.decode().split("\f"), 1)])
     assert [(r.position, r.text) for r in pages.orderBy("position").collect()] == [(1, "one"), (2, "two")]
     assert loaders.extracted(loaded, "pdf", lambda c: 1 / 0).first().text is None
+
+
+def test_decomposed_text_is_folded(spark):
+    from taleweave.functions import text as T
+
+    rows = ["Thạch Sanh", unicodedata.normalize("NFD", "Thạch Sanh"), "šćāй", "", None, "ＡＢ２", "\u0e01\u0e48"]
+    x = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = x.select(T.fold(F.col("t")).alias("f"), T.has_diacritics(F.col("t")).alias("d"), T.strip_diacritics(F.col("t")).alias("s"), T.normal(F.col("t")).alias("n")).collect()
+    assert [r.f for r in got] == ["thach sanh", "thach sanh", "scaи", "", None, "ａｂ２", "\u0e01"]
+    assert [r.d for r in got] == [True, True, True, False, None, False, True]
+    assert [r.s for r in got[:3]] == ["Thach Sanh", "Thach Sanh", "scaи"] and got[5].s == "AB2"
+    assert got[1].n == "thạch sanh" and got[4].n is None
+
+
+def test_abstention_takes_either_apostrophe(spark):
+    from taleweave.functions import text as T
+
+    x = spark.createDataFrame([("I don’t have enough information.",), ("Not found in the river.",), ("Chưa có thông tin",), (None,)], "t string")
+    assert [r[0] for r in x.select(T.is_abstention(F.col("t"))).collect()] == [True, False, True, False]
+
+
+def test_frequent_terms_have_the_floor(spark):
+    from taleweave.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a d d"), (4, "")], "id long, text string")
+    index = lexical.Index(docs, "id")
+    idf = {r.term: r.idf for r in index.idf.collect()}
+    raw = {"a": math.log(0.5 / 3.5), **{t: math.log(2.5 / 1.5) for t in "bcd"}}
+    assert idf["a"] == pytest.approx(0.25 * sum(raw.values()) / 4) and idf["b"] == pytest.approx(raw["b"])
+    q = spark.createDataFrame([(7, "d"), (7, "d"), (7, "zzz")], "query_id long, term string")
+    once = index.search(q.limit(1)).first().score
+    assert index.search(q).first().score == pytest.approx(2 * once)
+    assert lexical.bm25(lexical.postings(docs, "id"), q).first().score == pytest.approx(2 * once)
+
+
+def test_hot_conversations_and_limits(spark):
+    t = spark.createDataFrame([(1, i, f"t{i}") for i in range(25)] + [(2, 3, "x")], "c long, n long, text string")
+    got = {(r.c, r.n): r.context for r in serving.previous_turns(t, "c", "n", "text", 3, span=4).collect()}
+    assert got[1, 0] == "" and got[1, 5] == "t2\nt3\nt4" and got[1, 8] == "t5\nt6\nt7" and got[2, 3] == "" and len(got) == 26
+    rng = random.Random(4)
+    times, rows = 0.0, []
+    for i in range(400):
+        times += rng.choice([0.5, 1, 3, 30])
+        rows.append((1 if i % 3 else 2, i, float(times)))
+    e = spark.createDataFrame(rows, "k long, i long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    got = {r.id: r.admitted for r in serving.admitted(e, "k", "ts", "i", 10.0, 2).collect()}
+    held = {1: [], 2: []}
+    for k, i, s in rows:
+        held[k] = [h for h in held[k] if h > s - 10]
+        ok = len(held[k]) < 2
+        assert got[i] == ok
+        held[k] += [s] if ok else []
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark, monkeypatch):
+    from taleweave import session
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = Context
+
+    class Unset:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return type("O", (), {"isDefined": staticmethod(lambda: False)})
+
+    Context._jsc = Unset()
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session)
+
+
+def test_graph_updates(spark):
+    from taleweave.operators import graphcontext
+
+    kind = "graph_id long, document_key string, document_name string, extractor string, entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,target:string,description:string>>"
+    rows = [(1, "a", "A", "m", [("Fox", "person", "red"), ("Bell", None, None)], [("fox", "Bell", "found"), ("Fox", "fox", "self"), ("Fox", None, "x")]), (2, "b", "B", None, [("FOX", "Other", "sly"), (" ", None, None)], None), (3, None, None, "m", None, None)]
+    g = spark.createDataFrame(rows, kind)
+    e, r = graphcontext.entities_of(g), graphcontext.relations_of(g)
+    p = {x.key: x for x in graphcontext.profiles(e, r).collect()}
+    assert p["fox"].profile == "Fox (person; A, B)\n  A: red\n  B: sly\n  - Fox — Bell: A: found" and p["bell"].content == "Bell (other; A)"
+    only = graphcontext.profiles(e, r, allowed=spark.createDataFrame([("b",)], "document_key string")).collect()
+    assert [(x.key, x.profile) for x in only] == [("fox", "Fox (person; B)\n  sly")]
+    q = spark.createDataFrame([(1, "Where is the fóx?"), (2, "foxes"), (3, None), (4, "")], "query_id long, question string")
+    assert {tuple(x) for x in graphcontext.named_in(q, graphcontext.merged(e)).collect()} == {(1, "fox")}
+    new = g.filter("graph_id = 1").withColumn("graph_id", F.lit(9).cast("long"))
+    assert sorted(x.graph_id for x in graphcontext.applied(g, new, F.col("extractor").isNull()).collect()) == [3, 9]
+    with pytest.raises(ValueError):
+        graphcontext.subgraph(q, r, -1)
+    assert graphcontext.profiles(e.limit(0), r.limit(0)).count() == 0
+
+
+def test_large_communities_are_numbered(spark):
+    labels = spark.createDataFrame([(f"n{i}", "a" if i < 4 else "b" if i < 7 else "c") for i in range(8)], "node string, community string")
+    got = {(r.community, r.size, r.nth) for r in graph.large_communities(labels).collect()}
+    assert got == {("a", 4, 1), ("b", 3, 2)}

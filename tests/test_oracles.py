@@ -11,5 +11,6 @@ def test_query_equals_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
 def test_query_runs(spark, data, name):
+    """Queries without SQL: what holds of their rows is tested elsewhere, here that they have some."""
     df = core.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
