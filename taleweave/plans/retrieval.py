@@ -12,7 +12,7 @@ from taleweave.functions import vectors as V
 from taleweave.operators import chunking, evaluation, fusion, lexical, serving, vector
 from taleweave.operators.sequence import neighbours
 from taleweave.plans import dialect
-from taleweave.session import cut, load, small_side
+from taleweave.session import cut, load, small_side, spread
 
 QUERIES, SQL = {}, {}
 
@@ -61,7 +61,7 @@ _TITLE_BM25 = _bm25(_TITLES, _WORDS, _ASKED, "y")
 
 
 def _scores(spark, d, column: str, analyzer=T.words):
-    return lexical.bm25_of_texts(_docs(spark, d), "doc_id", column, lexical.query_terms(_asked(spark, d), "doc_id", "title", analyzer), analyzer)
+    return lexical.bm25_of_texts(spread(_docs(spark, d)), "doc_id", column, lexical.query_terms(_asked(spark, d), "doc_id", "title", analyzer), analyzer)
 
 
 @query(f"with {_TEXT_BM25}, {_top('xs', 5, 't')} select query_id, id, score, rank from t")
@@ -189,8 +189,9 @@ select query_id, id, best, rank from (select *, row_number() over (partition by
 def hybrid_search(spark, d):
     """The flagship: BM25 and vector lists over the chunks of all documents, fused,
     expanded to their documents, best five per question. Chunks are cut once."""
+    docs_ = _docs(spark, d)
     asked = cut(_asked(spark, d).filter("title is not null").select("doc_id", "title"))
-    c = cut(chunking.fixed_windows(_docs(spark, d), "doc_id", "text", 500, 50).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), "chunk"))
+    c = cut(chunking.fixed_windows(spread(docs_), "doc_id", "text", 500, 50).select((F.col("key") * 1000000 + F.col("chunk_index")).alias("child_id"), "chunk"))
     words = lexical.top_k(lexical.bm25_of_texts(c, "child_id", "chunk", lexical.query_terms(asked, "doc_id", "title")), 20)
     near = vector.top_k(vector.hash_embeddings(asked, "doc_id", "title"), vector.hash_embeddings(c, "child_id", "chunk"), 20, "id", "id", n_queries=asked.count(), n_corpus=c.count())
     # the id of a chunk carries that of its document, so no join is needed
@@ -206,7 +207,7 @@ select query_id, id, round(s, 6) as score, rank from (select *, row_number() ove
 def multi_query_rrf(spark, d):
     v = fusion.variations(_asked(spark, d).filter("title is not null"), "doc_id", "title")
     v = v.withColumn("vid", F.col("query_id") * 10 + F.col("variation_no"))
-    s = lexical.top_k(lexical.bm25_of_texts(_docs(spark, d), "doc_id", "text", lexical.query_terms(v, "vid", "query")), 20)
+    s = lexical.top_k(lexical.bm25_of_texts(spread(_docs(spark, d)), "doc_id", "text", lexical.query_terms(v, "vid", "query")), 20)
     lists = s.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), "id", "rank")
     return fusion.rrf([lists], 5)
 

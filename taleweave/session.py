@@ -36,6 +36,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many parts as there are cores: an input of one or two
+    small files would else be worked on by as many tasks. A larger one stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The side with a broadcast hint if it is proven to have at most max_rows rows and
     BROADCAST_BYTES as text (one bounded count), else unchanged, so that the join shuffles."""
