@@ -16,8 +16,8 @@ signatures of ROWS minimum hashes each, of 64 bits with the number of the band.
 4. In an opened group, the sizes and SCREEN matching minimum hashes bound each pair,
    and pairs left are decided on their whole substring sets.
 
-By the tokens a pair at the threshold of 0.6 is missed with probability 0.0002, one at
-0.65 with 2e-5, at 0.7 with 1e-6; by the minimum hashes 1 in 10 million. With
+By the tokens a pair at the threshold of 0.6 is missed with probability 0.0001, one at
+0.65 with 4e-6, at 0.7 with 5e-8; by the minimum hashes 1 in 10 million. With
 `exact=True` nothing is left to chance: the tokens are the prefix of the sorted
 substrings that two texts of the threshold must share, and nothing is screened.
 
