@@ -8,6 +8,8 @@ neither side is broadcast or collected.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions import text as T
+from taleweave.operators.best import Best, plain
 
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8_192
 
@@ -138,6 +141,56 @@ def hash_embeddings(df: DataFrame, key: str, text: str = "text", dims: int = 256
     return df.select(F.col(key).cast("long").alias("id"), buckets.alias("b")).mapInArrow(run, "id long, embedding array<double>")
 
 
+class Hashed:
+    """Scores batches (id, w) by the cosine of their hashed words with those of questions
+    (id, w), as top_k does hash_embeddings, and keeps the k best. Products of counts are
+    whole numbers, exact in single precision up to 2**24 and else taken in double; the
+    scores of those that may stay are taken in double."""
+
+    BLOCK = 512
+
+    def __init__(self, questions: pa.Table, k: int, dims: int = 256):
+        self.k, self.dims, self.queries = k, dims, plain(questions.column("id"))
+        self.q, self.norm = self._counts(plain(questions.column("w")))
+
+    def _counts(self, lists) -> tuple[np.ndarray, np.ndarray]:
+        words = lists.flatten().dictionary_encode()
+        bucket = np.array([zlib.crc32(w.encode()) % self.dims for w in words.dictionary.to_pylist()], dtype=np.int64)
+        n = len(lists)
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        m = np.bincount(row * self.dims + bucket[words.indices.to_numpy(zero_copy_only=False)], minlength=n * self.dims).reshape(n, self.dims) if len(words) else np.zeros((n, self.dims))
+        m = m.astype(np.float64)
+        return m, np.sqrt((m * m).sum(1))
+
+    def start(self) -> None:
+        self.best = Best(len(self.queries), self.k)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if self.k <= 0 or not len(self.queries) or not batch.num_rows:
+            return
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        c, norm = self._counts(batch.column(1))
+        exact = np.float32 if self.norm.max() * norm.max() < 2**24 else np.float64
+        c, inverse = np.ascontiguousarray(c.T, dtype=exact), np.divide(1, norm, out=np.zeros_like(norm), where=norm > 0).astype(exact)
+        for at in range(0, len(self.q), self.BLOCK):
+            dot = self.q[at : at + self.BLOCK].astype(exact) @ c
+            own = self.norm[at : at + self.BLOCK]
+            # a rough comparison with room for single precision; all zero vectors score 0
+            least = ((self.best.floor[at : at + self.BLOCK] - 1e-5) * own).astype(exact)
+            least[own == 0] = -np.inf
+            may = dot * inverse >= least[:, None]
+            for j in np.flatnonzero(may.any(1)):
+                few = np.flatnonzero(may[j])
+                by = own[j] * norm[few]
+                score = np.divide(dot[j, few].astype(np.float64), by, out=np.zeros(len(few)), where=by > 0)
+                keep = np.round(score, 6) >= self.best.floor[at + j]
+                if keep.any():
+                    self.best.offer(at + j, score[keep], ids[few][keep])
+
+    def rows(self, kind: pa.DataType):
+        return self.best.batches([np.array([i]) for i in range(len(self.queries))], self.queries, kind)
+
+
 def _tallied(thresholds: list[float]):
     def run(batches):
         for b in batches:
