@@ -31,7 +31,7 @@ def _shuffled(context) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["bm25_folded", "evidence_recall", "bm25_filtered", "multi_query_rrf", "bm25_topk", "hybrid_fusion", "parent_expand", "rrf_fusion", "hybrid_search", "rerank_overlap"])
+@pytest.mark.parametrize("name", ["bm25_folded", "evidence_recall", "bm25_filtered", "multi_query_rrf", "bm25_topk", "hybrid_fusion", "parent_expand", "rrf_fusion", "cards_compete", "hybrid_search", "rerank_overlap"])
 def test_search_writes_less_than_its_texts(spark, larger, name):
     folder, size = larger
     before = _checkpoints(spark.sparkContext) + _shuffled(spark.sparkContext)
